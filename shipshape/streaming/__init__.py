@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes files in batch only: it has no stream source or sink,
+watermark, event-time window or state. Nothing is built here on purpose; every
+operator in this package is a plain DataFrame transformation and therefore also
+runs unchanged inside a ``foreachBatch`` of a Structured Streaming query.
+"""
