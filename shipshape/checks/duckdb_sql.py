@@ -326,6 +326,172 @@ ORACLE: dict[str, str] = {
 }
 
 
+def md5_hash(e: str) -> str:
+    return f"CAST(('0x' || substr(md5({e}), 1, 8)) AS BIGINT)"
+
+
+MF_KEYS = ["k_order_no", "k_item_code", "k_distributor_code", "k_totalec_so"]
+NUMERIC = ["totalec_so", "distance_km", "delivery_day", "days_off_count", "day_processing", "urban_rate",
+           "isfreegood_order_no"]
+CATS = ["region", "channelname", "segmentation", "brand", "pack_type", "pack_size", "month"]
+DEFAULTS = [("channelname", "DRINKING"), ("segmentation", "Bronze"), ("brand", "*******"), ("pack_type", "PET"),
+            ("pack_size", "320ML")]
+MF_CTES = [
+    ("s_sample", f"SELECT * FROM s_enriched WHERE {md5_hash(chr(39) + '1505-' + chr(39) + ' || order_no')} % 10 < 1"),
+    ("s_mf0", """
+SELECT order_no AS k_order_no, item_code AS k_item_code, distributor_code AS k_distributor_code,
+       totalec_so AS k_totalec_so, totalec_so, distance_km, delivery_day, days_off_count, day_processing,
+       urban_rate, isfreegood_order_no, region, channelname AS segmentation, segmentation AS channelname,
+       brand, pack_type, pack_size, CAST(month(order_date) AS INTEGER) AS month, difot AS label
+FROM s_sample"""),
+    ("s_mf", "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, '{v}') AS {c}" for c, v in DEFAULTS) + ") FROM s_mf0"),
+]
+FOLD_KEY = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in MF_KEYS) + ")"
+FOLD_CTES = MF_CTES + [
+    ("s_fh", f"SELECT *, {md5_hash(chr(39) + 'fold-1505-' + chr(39) + ' || ' + FOLD_KEY)} AS _h FROM s_mf"),
+    ("s_folds", f"""
+SELECT * EXCLUDE (_h), CAST((row_number() OVER (PARTITION BY label ORDER BY _h % 64, _h, {', '.join(MF_KEYS)}) - 1) % 5
+                            AS INTEGER) AS fold
+FROM s_fh"""),
+]
+
+FIXTURE_FEATURES = ["day_processing", "delivery_day", "totalec_so", "distance_km", "days_off_count",
+                    "urban_rate", "isfreegood_order_no", "month_3", "pack_size_29ML", "month_4",
+                    "month_8", "region_ASIA", "pack_size_30ML", "segmentation_MACHINERY", "segmentation_BUILDING"]
+
+
+def _feature(f: str) -> str:
+    if f in NUMERIC:
+        return f"CAST({f} AS DOUBLE) AS {f}"
+    col = next(c for c in CATS if f.startswith(c + "_"))
+    return f"CASE WHEN CAST({col} AS VARCHAR) = '{f[len(col) + 1:]}' THEN 1.0e0 ELSE 0.0e0 END AS {f}"
+
+
+ONE_HOT = " UNION ALL ".join(
+    f"SELECT {', '.join(MF_KEYS)}, '{c}_' || CAST({c} AS VARCHAR) AS feature, 1.0e0 AS value FROM s_mf "
+    f"WHERE {c} IS NOT NULL AND {c} <> (SELECT min({c}) FROM s_mf)" for c in CATS)
+
+CORR = ["totalnsr_so", "totalec_so", "distance_km", "delivery_day", "days_off_count", "day_processing",
+        "ontime", "infull", "difot", "urban_rate", "isfreegood_order_no"]
+_CW = ", ".join(f"corr({CORR[a]}, {CORR[b]}) AS c_{a}_{b}" for a in range(len(CORR)) for b in range(a, len(CORR)))
+CORR_LONG = " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{CORR[i]}' AS row_var, '{CORR[j]}' AS col_var, round(c_{min(i, j)}_{max(i, j)}, 6) "
+    f"AS corr FROM cw" for i in range(len(CORR)) for j in range(len(CORR)))
+CORR_CTES = MF_CTES + [("cw", f"SELECT {_CW} FROM s_sample")]
+
+
+def metric_ctes(src: str, keys: list[str]) -> list[tuple[str, str]]:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    on = " AND ".join([f"c.{x} = p.{x}" for x in keys] + ["TRUE"])
+    return [
+        ("m_cls", f"SELECT DISTINCT {kc}class FROM (SELECT {kc}label AS class FROM {src} "
+                  f"UNION ALL SELECT {kc}prediction FROM {src})"),
+        ("m_cnt", f"""
+SELECT {', '.join('c.' + x for x in keys) + (', ' if keys else '')}c.class,
+       count(*) FILTER (WHERE p.label = c.class AND p.prediction = c.class) AS tp,
+       count(*) FILTER (WHERE p.label = c.class) AS support,
+       count(*) FILTER (WHERE p.prediction = c.class) AS predicted
+FROM m_cls c JOIN {src} p ON {on}
+GROUP BY ALL"""),
+        ("m_pr", """
+SELECT *, CASE WHEN predicted = 0 THEN 0.0e0 ELSE CAST(tp AS DOUBLE) / CAST(predicted AS DOUBLE) END AS precision,
+          CASE WHEN support = 0 THEN 0.0e0 ELSE CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) END AS recall
+FROM m_cnt"""),
+        ("m_pc", """
+SELECT *, CASE WHEN precision + recall = 0 THEN 0.0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+FROM m_pr"""),
+        ("m_w", f"""
+SELECT {kc}CAST(sum(tp) AS DOUBLE) / sum(CAST(support AS DOUBLE)) AS accuracy, CAST(sum(support) AS BIGINT) AS rows,
+       sum(precision * CAST(support AS DOUBLE)) / sum(CAST(support AS DOUBLE)) AS precision_weighted,
+       sum(recall * CAST(support AS DOUBLE)) / sum(CAST(support AS DOUBLE)) AS recall_weighted,
+       sum(f1 * CAST(support AS DOUBLE)) / sum(CAST(support AS DOUBLE)) AS f1_weighted,
+       coalesce(max(CASE WHEN class = 1 THEN precision END), 0.0e0) AS precision_pos,
+       coalesce(max(CASE WHEN class = 1 THEN recall END), 0.0e0) AS recall_pos,
+       coalesce(max(CASE WHEN class = 1 THEN f1 END), 0.0e0) AS f1_pos
+FROM m_pc {'GROUP BY ' + k if keys else ''}"""),
+    ]
+
+
+RULE = "CASE WHEN distance_km < (SELECT median_distance FROM s_median) THEN 1.0e0 ELSE 0.0e0 END AS prediction"
+PRED_CTES = [("s_pred", f"SELECT *, difot AS label, {RULE} FROM s_enriched")]
+FOLD_PRED_CTES = FOLD_CTES + [("s_fpred", f"SELECT *, {RULE} FROM s_folds")] + metric_ctes("s_fpred", ["fold"]) + [
+    ("s_fscore", "SELECT fold, accuracy AS Accuracy, precision_pos AS Precision, recall_pos AS Recall, f1_pos AS F1 "
+                 "FROM m_w"),
+    ("s_flong", "SELECT fold, metric, value FROM (UNPIVOT s_fscore ON Accuracy, Precision, Recall, F1 "
+                "INTO NAME metric VALUE value)"),
+]
+
+ORACLE.update({
+    "sample_by_key": with_ctes(f"SELECT {KEY}, difot FROM s_sample", MF_CTES),
+    "class_distribution_before": with_ctes(
+        "SELECT difot, count(*) AS count, round(count(*) * 100.0e0 / (SELECT count(*) FROM s_sample), 6) AS pct "
+        "FROM s_sample GROUP BY difot", MF_CTES),
+    "rename_swap": with_ctes(f"SELECT {KEY}, channelname AS segmentation, segmentation AS channelname FROM s_sample",
+                             MF_CTES),
+    "audit_nulls": with_ctes(
+        "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in NUMERIC + CATS + ["label"])
+        + ", count(*) FILTER (WHERE " + " OR ".join(f"{c} IS NULL" for c in NUMERIC + CATS + ["label"])
+        + ") AS rows_with_null, count(*) AS rows FROM s_mf0", MF_CTES),
+    "fill_category_defaults": with_ctes(
+        f"SELECT {', '.join(MF_KEYS)}, {', '.join(c for c, _ in DEFAULTS)} FROM s_mf", MF_CTES),
+    "date_parts": with_ctes(
+        f"SELECT {KEY}, order_date, CAST(month(order_date) AS INTEGER) AS month, CAST(year(order_date) AS INTEGER) "
+        "AS year, strftime(order_date, '%Y-%m') AS month_year, CAST(date_trunc('month', order_date) AS DATE) "
+        "AS month_start FROM s_enriched"),
+    "model_frame": with_ctes(
+        f"SELECT {', '.join(MF_KEYS)}, {r6(*NUMERIC)}, region, segmentation, channelname, brand, pack_type, "
+        "pack_size, month, label FROM s_mf", MF_CTES),
+    "one_hot_encode": with_ctes(ONE_HOT, MF_CTES),
+    "feature_matrix": with_ctes(
+        f"SELECT {', '.join(MF_KEYS)}, "
+        f"{', '.join(_feature(f).replace(' AS ' + f, '') + ' AS ' + f if False else _feature(f) for f in FIXTURE_FEATURES)}"
+        ", label FROM s_mf", MF_CTES),
+    "train_test_split": with_ctes(
+        f"SELECT {', '.join(MF_KEYS)}, label, CASE WHEN "
+        f"{md5_hash(chr(39) + 'split-1505-' + chr(39) + ' || k_order_no')} % 100 < 20 THEN 1 ELSE 0 END AS is_test "
+        "FROM s_mf", MF_CTES),
+    "stratified_folds": with_ctes(f"SELECT {', '.join(MF_KEYS)}, label, fold FROM s_folds", FOLD_CTES),
+    "correlation_matrix": with_ctes(CORR_LONG, CORR_CTES),
+    "correlation_lower": with_ctes(f"SELECT * FROM ({CORR_LONG}) WHERE i > j", CORR_CTES),
+    "normality_jarque_bera": with_ctes("""
+SELECT n, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(jb, 6) AS jb,
+       round(exp(-jb / 2.0e0), 6) AS p_value
+FROM (SELECT n, skewness, kurtosis, n / 6.0e0 * (pow(skewness, 2) + pow(kurtosis, 2) / 4.0e0) AS jb
+      FROM (SELECT n, m3 / pow(m2, 1.5) AS skewness, m4 / pow(m2, 2) - 3.0e0 AS kurtosis
+            FROM (SELECT count(distance_km) AS n,
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 2)) AS m2,
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 3)) AS m3,
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 4)) AS m4
+                  FROM s_labelled)))"""),
+    "metrics_weighted": with_ctes(
+        "SELECT " + r6("accuracy") + ", rows, " + r6("precision_weighted", "recall_weighted", "f1_weighted",
+                                                      "precision_pos", "recall_pos", "f1_pos") + " FROM m_w",
+        PRED_CTES + metric_ctes("s_pred", [])),
+    "metrics_per_class": with_ctes(
+        "SELECT class, " + r6("precision", "recall", "f1") + ", CAST(support AS BIGINT) AS support FROM m_pc",
+        PRED_CTES + metric_ctes("s_pred", [])),
+    "fit_verdict": with_ctes("""
+SELECT round(train_accuracy, 6) AS train_accuracy, round(test_accuracy, 6) AS test_accuracy,
+       CASE WHEN train_accuracy > test_accuracy + 0.05e0 THEN 'overfitting'
+            WHEN train_accuracy < test_accuracy - 0.05e0 THEN 'underfitting' ELSE 'good' END AS verdict
+FROM (SELECT sum(CASE WHEN is_test = 0 AND label = prediction THEN 1 ELSE 0 END)
+             / sum(CASE WHEN is_test = 0 THEN 1 ELSE 0 END) AS train_accuracy,
+             sum(CASE WHEN is_test = 1 AND label = prediction THEN 1 ELSE 0 END)
+             / sum(CASE WHEN is_test = 1 THEN 1 ELSE 0 END) AS test_accuracy
+      FROM (SELECT *, CASE WHEN """ + md5_hash("'split-1505-' || order_no") + """ % 100 < 20 THEN 1 ELSE 0 END
+                   AS is_test FROM s_pred))""", PRED_CTES),
+    "unpivot_metrics": with_ctes("SELECT fold, metric, round(value, 6) AS value FROM s_flong", FOLD_PRED_CTES),
+    "cv_fold_summary": with_ctes(
+        "SELECT metric, count(value) AS folds, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std "
+        "FROM s_flong GROUP BY metric", FOLD_PRED_CTES),
+    "box_summary": with_ctes(
+        "SELECT metric, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in
+                                      ((0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")))
+        + " FROM s_flong GROUP BY metric", FOLD_PRED_CTES),
+})
+
+
 def _spark_rounding(sql: str) -> str:
     """Rewrite every ``round(x, d)`` into the decimal-text form of ``rnd``."""
     out, i = [], 0

@@ -45,7 +45,7 @@ def swap_names(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def model_frame(df: DataFrame, label: str = "difot", keys: list[str] = ROW_KEY, swap: bool = True,
-                defaults: dict | None = None) -> DataFrame:
+                defaults: dict | None = None, fill: bool = True) -> DataFrame:
     """Row key, 7 numeric features, 7 categories (month from order_date), label.
 
     As in the reference, ``channelname`` and ``segmentation`` trade names before the
@@ -55,7 +55,7 @@ def model_frame(df: DataFrame, label: str = "difot", keys: list[str] = ROW_KEY,
                   F.month("order_date").alias("month"), F.col(label).alias("label"))
     if swap:
         f = swap_names(f, "channelname", "segmentation")
-    return fill_defaults(f, defaults)
+    return fill_defaults(f, defaults) if fill else f
 
 
 def one_hot_long(frame: DataFrame, keys: list[str], cats: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
@@ -65,10 +65,11 @@ def one_hot_long(frame: DataFrame, keys: list[str], cats: list[str] = CATEGORICA
     scalar subquery; nothing is collected."""
     parts = []
     for c in cats:
-        first = frame.agg(F.min(F.col(c).cast("string"))).scalar()
-        v = F.col(c).cast("string")
+        first = frame.agg(F.min(c)).scalar()  # smallest in the column's own order (months numerically)
+        v = F.col(c)
         parts.append(frame.filter(v.isNotNull() & (v != first))
-                          .select(*keys, F.concat(F.lit(f"{c}_"), v).alias("feature"), F.lit(1.0).alias("value")))
+                          .select(*keys, F.concat(F.lit(f"{c}_"), v.cast("string")).alias("feature"),
+                                  F.lit(1.0).alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -88,6 +89,16 @@ def encoded_features(frame: DataFrame, keys: list[str], features: list[str]) ->
     return frame.select(*keys, *cols, "label")
 
 
+# fixed values: the reference's 15 selected features (its own category values)
+REFERENCE_FEATURES = ["Dayprocessing", "DeliveryDay", "totalec_so", "distance_km", "days_off_count",
+                      "% urbanization rate", "isfreegood_order_no", "month_3", "pack_size_297ML", "month_4",
+                      "month_8", "region_North West Region", "pack_size_300ML", "branding", "segmentation_Gold"]
+# the same selection expressed on the test fixtures' names and values
+FIXTURE_FEATURES = ["day_processing", "delivery_day", "totalec_so", "distance_km", "days_off_count",
+                    "urban_rate", "isfreegood_order_no", "month_3", "pack_size_29ML", "month_4",
+                    "month_8", "region_ASIA", "pack_size_30ML", "segmentation_MACHINERY", "segmentation_BUILDING"]
+
+
 def assemble(frame: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(frame)

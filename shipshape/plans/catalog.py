@@ -298,3 +298,162 @@ def pivot_item_region(spark, sf_dir):
 def top_items_pivot(spark, sf_dir):
     k = kpi.kpi(_enriched(spark, sf_dir), "region", "item_code")
     return r6(kpi.top_items(kpi.pivot_kpi(k, kpi.FIXTURE_REGION_CODES), 20))
+
+
+@query
+def median_by_rank(spark, sf_dir):
+    pop = L.median_population(_inp(spark, sf_dir))
+    return r6(cleaning.median_by_rank(pop, "distance_km", "n_lines"))
+
+
+# ---------------------------------------------------------------- feature preparation
+
+def _sample(spark, sf_dir):
+    return features.sample_by_key(_enriched(spark, sf_dir), "order_no", 10, 1, 1505)
+
+
+MF_KEYS = ["k_order_no", "k_item_code", "k_distributor_code", "k_totalec_so"]
+
+
+def _model_frame(spark, sf_dir, fill=True):
+    return features.model_frame(_sample(spark, sf_dir), fill=fill)
+
+
+@query
+def sample_by_key(spark, sf_dir):
+    return r6(_sample(spark, sf_dir).select(*KEY, "difot"))
+
+
+@query
+def class_distribution_before(spark, sf_dir):
+    return r6(stats.class_distribution(_sample(spark, sf_dir), "difot"))
+
+
+@query
+def rename_swap(spark, sf_dir):
+    s = features.swap_names(_sample(spark, sf_dir).select(*KEY, "channelname", "segmentation"),
+                            "channelname", "segmentation")
+    return s
+
+
+@query
+def audit_nulls(spark, sf_dir):
+    mf = _model_frame(spark, sf_dir, fill=False)
+    return cleaning.null_audit(mf, [c for c in mf.columns if not c.startswith("k_")])
+
+
+@query
+def fill_category_defaults(spark, sf_dir):
+    return r6(_model_frame(spark, sf_dir).select(*MF_KEYS, *cleaning.CATEGORY_DEFAULTS))
+
+
+@query
+def date_parts(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return r6(e.select(*KEY, "order_date", F.month("order_date").alias("month"), F.year("order_date").alias("year"),
+                       F.date_format("order_date", "yyyy-MM").alias("month_year"),
+                       F.to_date(F.date_format("order_date", "yyyy-MM"), "yyyy-MM").alias("month_start")))
+
+
+@query
+def model_frame(spark, sf_dir):
+    return r6(_model_frame(spark, sf_dir))
+
+
+@query
+def one_hot_encode(spark, sf_dir):
+    return r6(features.one_hot_long(_model_frame(spark, sf_dir), MF_KEYS))
+
+
+@query
+def feature_matrix(spark, sf_dir):
+    return r6(features.encoded_features(_model_frame(spark, sf_dir), MF_KEYS, features.FIXTURE_FEATURES))
+
+
+@query
+def train_test_split(spark, sf_dir):
+    return features.split_by_key(_model_frame(spark, sf_dir), "k_order_no", 20, 1505).select(
+        *MF_KEYS, "label", "is_test")
+
+
+def _folds(spark, sf_dir):
+    return features.stratified_folds(_model_frame(spark, sf_dir), 5, "label", MF_KEYS, 1505)
+
+
+@query
+def stratified_folds(spark, sf_dir):
+    return r6(_folds(spark, sf_dir).select(*MF_KEYS, "label", "fold"))
+
+
+CORR_COLUMNS = ["totalnsr_so", "totalec_so", "distance_km", "delivery_day", "days_off_count", "day_processing",
+                "ontime", "infull", "difot", "urban_rate", "isfreegood_order_no"]
+
+
+@query
+def correlation_matrix(spark, sf_dir):
+    return r6(stats.correlation(_sample(spark, sf_dir), CORR_COLUMNS))
+
+
+@query
+def correlation_lower(spark, sf_dir):
+    return r6(stats.lower_triangle(stats.correlation(_sample(spark, sf_dir), CORR_COLUMNS)))
+
+
+@query
+def normality_jarque_bera(spark, sf_dir):
+    return r6(stats.jarque_bera(_labelled(spark, sf_dir), "distance_km"))
+
+
+# ---------------------------------------------------------------- metrics on a deterministic rule
+
+def _rule(df: DataFrame, spark, sf_dir) -> DataFrame:
+    """prediction = 1 when the distance is below the median distance (a fixed rule)."""
+    m = L.median_distance(_inp(spark, sf_dir)).select("median_distance").scalar()
+    return df.withColumn("prediction", F.when(F.col("distance_km") < m, 1.0).otherwise(0.0))
+
+
+def _pred(spark, sf_dir):
+    return _rule(_enriched(spark, sf_dir).withColumn("label", F.col("difot")), spark, sf_dir)
+
+
+@query
+def metrics_weighted(spark, sf_dir):
+    return r6(metrics.weighted(_pred(spark, sf_dir)))
+
+
+@query
+def metrics_per_class(spark, sf_dir):
+    return r6(metrics.per_class(_pred(spark, sf_dir)))
+
+
+@query
+def fit_verdict(spark, sf_dir):
+    p = features.split_by_key(_pred(spark, sf_dir), "order_no", 20, 1505)
+    acc = p.agg(*[(F.sum(F.when((F.col("is_test") == t) & (F.col("label") == F.col("prediction")), 1).otherwise(0))
+                   / F.sum(F.when(F.col("is_test") == t, 1).otherwise(0))).alias(n)
+                  for t, n in ((0, "train_accuracy"), (1, "test_accuracy"))])
+    return r6(acc.withColumn("verdict", metrics.fit_verdict(F.col("train_accuracy"), F.col("test_accuracy"))))
+
+
+def _fold_scores(spark, sf_dir):
+    p = _rule(_folds(spark, sf_dir), spark, sf_dir)
+    w = metrics.weighted(p, keys=["fold"])
+    return w.select("fold", F.col("accuracy").alias("Accuracy"), F.col("precision_pos").alias("Precision"),
+                    F.col("recall_pos").alias("Recall"), F.col("f1_pos").alias("F1"))
+
+
+@query
+def unpivot_metrics(spark, sf_dir):
+    return r6(stats.unpivot(_fold_scores(spark, sf_dir), ["fold"], ["Accuracy", "Precision", "Recall", "F1"]))
+
+
+@query
+def cv_fold_summary(spark, sf_dir):
+    long = stats.unpivot(_fold_scores(spark, sf_dir), ["fold"], ["Accuracy", "Precision", "Recall", "F1"])
+    return r6(stats.fold_summary(long, ["metric"]))
+
+
+@query
+def box_summary(spark, sf_dir):
+    long = stats.unpivot(_fold_scores(spark, sf_dir), ["fold"], ["Accuracy", "Precision", "Recall", "F1"])
+    return r6(stats.five_number(long, ["metric"]))
