@@ -492,6 +492,23 @@ FROM (SELECT sum(CASE WHEN is_test = 0 AND label = prediction THEN 1 ELSE 0 END)
 })
 
 
+CSV_FACT = ", ".join(FACT) + ", " + r6(*FACT_D)
+ORACLE.update({
+    "src_csv_header": with_ctes(f"SELECT {CSV_FACT} FROM f_fact"),
+    "typed_dates": with_ctes(
+        f"SELECT {KEY}, order_date, settlement_date, coalesce(d.listed, 0) AS listed FROM f_fact f "
+        "LEFT JOIN (SELECT d_date, count(*) AS listed FROM f_day_off GROUP BY d_date) d ON f.order_date = d.d_date"),
+    "typed_cast": with_ctes(f"SELECT {KEY}, {r6('totalec_sr', 'totalnsr_sr', 'totalnsr_so', 'diff_ec', 'diff_nsr')} "
+                            "FROM f_fact"),
+    "sink_csv_gzip_roundtrip": with_ctes(
+        f"SELECT {KEY}, order_date, settlement_date, {r6('distance_km', 'days_off_count', 'difot')} FROM s_labelled"),
+    "src_multi_gzip": with_ctes(
+        "SELECT region, count(*) AS rows, round(sum(difot), 6) AS difot_rows, "
+        "round(sum(isfreegood_order_no), 6) AS free_good_rows, round(sum(distance_km), 6) AS sum_distance_km "
+        "FROM s_enriched GROUP BY region"),
+})
+
+
 def _spark_rounding(sql: str) -> str:
     """Rewrite every ``round(x, d)`` into the decimal-text form of ``rnd``."""
     out, i = [], 0

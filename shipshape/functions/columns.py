@@ -52,5 +52,12 @@ def to_double(x) -> Column:
 
 
 def to_date_fmt(x, fmt: str) -> Column:
-    """Text -> date by pattern; unparsable text -> NULL."""
-    return F.try_to_date(_c(x), F.lit(fmt))
+    """Text -> date by pattern; unparsable text -> NULL.
+
+    A two-digit year ('yy') is read the way the legacy parser the reference
+    switches to reads it: within 80 years before and 20 years after today
+    (Spark's own parser maps 'yy' to 2000-2099)."""
+    d = F.try_to_date(_c(x), fmt)
+    if "yy" in fmt and "yyyy" not in fmt:
+        d = F.when(F.year(d) > F.year(F.current_date()) + 20, F.add_months(d, -1200)).otherwise(d)
+    return d

@@ -457,3 +457,78 @@ def cv_fold_summary(spark, sf_dir):
 def box_summary(spark, sf_dir):
     long = stats.unpivot(_fold_scores(spark, sf_dir), ["fold"], ["Accuracy", "Precision", "Recall", "F1"])
     return r6(stats.five_number(long, ["metric"]))
+
+
+# ---------------------------------------------------------------- CSV sources and sinks
+
+from shipshape.session import scratch_dir  # noqa: E402
+from shipshape.sources import files  # noqa: E402
+
+FACT_TYPES = {**{c: "double" for c in ("totalec_sr", "totalnsr_sr", "totalnsr_so", "totalec_so", "diff_ec",
+                                       "diff_nsr")},
+              "order_date": ("date", "dd-MM-yyyy"), "settlement_date": ("date", "dd-MM-yyyy")}
+
+
+def _fact_csv(spark, sf_dir) -> str:
+    """The fact as text CSV with reference date patterns; a repeated header line is
+    planted inside the data and missing numbers / dates are written as 'N/A'."""
+    fact = fixtures.order_lines(spark, sf_dir)
+    text = files.as_text(fact, {"order_date": "dd-MM-yyyy", "settlement_date": "dd-MM-yyyy"},
+                         {"settlement_date": "N/A", "diff_ec": "N/A"})
+    header_row = spark.createDataFrame([tuple(fixtures.FACT_COLUMNS)], files.string_schema(fixtures.FACT_COLUMNS))
+    path = scratch_dir(spark, "fact-csv")
+    files.write_csv(text.unionByName(header_row), path)
+    return path
+
+
+def _fact_from_csv(spark, sf_dir) -> DataFrame:
+    raw = files.read_table(spark, _fact_csv(spark, sf_dir), fixtures.FACT_COLUMNS)
+    return files.typed(raw, FACT_TYPES)
+
+
+@query
+def src_csv_header(spark, sf_dir):
+    return r6(_fact_from_csv(spark, sf_dir).select(*fixtures.FACT_COLUMNS))
+
+
+@query
+def typed_dates(spark, sf_dir):
+    f = _fact_from_csv(spark, sf_dir)
+    cal = fixtures.day_off(spark, sf_dir)
+    cal_path = scratch_dir(spark, "dayoff-csv")
+    files.write_csv(files.as_text(cal, {"d_date": "dd-MMM-yy", "eomonth_ko": "dd-MMM-yy"}), cal_path)
+    cal_back = files.typed(files.read_table(spark, cal_path, ["d_date", "eomonth_ko", "year"]),
+                           {"d_date": ("date", "dd-MMM-yy"), "eomonth_ko": ("date", "dd-MMM-yy"), "year": "double"})
+    days = cal_back.groupBy("d_date").agg(F.count(F.lit(1)).alias("listed"))
+    return f.select(*KEY, "order_date", "settlement_date").join(
+        days.withColumnRenamed("d_date", "order_date"), "order_date", "left").fillna(0, ["listed"])
+
+
+@query
+def typed_cast(spark, sf_dir):
+    return r6(_fact_from_csv(spark, sf_dir).select(*KEY, "totalec_sr", "totalnsr_sr", "totalnsr_so", "diff_ec",
+                                                   "diff_nsr"))
+
+
+LABELLED_TYPES = {**FACT_TYPES, "order_date": ("date", "yyyy-MM-dd"), "settlement_date": ("date", "yyyy-MM-dd"),
+                  **{c: "double" for c in L.GPS_COLUMNS + ["distance_km", "delivery_day", "days_off_count",
+                                                            "day_processing", "ontime", "infull", "difot"]}}
+
+
+@query
+def sink_csv_gzip_roundtrip(spark, sf_dir):
+    lab = _labelled(spark, sf_dir)
+    path = files.write_csv_gz(lab, scratch_dir(spark, "labelled-csv-gz"))
+    back = files.typed(files.read_parts(spark, path, lab.columns), LABELLED_TYPES)
+    return r6(back.select(*KEY, "order_date", "settlement_date", "distance_km", "days_off_count", "difot"))
+
+
+@query
+def src_multi_gzip(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    path = files.write_csv_gz(e.repartition(4, "order_no"), scratch_dir(spark, "enriched-parts"))
+    back = files.typed(files.read_parts(spark, path, e.columns),
+                       {**LABELLED_TYPES, "urban_rate": "double", "isfreegood_order_no": "double"})
+    return r6(back.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("difot").alias("difot_rows"),
+                                         F.sum("isfreegood_order_no").alias("free_good_rows"),
+                                         F.sum("distance_km").alias("sum_distance_km")))
