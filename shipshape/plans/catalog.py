@@ -532,3 +532,77 @@ def src_multi_gzip(spark, sf_dir):
     return r6(back.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("difot").alias("difot_rows"),
                                          F.sum("isfreegood_order_no").alias("free_good_rows"),
                                          F.sum("distance_km").alias("sum_distance_km")))
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+
+from shipshape.operators import models  # noqa: E402
+
+
+def _training(spark, sf_dir) -> DataFrame:
+    """Feature matrix of the sample, NULL features as 0, assembled, with a hash split.
+
+    It is read by several fits, so it is materialised once (checkpoint in the
+    shared checkpoint folder) instead of re-running the whole label plan per fit."""
+    fm = features.encoded_features(_model_frame(spark, sf_dir), MF_KEYS, features.FIXTURE_FEATURES)
+    fm = fm.fillna(0.0, features.FIXTURE_FEATURES)
+    fm = features.split_by_key(fm, "k_order_no", 20, 1505)
+    fm = features.stratified_folds(fm, 5, "label", MF_KEYS, 1505)
+    scratch_dir(spark)  # makes sure a checkpoint folder exists
+    return features.assemble(fm, features.FIXTURE_FEATURES).checkpoint()
+
+
+def _fit_query(kind, **kw):
+    def run(spark, sf_dir):
+        t = _training(spark, sf_dir)
+        return r6(models.train_and_score(t.filter("is_test = 0"), t.filter("is_test = 1"), kind, **kw))
+    run.__name__ = f"model_{kind}"
+    return run
+
+
+QUERIES["model_decision_tree"] = _fit_query("dt")
+QUERIES["model_random_forest"] = _fit_query("rf")
+QUERIES["model_gbt"] = _fit_query("gbt", max_iter=20)
+QUERIES["model_logistic"] = _fit_query("lr")
+QUERIES["model_linear_svc"] = _fit_query("svc")
+
+
+@query
+def feature_importance_top15(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    m = models.estimator("rf").fit(t.filter("is_test = 0"))
+    imp = models.importances(m, features.FIXTURE_FEATURES)
+    return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(15))
+
+
+@query
+def feature_split_count_top5(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    m = models.estimator("gbt", max_iter=20).fit(t.filter("is_test = 0"))
+    sc = models.split_counts(models.node_table(m), features.FIXTURE_FEATURES)
+    return sc.orderBy(F.col("splits").desc(), "feature").limit(5)
+
+
+@query
+def tree_nodes(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    m = models.estimator("gbt", max_iter=20).fit(t.filter("is_test = 0"))
+    nodes = models.node_table(m).filter(F.col("tree_id") == 9)
+    names = spark.createDataFrame(list(enumerate(features.FIXTURE_FEATURES)), "feature_index int, feature string")
+    return r6(nodes.join(F.broadcast(names), "feature_index", "left"))
+
+
+@query
+def cross_validate_gbt(spark, sf_dir):
+    return r6(models.cross_validate(_training(spark, sf_dir), "gbt", 5, max_iter=20))
+
+
+@query
+def model_comparison(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    parts = [models.cross_validate(t, kind, 5, num_trees=20, max_iter=20).withColumn("model", F.lit(kind))
+             for kind in ("dt", "rf", "gbt", "lr", "svc")]
+    from functools import reduce
+    folds = reduce(DataFrame.unionByName, parts)
+    return r6(stats.five_number(folds, ["model"], "accuracy")
+              .join(stats.fold_summary(folds, ["model"], "accuracy"), "model"))
