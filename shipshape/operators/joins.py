@@ -89,8 +89,8 @@ def days_off(df: DataFrame, calendar: DataFrame, start: str = "order_date", end:
     key (NULL never joins) and empty range behave.
     """
     spine = off_day_spine(calendar)
-    lo = spine.agg(F.min("day")).scalar()
-    hi = spine.agg(F.max("day")).scalar()
+    ends = spine.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     clamp = lambda c: F.least(F.greatest(c, lo), hi)
     a = F.broadcast(spine.select(F.col("day").alias("_a_day"), F.col("cum").alias("_a_cum")))
     b = F.broadcast(spine.select(F.col("day").alias("_b_day"), F.col("cum").alias("_b_cum")))

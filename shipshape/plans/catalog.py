@@ -99,7 +99,8 @@ def iqr_retention(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return L.labelled(_inp(spark, sf_dir))
+    from shipshape.plans.stages import materialized
+    return materialized(spark, sf_dir, "labelled", lambda: L.labelled(_inp(spark, sf_dir)))
 
 
 @query
@@ -156,27 +157,30 @@ def composite_keys(spark, sf_dir):
 # ---------------------------------------------------------------- stage 2
 
 def _enriched(spark, sf_dir, dedupe=False):
-    return L.enriched(_inp(spark, sf_dir), dedupe_free_goods=dedupe)
+    from shipshape.plans.stages import materialized
+    inp = _inp(spark, sf_dir)
+    return materialized(spark, sf_dir, f"enriched{'-dedupe' if dedupe else ''}",
+                        lambda: L.enriched(inp, dedupe, labelled_df=_labelled(spark, sf_dir)))
 
 
 @query
 def join_urban(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    u = joins.with_urban(L.labelled(inp), inp.urban)
+    u = joins.with_urban(_labelled(spark, sf_dir), inp.urban)
     return r6(u.select(*KEY, "city", "province_standard", "urban_rate"))
 
 
 @query
 def count_by_urban_rate(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    u = joins.with_urban(L.labelled(inp), inp.urban)
+    u = joins.with_urban(_labelled(spark, sf_dir), inp.urban)
     return r6(u.groupBy("urban_rate").agg(F.count(F.lit(1)).alias("count")))
 
 
 @query
 def sql_view_distinct(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    joins.with_urban(L.labelled(inp), inp.urban).createOrReplaceTempView("urban_table")
+    joins.with_urban(_labelled(spark, sf_dir), inp.urban).createOrReplaceTempView("urban_table")
     return r6(spark.sql("SELECT DISTINCT urban_rate FROM urban_table"))
 
 
@@ -428,7 +432,7 @@ def metrics_per_class(spark, sf_dir):
 
 @query
 def fit_verdict(spark, sf_dir):
-    p = features.split_by_key(_pred(spark, sf_dir), "order_no", 20, 1505)
+    p = features.split_by_key(_pred(spark, sf_dir), "order_no", 20, 1505)  # noqa: E501
     acc = p.agg(*[(F.sum(F.when((F.col("is_test") == t) & (F.col("label") == F.col("prediction")), 1).otherwise(0))
                    / F.sum(F.when(F.col("is_test") == t, 1).otherwise(0))).alias(n)
                   for t, n in ((0, "train_accuracy"), (1, "test_accuracy"))])

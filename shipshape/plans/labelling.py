@@ -44,10 +44,16 @@ class Inputs:
     free_goods: DataFrame
 
     @classmethod
-    def from_fixtures(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
-        return cls(fixtures.order_lines(spark, sf_dir), fixtures.gps_customer(spark, sf_dir),
-                   fixtures.gps_distributor(spark, sf_dir), fixtures.day_off(spark, sf_dir),
-                   fixtures.urbanization(spark, sf_dir), fixtures.free_goods(spark, sf_dir))
+    def from_fixtures(cls, spark: SparkSession, sf_dir: str, materialize: bool = True) -> "Inputs":
+        """The six inputs built from the driver's tables; with ``materialize`` each is
+        written once per session (see ``stages``) and read back as parquet."""
+        from shipshape.plans.stages import materialized
+
+        def get(name, fn):
+            return materialized(spark, sf_dir, name, lambda: fn(spark, sf_dir)) if materialize else fn(spark, sf_dir)
+        return cls(get("fact", fixtures.order_lines), get("gps_customer", fixtures.gps_customer),
+                   get("gps_distributor", fixtures.gps_distributor), get("day_off", fixtures.day_off),
+                   get("urban", fixtures.urbanization), get("free_goods", fixtures.free_goods))
 
 
 def add_distance(df: DataFrame) -> DataFrame:
