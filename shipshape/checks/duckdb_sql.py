@@ -509,6 +509,49 @@ ORACLE.update({
 })
 
 
+NM_KEY_HASH = md5_hash("'nm-' || " + "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in MF_KEYS) + ")")
+NM_CTES = MF_CTES + [
+    ("nm_f", f"SELECT *, CAST(totalec_so AS DOUBLE) AS v0, CAST(distance_km AS DOUBLE) AS v1, "
+             "coalesce(CAST(delivery_day AS DOUBLE), 0.0e0) AS v2, CAST(days_off_count AS DOUBLE) AS v3 FROM s_mf"),
+    ("nm_cnt", "SELECT label, count(*) AS c FROM nm_f GROUP BY label"),
+    ("nm_cls", "SELECT (SELECT label FROM nm_cnt ORDER BY c DESC, label DESC LIMIT 1) AS maj, "
+               "(SELECT label FROM nm_cnt ORDER BY c ASC, label ASC LIMIT 1) AS mino, "
+               "(SELECT min(c) FROM nm_cnt) AS n_min"),
+    ("nm_min", "SELECT * FROM nm_f WHERE label = (SELECT mino FROM nm_cls)"),
+    ("nm_maj", "SELECT * FROM nm_f WHERE label = (SELECT maj FROM nm_cls)"),
+    ("nm_a", "SELECT DISTINCT v0, v1, v2, v3 FROM nm_maj"),
+    ("nm_pairs", """
+SELECT a.v0, a.v1, a.v2, a.v3,
+       sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.v3 - b.v3, 2)) AS d
+FROM nm_a a, nm_min b"""),
+    ("nm_top", "SELECT *, row_number() OVER (PARTITION BY v0, v1, v2, v3 ORDER BY d) AS rn FROM nm_pairs"),
+    ("nm_mean", "SELECT v0, v1, v2, v3, round(avg(d), 6) AS knn_mean FROM nm_top WHERE rn <= 3 GROUP BY ALL"),
+    ("nm_pick", f"""
+SELECT m.* FROM nm_maj m JOIN nm_mean s USING (v0, v1, v2, v3)
+ORDER BY s.knn_mean, {NM_KEY_HASH}, {', '.join('m.' + k for k in MF_KEYS)}
+LIMIT (SELECT n_min FROM nm_cls)"""),
+    ("nm_out", "SELECT * FROM nm_min UNION ALL SELECT * FROM nm_pick"),
+]
+ORACLE.update({
+    "nearmiss_undersample": with_ctes(f"SELECT {', '.join(MF_KEYS)}, label FROM nm_out", NM_CTES),
+    "class_distribution_after": with_ctes(
+        "SELECT label, count(*) AS count, round(count(*) * 100.0e0 / (SELECT count(*) FROM nm_out), 6) AS pct "
+        "FROM nm_out GROUP BY label", NM_CTES),
+})
+
+
+def _centre_values() -> str:
+    from shipshape.sources.literals import CITY_CENTRES_TEXT
+    rows = []
+    for i, line in enumerate(CITY_CENTRES_TEXT.strip().splitlines()):
+        name, lat, lon = line.rsplit(",", 2)
+        rows.append(f"({i}, '{name}', {float(lat)!r}e0, {float(lon)!r}e0)")
+    return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") t(seq, city, latitude, longitude))"
+
+
+ORACLE["src_centres"] = with_ctes(by_centre_sql(_centre_values()))
+
+
 def _spark_rounding(sql: str) -> str:
     """Rewrite every ``round(x, d)`` into the decimal-text form of ``rnd``."""
     out, i = [], 0

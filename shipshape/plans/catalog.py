@@ -544,11 +544,15 @@ from shipshape.operators import models  # noqa: E402
 
 
 def _training(spark, sf_dir) -> DataFrame:
-    """Feature matrix of the sample, NULL features as 0, assembled, with a hash split.
+    """NearMiss-balanced sample -> 15-feature matrix (NULL features as 0) -> hash
+    split and stratified folds -> assembled vector (the reference's order: K5, K6,
+    then the models).
 
     It is read by several fits, so it is materialised once (checkpoint in the
-    shared checkpoint folder) instead of re-running the whole label plan per fit."""
-    fm = features.encoded_features(_model_frame(spark, sf_dir), MF_KEYS, features.FIXTURE_FEATURES)
+    shared checkpoint folder) instead of re-running the whole plan per fit."""
+    from shipshape.plans.stages import materialized
+    balanced = materialized(spark, sf_dir, "nearmiss", lambda: _nearmiss(spark, sf_dir))
+    fm = features.encoded_features(balanced, MF_KEYS, features.FIXTURE_FEATURES)
     fm = fm.fillna(0.0, features.FIXTURE_FEATURES)
     fm = features.split_by_key(fm, "k_order_no", 20, 1505)
     fm = features.stratified_folds(fm, 5, "label", MF_KEYS, 1505)
@@ -610,3 +614,26 @@ def model_comparison(spark, sf_dir):
     folds = reduce(DataFrame.unionByName, parts)
     return r6(stats.five_number(folds, ["model"], "accuracy")
               .join(stats.fold_summary(folds, ["model"], "accuracy"), "model"))
+
+
+# ---------------------------------------------------------------- NearMiss
+
+from shipshape.operators import nearmiss as nm  # noqa: E402
+
+NEARMISS_FEATURES = ["totalec_so", "distance_km", "delivery_day", "days_off_count"]
+
+
+def _nearmiss(spark, sf_dir):
+    scratch_dir(spark)
+    mf = _model_frame(spark, sf_dir)
+    return nm.nearmiss(mf, NEARMISS_FEATURES, "label", MF_KEYS, 3)
+
+
+@query
+def nearmiss_undersample(spark, sf_dir):
+    return r6(_nearmiss(spark, sf_dir).select(*MF_KEYS, "label"))
+
+
+@query
+def class_distribution_after(spark, sf_dir):
+    return r6(stats.class_distribution(_nearmiss(spark, sf_dir), "label"))
