@@ -552,6 +552,26 @@ def _centre_values() -> str:
 ORACLE["src_centres"] = with_ctes(by_centre_sql(_centre_values()))
 
 
+KNN_CTES = NM_CTES + [
+    ("kn_s", "SELECT *, CASE WHEN " + md5_hash("'split-1505-' || k_order_no") + " % 100 < 20 THEN 1 ELSE 0 END "
+             "AS is_test FROM nm_out"),
+    ("kn_a", "SELECT DISTINCT v0, v1, v2, v3 FROM kn_s WHERE is_test = 1"),
+    ("kn_top", """
+SELECT a.v0, a.v1, a.v2, a.v3, b.label,
+       row_number() OVER (PARTITION BY a.v0, a.v1, a.v2, a.v3
+                          ORDER BY sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2)
+                                        + pow(a.v3 - b.v3, 2)), b.label) AS rn
+FROM kn_a a, (SELECT * FROM kn_s WHERE is_test = 0) b"""),
+    ("kn_vote", "SELECT v0, v1, v2, v3, CASE WHEN sum(label) * 2 > 5 THEN 1.0e0 ELSE 0.0e0 END AS prediction "
+                "FROM kn_top WHERE rn <= 5 GROUP BY ALL"),
+    ("kn_pred", "SELECT t.label, v.prediction FROM (SELECT * FROM kn_s WHERE is_test = 1) t "
+                "JOIN kn_vote v USING (v0, v1, v2, v3)"),
+] + metric_ctes("kn_pred", [])
+ORACLE["knn_vote"] = with_ctes(
+    "SELECT " + r6("accuracy") + ", rows, " + r6("precision_weighted", "recall_weighted", "f1_weighted",
+                                                  "precision_pos", "recall_pos", "f1_pos") + " FROM m_w", KNN_CTES)
+
+
 def _spark_rounding(sql: str) -> str:
     """Rewrite every ``round(x, d)`` into the decimal-text form of ``rnd``."""
     out, i = [], 0

@@ -38,9 +38,11 @@ def _dist(d: int) -> Column:
 
 
 def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, h0: float | None = None,
-             max_rounds: int = 40) -> DataFrame:
-    """(_v0.._v{d-1}, knn_mean) for each distinct point of ``a``; ``b`` has _v* and
-    multiplicity ``_m``. Exact."""
+             max_rounds: int = 40, value: str | None = None) -> DataFrame:
+    """(_v0.._v{d-1}, knn_mean[, knn_value]) for each distinct point of ``a``; ``b`` has
+    _v* and multiplicity ``_m``. Exact. With ``value`` (a column of ``b``), neighbours
+    at equal distance are taken in ascending ``value`` order and ``knn_value`` is the
+    sum of their values (e.g. the number of positive labels among the k)."""
     spark = a.sparkSession
     stats = b.agg(*[F.min(f"_v{i}").alias(f"lo{i}") for i in range(d)],
                   *[F.max(f"_v{i}").alias(f"hi{i}") for i in range(d)],
@@ -60,20 +62,22 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, h0: float | None =
         last = h >= diameter
         cell_a = F.array(*[F.floor(F.col(f"_v{i}") / h).cast("long") for i in range(d)])
         cell_b = F.array(*[F.floor(F.col(f"_b{i}") / h).cast("long") for i in range(d)])
-        bb = b.select(*[F.col(f"_v{i}").alias(f"_b{i}") for i in range(d)], "_m")
+        bb = b.select(*[F.col(f"_v{i}").alias(f"_b{i}") for i in range(d)], "_m",
+                      (F.col(value) if value else F.lit(0.0)).alias("_val"))
         rep = (bb.withColumn("_off", F.explode(offsets))
                  .withColumn("_cell", F.zip_with(cell_b, F.col("_off"), lambda x, y: x + y)).drop("_off"))
         cand = pending.withColumn("_cell", cell_a).join(rep, "_cell").withColumn("_d", _dist(d))
-        w = Window.partitionBy(*[f"_v{i}" for i in range(d)]).orderBy("_d")
+        w = Window.partitionBy(*[f"_v{i}" for i in range(d)]).orderBy("_d", "_val")
         cum = F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         top = (cand.withColumn("_before", cum - F.col("_m")).filter(F.col("_before") < k)
                    .withColumn("_take", F.least(F.col("_m"), F.lit(k) - F.col("_before"))))
         agg = top.groupBy(*[f"_v{i}" for i in range(d)]).agg(
             F.sum("_take").alias("_n"), F.max("_d").alias("_kth"),
-            F.sum(F.col("_d") * F.col("_take")).alias("_sum"))
+            F.sum(F.col("_d") * F.col("_take")).alias("_sum"),
+            F.sum(F.col("_val") * F.col("_take")).alias("knn_value"))
         ok = (F.col("_n") >= k) & (F.col("_kth") <= h) if not last else F.lit(True)
-        res = agg.filter(ok).select(*[f"_v{i}" for i in range(d)],
-                                    (F.col("_sum") / F.col("_n")).alias("knn_mean")).checkpoint()
+        res = agg.filter(ok).select(*[f"_v{i}" for i in range(d)], (F.col("_sum") / F.col("_n")).alias("knn_mean"),
+                                    *(["knn_value"] if value else [])).checkpoint()
         done.append(res)
         if last:
             break
@@ -138,3 +142,18 @@ def nearmiss(df: DataFrame, feats: list[str], label: str = "label", keys: list[s
     scored = majo.select("*", *vec).join(means, [f"_v{i}" for i in range(d)]).drop(*[f"_v{i}" for i in range(d)])
     chosen = smallest_n(scored, counts[minority], "knn_mean", keys).drop("knn_mean")
     return mino.unionByName(chosen.select(*df.columns))
+
+
+def knn_vote(train: DataFrame, test: DataFrame, feats: list[str], label: str = "label", k: int = 5) -> DataFrame:
+    """k-nearest-neighbour classifier for 0/1 labels: ``test`` rows get ``prediction`` =
+    1.0 when most of their k nearest training rows are positive. Equal distances are
+    taken in ascending label order. Exact, by the same grid search as NearMiss."""
+    d = len(feats)
+    vec = _vec(feats)
+    b = (train.select(*vec, F.col(label).cast("double").alias("_lab"))
+              .groupBy(*[f"_v{i}" for i in range(d)], "_lab").agg(F.count(F.lit(1)).alias("_m")))
+    a = test.select(*vec).distinct()
+    votes = knn_mean(a, b, d, k, value="_lab")
+    pred = votes.select(*[f"_v{i}" for i in range(d)],
+                        F.when(F.col("knn_value") * 2 > k, 1.0).otherwise(0.0).alias("prediction"))
+    return test.select("*", *vec).join(pred, [f"_v{i}" for i in range(d)]).drop(*[f"_v{i}" for i in range(d)])

@@ -637,3 +637,13 @@ def nearmiss_undersample(spark, sf_dir):
 @query
 def class_distribution_after(spark, sf_dir):
     return r6(stats.class_distribution(_nearmiss(spark, sf_dir), "label"))
+
+
+@query
+def knn_vote(spark, sf_dir):
+    """5-NN vote on the NearMiss features: train rows (split 0) predict test rows (split 1)."""
+    from shipshape.plans.stages import materialized
+    balanced = materialized(spark, sf_dir, "nearmiss", lambda: _nearmiss(spark, sf_dir))
+    split = features.split_by_key(balanced, "k_order_no", 20, 1505)
+    pred = nm.knn_vote(split.filter("is_test = 0"), split.filter("is_test = 1"), NEARMISS_FEATURES, "label", 5)
+    return r6(metrics.weighted(pred))
