@@ -75,9 +75,13 @@ def iqr_bounds(df: DataFrame, x: str, k: float = 2.0, weight: str | None = None,
 
 def iqr_filter(df: DataFrame, x: str, bounds: DataFrame) -> DataFrame:
     """Keep rows inside [lower_bound, upper_bound], both ends included; NULL drops."""
-    lo = bounds.select("lower_bound").scalar()
-    hi = bounds.select("upper_bound").scalar()
-    return df.filter((F.col(x) >= lo) & (F.col(x) <= hi))
+    b = bounds.select(F.struct("lower_bound", "upper_bound")).scalar()  # one subquery for both ends
+    return df.filter((F.col(x) >= b["lower_bound"]) & (F.col(x) <= b["upper_bound"]))
+
+
+def between(df: DataFrame, x: str, lo: float, hi: float) -> DataFrame:
+    """Keep lo <= x <= hi (both ends included); NULL is dropped."""
+    return df.filter((F.col(x) >= F.lit(float(lo))) & (F.col(x) <= F.lit(float(hi))))
 
 
 def retention(df: DataFrame, kept: Column) -> DataFrame:

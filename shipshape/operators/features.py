@@ -63,9 +63,11 @@ def one_hot_long(frame: DataFrame, keys: list[str], cats: list[str] = CATEGORICA
     value is not the column's first (smallest) value -- drop='first' semantics.
     Feature names are ``<column>_<value>``. The first value per column comes from a
     scalar subquery; nothing is collected."""
+    # smallest value per column in its own order (months numerically): one pass, one row
+    firsts = frame.agg(*[F.min(c).alias(c) for c in cats]).first()
     parts = []
     for c in cats:
-        first = frame.agg(F.min(c)).scalar()  # smallest in the column's own order (months numerically)
+        first = F.lit(firsts[c])
         v = F.col(c)
         parts.append(frame.filter(v.isNotNull() & (v != first))
                           .select(*keys, F.concat(F.lit(f"{c}_"), v.cast("string")).alias("feature"),

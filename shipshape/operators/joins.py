@@ -89,8 +89,10 @@ def days_off(df: DataFrame, calendar: DataFrame, start: str = "order_date", end:
     key (NULL never joins) and empty range behave.
     """
     spine = off_day_spine(calendar)
-    ends = spine.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
-    lo, hi = ends["lo"], ends["hi"]
+    ends = spine.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()  # the calendar's two ends
+    if ends["lo"] is None:  # empty calendar: no day is off
+        return df.withColumn(out, F.lit(0.0))
+    lo, hi = F.lit(ends["lo"]), F.lit(ends["hi"])
     clamp = lambda c: F.least(F.greatest(c, lo), hi)
     a = F.broadcast(spine.select(F.col("day").alias("_a_day"), F.col("cum").alias("_a_cum")))
     b = F.broadcast(spine.select(F.col("day").alias("_b_day"), F.col("cum").alias("_b_cum")))

@@ -68,7 +68,7 @@ def median_distance(spark, sf_dir):
 @query
 def fill_distance_median(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    m = L.median_distance(inp).select("median_distance").scalar()
+    m = L.median_value(inp)
     return r6(cleaning.fill_distance(L.with_distance(inp), m).select(*KEY, "distance_km"))
 
 
@@ -90,12 +90,11 @@ def iqr_filter(spark, sf_dir):
 @query
 def iqr_retention(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    m = L.median_distance(inp).select("median_distance").scalar()
-    b = L.distance_bounds(inp, m)
+    m = L.median_value(inp)
+    lo, hi = L.bounds_values(inp, m)
     filled = cleaning.fill_distance(L.with_distance(inp), m)
     d = F.col("distance_km")
-    kept = (d >= b.select("lower_bound").scalar()) & (d <= b.select("upper_bound").scalar())
-    return r6(cleaning.retention(filled, kept))
+    return r6(cleaning.retention(filled, (d >= lo) & (d <= hi)))
 
 
 def _labelled(spark, sf_dir):
@@ -412,7 +411,7 @@ def normality_jarque_bera(spark, sf_dir):
 
 def _rule(df: DataFrame, spark, sf_dir) -> DataFrame:
     """prediction = 1 when the distance is below the median distance (a fixed rule)."""
-    m = L.median_distance(_inp(spark, sf_dir)).select("median_distance").scalar()
+    m = L.median_value(_inp(spark, sf_dir))
     return df.withColumn("prediction", F.when(F.col("distance_km") < m, 1.0).otherwise(0.0))
 
 

@@ -57,7 +57,14 @@ class Inputs:
 
 
 def add_distance(df: DataFrame) -> DataFrame:
-    return df.withColumn("distance_km", haversine_km(*GPS_COLUMNS))
+    """Haversine distance, evaluated once per row.
+
+    The fill and the IQR filter each refer to the distance more than once, and
+    filter push-down substitutes the expression at every reference (about
+    thirty trigonometric calls per row instead of six). Emitting it through a
+    one-element ``explode`` makes it a generated column the optimizer cannot
+    inline; exactly one row comes out per input row, a NULL distance included."""
+    return df.select("*", F.explode(F.array(haversine_km(*GPS_COLUMNS))).alias("distance_km"))
 
 
 def with_distance(inp: Inputs) -> DataFrame:
@@ -71,34 +78,56 @@ def pair_distances(inp: Inputs) -> DataFrame:
     return add_distance(joins.with_gps(pairs, inp.gps_customer, inp.gps_distributor))
 
 
-def median_population(inp: Inputs, strict: bool = False) -> DataFrame:
-    return cleaning.valid_gps(pair_distances(inp), strict)
+def median_population(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    return cleaning.valid_gps(pairs if pairs is not None else pair_distances(inp), strict)
 
 
-def median_distance(inp: Inputs, strict: bool = False) -> DataFrame:
+def median_distance(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """One row: n (lines in the population) and the exact median distance."""
-    return median_population(inp, strict).agg(
+    return median_population(inp, strict, pairs).agg(
         F.sum("n_lines").alias("n"),
         cleaning.median_expr("distance_km", F.col("n_lines")).alias("median_distance"))
 
 
-def filled_pairs(inp: Inputs, median=None) -> DataFrame:
+def median_value(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> float:
+    """The median as a driver value: one aggregate job, one row back.
+
+    Statistics are fetched once and enter later plans as literals. Left as scalar
+    subqueries they are re-planned at every use: the optimizer pushes the IQR filter
+    below the fill, which duplicates the fill expression, and each copy re-runs
+    its subquery (five medians for one cleaned table)."""
+    return median_distance(inp, strict, pairs).first()["median_distance"]
+
+
+def filled_pairs(inp: Inputs, median=None, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = pairs if pairs is not None else pair_distances(inp)
     if median is None:
-        median = median_distance(inp).select("median_distance").scalar()
-    return cleaning.fill_distance(pair_distances(inp), median)
+        median = median_value(inp, pairs=pairs)
+    return cleaning.fill_distance(pairs, median)
 
 
-def distance_bounds(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
+def distance_bounds(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None,
+                    pairs: DataFrame | None = None) -> DataFrame:
     """One row: q1, q3, iqr, lower_bound, upper_bound of the filled distance."""
-    return cleaning.iqr_bounds(filled_pairs(inp, median), "distance_km", k, "n_lines", rel_error)
+    return cleaning.iqr_bounds(filled_pairs(inp, median, pairs), "distance_km", k, "n_lines", rel_error)
+
+
+def bounds_values(inp: Inputs, median: float, k: float = IQR_K, rel_error: float | None = None,
+                  pairs: DataFrame | None = None) -> tuple[float, float]:
+    b = distance_bounds(inp, median, k, rel_error, pairs).first()
+    return b["lower_bound"], b["upper_bound"]
 
 
 def cleaned(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
-    """Lines with filled distance that lie inside the IQR bounds."""
+    """Lines with filled distance that lie inside the IQR bounds (two one-row jobs
+    fetch the median and the bounds; the line plan itself has no subquery)."""
+    # both statistics read the pair table: it is built once and checkpointed
+    pairs = pair_distances(inp).checkpoint()
     if median is None:
-        median = median_distance(inp).select("median_distance").scalar()
+        median = median_value(inp, pairs=pairs)
+    lo, hi = bounds_values(inp, median, k, rel_error, pairs)
     filled = cleaning.fill_distance(with_distance(inp), median)
-    return cleaning.iqr_filter(filled, "distance_km", distance_bounds(inp, median, k, rel_error))
+    return cleaning.between(filled, "distance_km", lo, hi)
 
 
 def add_labels(df: DataFrame, day_off: DataFrame) -> DataFrame:
