@@ -7,8 +7,6 @@ lines of one order stay together.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,18 +59,15 @@ def model_frame(df: DataFrame, label: str = "difot", keys: list[str] = ROW_KEY,
 def one_hot_long(frame: DataFrame, keys: list[str], cats: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
     """Sparse one-hot: one row (keys..., feature, value=1.0) per row and category whose
     value is not the column's first (smallest) value -- drop='first' semantics.
-    Feature names are ``<column>_<value>``. The first value per column comes from a
-    scalar subquery; nothing is collected."""
-    # smallest value per column in its own order (months numerically): one pass, one row
+    Feature names are ``<column>_<value>``. One pass for the first values (one row
+    back), one pass that explodes every row's categories."""
+    # smallest value per column in its own order (months numerically)
     firsts = frame.agg(*[F.min(c).alias(c) for c in cats]).first()
-    parts = []
-    for c in cats:
-        first = F.lit(firsts[c])
-        v = F.col(c)
-        parts.append(frame.filter(v.isNotNull() & (v != first))
-                          .select(*keys, F.concat(F.lit(f"{c}_"), v.cast("string")).alias("feature"),
-                                  F.lit(1.0).alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    entries = F.array(*[F.struct(F.concat(F.lit(f"{c}_"), F.col(c).cast("string")).alias("feature"),
+                                 (F.col(c).isNotNull() & (F.col(c) != F.lit(firsts[c]))).alias("keep"))
+                        for c in cats])
+    e = frame.select(*keys, F.explode(entries).alias("_e")).filter(F.col("_e.keep"))
+    return e.select(*keys, F.col("_e.feature").alias("feature"), F.lit(1.0).alias("value"))
 
 
 def encoded_features(frame: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
