@@ -138,6 +138,8 @@ def median_by_rank(values: DataFrame, x: str, weight: str | None = None, buckets
     vals = values.filter(F.col(x).isNotNull()).groupBy(x).agg(F.sum(w).cast("long").alias("_w"))
     # read by four jobs below (cuts, total, ranks, pick): written once to the
     # checkpoint folder instead of being re-derived by each
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(values.sparkSession)
     vals = vals.checkpoint()
     cuts = vals.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
     n = vals.agg(F.sum("_w")).scalar()

@@ -44,6 +44,8 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, h0: float | None =
     at equal distance are taken in ascending ``value`` order and ``knn_value`` is the
     sum of their values (e.g. the number of positive labels among the k)."""
     spark = a.sparkSession
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     stats = b.agg(*[F.min(f"_v{i}").alias(f"lo{i}") for i in range(d)],
                   *[F.max(f"_v{i}").alias(f"hi{i}") for i in range(d)],
                   F.sum("_m").alias("n")).collect()[0]
@@ -107,6 +109,8 @@ def kth_smallest(vals: DataFrame, x: str, w: str, k: int, buckets: int = 256):
 
 def smallest_n(df: DataFrame, n: int, score: str, keys: list[str]) -> DataFrame:
     """The n rows with the smallest (score, hash(keys), keys), exactly, duplicates included."""
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     d = df.withColumn("_h", key_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), "nm-")).checkpoint()
     total = d.count()
     if n >= total:

@@ -122,6 +122,8 @@ def cleaned(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None
     """Lines with filled distance that lie inside the IQR bounds (two one-row jobs
     fetch the median and the bounds; the line plan itself has no subquery)."""
     # both statistics read the pair table: it is built once and checkpointed
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(inp.fact.sparkSession)
     pairs = pair_distances(inp).checkpoint()
     if median is None:
         median = median_value(inp, pairs=pairs)

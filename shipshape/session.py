@@ -46,6 +46,12 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     return f"{base}/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a private temporary one only when none is set."""
+    scratch_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def local_session_from_env() -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
     return get_session(f"local[{cpus}]", int(os.environ.get("SHUFFLE_PARTITIONS", cpus)))
