@@ -94,15 +94,16 @@ def days_off(df: DataFrame, calendar: DataFrame, start: str = "order_date", end:
         return df.withColumn(out, F.lit(0.0))
     lo, hi = F.lit(ends["lo"]), F.lit(ends["hi"])
     clamp = lambda c: F.least(F.greatest(c, lo), hi)
-    a = F.broadcast(spine.select(F.col("day").alias("_a_day"), F.col("cum").alias("_a_cum")))
-    b = F.broadcast(spine.select(F.col("day").alias("_b_day"), F.col("cum").alias("_b_cum")))
-    j = (df.join(a, clamp(F.date_sub(F.col(start), 1)) == F.col("_a_day"), "left")
-           .join(b, clamp(F.col(end)) == F.col("_b_day"), "left"))
+    # one broadcast spine read by both lookups (the second is a reused exchange)
+    sp = F.broadcast(spine)
+    j = (df.join(sp.alias("_a"), clamp(F.date_sub(F.col(start), 1)) == F.col("_a.day"), "left")
+           .join(sp.alias("_b"), clamp(F.col(end)) == F.col("_b.day"), "left"))
     ok: Column = F.col(end) >= F.col(start)
     for g in guards:
         ok = ok & F.col(g).isNotNull()
-    cnt = F.when(ok, F.col("_b_cum") - F.col("_a_cum")).otherwise(F.lit(0)).cast("double")
-    return j.withColumn(out, cnt).drop("_a_day", "_a_cum", "_b_day", "_b_cum")
+    cnt = F.when(ok, F.col("_b.cum") - F.col("_a.cum")).otherwise(F.lit(0)).cast("double")
+    j = j.select(*[df[c] for c in df.columns], cnt.alias(out))
+    return j
 
 
 def days_off_range_join(df: DataFrame, calendar: DataFrame, start: str = "order_date",

@@ -108,7 +108,15 @@ def filled_pairs(inp: Inputs, median=None, pairs: DataFrame | None = None) -> Da
 
 def distance_bounds(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None,
                     pairs: DataFrame | None = None) -> DataFrame:
-    """One row: q1, q3, iqr, lower_bound, upper_bound of the filled distance."""
+    """One row: q1, q3, iqr, lower_bound, upper_bound of the filled distance.
+
+    Exact quartiles run over the weighted pair table; ``percentile_approx`` takes
+    no weights, so approximate ones run over the lines themselves."""
+    if rel_error is not None:
+        if median is None:
+            median = median_value(inp, pairs=pairs)
+        lines = cleaning.fill_distance(with_distance(inp), median)
+        return cleaning.iqr_bounds(lines, "distance_km", k, None, rel_error)
     return cleaning.iqr_bounds(filled_pairs(inp, median, pairs), "distance_km", k, "n_lines", rel_error)
 
 
