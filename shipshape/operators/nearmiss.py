@@ -53,9 +53,12 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, h0: float | None =
                    *[F.max(f"_v{i}").alias(f"hi{i}") for i in range(d)]).collect()[0]
     spans = [max(stats[f"hi{i}"], astats[f"hi{i}"]) - min(stats[f"lo{i}"], astats[f"lo{i}"]) for i in range(d)]
     diameter = math.sqrt(sum(s * s for s in spans)) + 1.0
-    if h0 is None:  # about k minority points per cell if they were spread evenly
+    if h0 is None:
+        # a quarter of the cell side that would hold about k minority points if they
+        # were spread evenly: points in dense regions resolve in the first rounds,
+        # while their neighbourhood is still small, and only sparse regions grow
         vol = math.prod(max(s, 1e-9) for s in spans)
-        h0 = max((vol * k / max(stats["n"], 1)) ** (1.0 / d), diameter / 1e6)
+        h0 = max((vol * k / max(stats["n"], 1)) ** (1.0 / d) / 4.0, diameter / 1e6)
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=d)])
     done, pending, h = [], a.checkpoint(), h0
     for _ in range(max_rounds):
