@@ -38,6 +38,19 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", int(cpus))
     times: dict[str, float] = {}
+    # the stage tables (fixtures, labelled, enriched) are written once per session by
+    # whichever query needs them first; timed on their own so that cost is not
+    # attributed to one query, and counted in the total
+    from shipshape.plans.catalog import _enriched, _labelled
+    t0 = time.time()
+    L.Inputs.from_fixtures(spark, sf_dir)
+    times["stage_fixtures"] = round(time.time() - t0, 3)
+    t0 = time.time()
+    _labelled(spark, sf_dir)
+    times["stage_labelled"] = round(time.time() - t0, 3)
+    t0 = time.time()
+    _enriched(spark, sf_dir)
+    times["stage_enriched"] = round(time.time() - t0, 3)
     for name in HEADLINE:
         t0 = time.time()
         run(QUERIES[name](spark, sf_dir))
@@ -50,7 +63,7 @@ def main() -> None:
         t0 = time.time()
         run(literal.labelled_literal(inp))
         times["baseline_literal_labelled"] = round(time.time() - t0, 3)
-    total = round(sum(v for k, v in times.items() if k in HEADLINE), 3)
+    total = round(sum(v for k, v in times.items() if k in HEADLINE or k.startswith("stage_")), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
