@@ -89,14 +89,30 @@ def median_distance(inp: Inputs, strict: bool = False, pairs: DataFrame | None =
         cleaning.median_expr("distance_km", F.col("n_lines")).alias("median_distance"))
 
 
-def median_value(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> float:
-    """The median as a driver value: one aggregate job, one row back.
+# ``percentile`` merges one counter per distinct value in one final task; above this many
+# distinct values (bounded by the number of customer/distributor pairs) the distributed
+# rank method is used instead. Both give the same doubles.
+PERCENTILE_MAX_DISTINCT = 2_000_000
+
+
+def _use_rank(inp: Inputs, pairs: DataFrame | None, method: str) -> bool:
+    if method != "auto":
+        return method == "rank"
+    return (pairs if pairs is not None else pair_distances(inp)).count() > PERCENTILE_MAX_DISTINCT
+
+
+def median_value(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None, method: str = "auto") -> float:
+    """The exact median as a driver value (one row back): ``percentile`` for up to
+    PERCENTILE_MAX_DISTINCT pairs, the distributed rank method beyond.
 
     Statistics are fetched once and enter later plans as literals. Left as scalar
     subqueries they are re-planned at every use: the optimizer pushes the IQR filter
     below the fill, which duplicates the fill expression, and each copy re-runs
     its subquery (five medians for one cleaned table)."""
-    return median_distance(inp, strict, pairs).first()["median_distance"]
+    if not _use_rank(inp, pairs, method):
+        return median_distance(inp, strict, pairs).first()["median_distance"]
+    pop = median_population(inp, strict, pairs)
+    return cleaning.quantiles_by_rank(pop, "distance_km", [0.5], "n_lines")[0]
 
 
 def filled_pairs(inp: Inputs, median=None, pairs: DataFrame | None = None) -> DataFrame:
@@ -121,21 +137,30 @@ def distance_bounds(inp: Inputs, median=None, k: float = IQR_K, rel_error: float
 
 
 def bounds_values(inp: Inputs, median: float, k: float = IQR_K, rel_error: float | None = None,
-                  pairs: DataFrame | None = None) -> tuple[float, float]:
-    b = distance_bounds(inp, median, k, rel_error, pairs).first()
-    return b["lower_bound"], b["upper_bound"]
+                  pairs: DataFrame | None = None, method: str = "auto") -> tuple[float, float]:
+    """(lower, upper) = Q1 - k IQR, Q3 + k IQR as driver values. Exact quartiles by
+    ``percentile`` or, above the size check, the distributed rank method;
+    approximate ones by ``percentile_approx``."""
+    if rel_error is not None or not _use_rank(inp, pairs, method):
+        b = distance_bounds(inp, median, k, rel_error, pairs).first()
+        return b["lower_bound"], b["upper_bound"]
+    q1, q3 = cleaning.quantiles_by_rank(filled_pairs(inp, median, pairs), "distance_km", [0.25, 0.75], "n_lines")
+    iqr = q3 - q1
+    return q1 - k * iqr, q3 + k * iqr
 
 
 def cleaned(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
     """Lines with filled distance that lie inside the IQR bounds (two one-row jobs
     fetch the median and the bounds; the line plan itself has no subquery)."""
-    # both statistics read the pair table: it is built once and checkpointed
+    # both statistics read the pair table: it is built once and checkpointed, and its
+    # row count (an upper bound of the distinct distances) picks the quantile method
     from shipshape.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(inp.fact.sparkSession)
     pairs = pair_distances(inp).checkpoint()
+    method = "rank" if pairs.count() > PERCENTILE_MAX_DISTINCT else "percentile"
     if median is None:
-        median = median_value(inp, pairs=pairs)
-    lo, hi = bounds_values(inp, median, k, rel_error, pairs)
+        median = median_value(inp, pairs=pairs, method=method)
+    lo, hi = bounds_values(inp, median, k, rel_error, pairs, method)
     filled = cleaning.fill_distance(with_distance(inp), median)
     return cleaning.between(filled, "distance_km", lo, hi)
 

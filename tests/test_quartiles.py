@@ -16,3 +16,11 @@ def test_approx_quartiles_rank_error(spark):
     for q, p in ((b.q1, 0.25), (b.q3, 0.75)):
         below = lines.filter(F.col("distance_km") <= q).count() / n
         assert abs(below - p) <= 0.011
+
+
+def test_rank_method_equals_percentile(spark):
+    inp = L.Inputs.from_fixtures(spark, "/root/testdata/sf0.001")
+    m_p = L.median_value(inp, method="percentile")
+    m_r = L.median_value(inp, method="rank")
+    assert m_p == m_r
+    assert L.bounds_values(inp, m_p, method="percentile") == L.bounds_values(inp, m_p, method="rank")
