@@ -464,7 +464,7 @@ def box_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- CSV sources and sinks
 
-from shipshape.session import scratch_dir  # noqa: E402
+from shipshape.session import ensure_checkpoint_dir, scratch_dir  # noqa: E402
 from shipshape.sources import files  # noqa: E402
 
 FACT_TYPES = {**{c: "double" for c in ("totalec_sr", "totalnsr_sr", "totalnsr_so", "totalec_so", "diff_ec",
@@ -555,7 +555,7 @@ def _training(spark, sf_dir) -> DataFrame:
     fm = fm.fillna(0.0, features.FIXTURE_FEATURES)
     fm = features.split_by_key(fm, "k_order_no", 20, 1505)
     fm = features.stratified_folds(fm, 5, "label", MF_KEYS, 1505)
-    scratch_dir(spark)  # makes sure a checkpoint folder exists
+    ensure_checkpoint_dir(spark)
     return features.assemble(fm, features.FIXTURE_FEATURES).checkpoint()
 
 
@@ -623,7 +623,7 @@ NEARMISS_FEATURES = ["totalec_so", "distance_km", "delivery_day", "days_off_coun
 
 
 def _nearmiss(spark, sf_dir):
-    scratch_dir(spark)
+    ensure_checkpoint_dir(spark)
     mf = _model_frame(spark, sf_dir)
     return nm.nearmiss(mf, NEARMISS_FEATURES, "label", MF_KEYS, 3)
 

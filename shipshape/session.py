@@ -1,7 +1,6 @@
 """Session construction and the shared scratch location."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,27 +30,32 @@ def get_session(master: str | None = None, partitions: int | None = None,
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str = "") -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session has none
-    (local tests) a private temporary folder is created and registered.
+    Where it is unset and everything runs in one JVM (``local[*]``, as in tests) a
+    private temporary folder is registered; any other master gets a clear error, since
+    a machine-local folder would lose the files of other executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="shipshape-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
-    return f"{base}/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors "
+                               "share (for example on HDFS or an object store) before starting the session")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shipshape-ckpt-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private temporary one only when none is set."""
-    scratch_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
+def scratch_dir(spark: SparkSession, name: str = "") -> str:
+    """A fresh sub-folder name under the shared folder."""
+    return f"{shared_dir(spark)}/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
 
 
-def local_session_from_env() -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    return get_session(f"local[{cpus}]", int(os.environ.get("SHUFFLE_PARTITIONS", cpus)))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Registers the shared folder for ``checkpoint()`` where the context has none yet."""
+    base = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base

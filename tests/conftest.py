@@ -13,7 +13,7 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from shipshape.session import get_session, scratch_dir
+    from shipshape.session import ensure_checkpoint_dir, get_session
     s = get_session("local[4]", 4, app="shipshape-tests")
-    scratch_dir(s)  # a private checkpoint folder when none is configured
+    ensure_checkpoint_dir(s)  # a private checkpoint folder when none is configured
     yield s
