@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Alternates the large-star and the small-star step (each a grouped minimum and an
     equi-join) until the edges no longer change, which takes a number of rounds
     logarithmic in the graph's size. A hub's edges are never gathered: the minimum is
-    combined map-side and the join on a hub can be split by AQE. Every round is staged.
+    combined map-side and, as the minima are staged, the join on a hub can be split by AQE.
     Self-loops, repeated edges and edges with a null end count for nothing.
     """
     x, y = F.col(a), F.col(b)
@@ -75,9 +75,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(low, "lows")
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large = staged(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(low, "u")
         e = staged(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                    .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")

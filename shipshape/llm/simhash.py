@@ -80,7 +80,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, component) for each fingerprint that another one links with; ``fps`` holds distinct ones."""
     rows = fps.select("fp", F.posexplode(_keys(F.col("fp"), max_bits)).alias("c", "m"))
     hubs = rows.groupBy("c", "m").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub != top")
-    rows = staged(rows.join(hubs.select("c", "m", "hub"), ["c", "m"]), "blocks")  # rows that share a key
+    hubs = staged(hubs.select("c", "m", "hub"), "hubs")  # aggregates are staged so that AQE can split their joins
+    rows = staged(rows.join(hubs, ["c", "m"]), "blocks")  # rows that share a key
     stars = rows.where((F.col("fp") != F.col("hub")) & (_far("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
     stars = staged(stars, "stars")
     comps = connected_components(stars, "fp", "hub")
@@ -90,6 +91,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     sizes = known.groupBy("c", "m", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("c", "m").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"),
                                         F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    split = staged(split, "split")
     known = staged(known.join(split, ["c", "m"]), "parts")
     few = known.where("comp != main").select("c", "m", F.col("fp").alias("x"), F.col("comp").alias("xc"))
     across = few.join(known.select("c", "m", F.col("fp").alias("y"), F.col("comp").alias("yc")), ["c", "m"]).where(
@@ -113,7 +115,7 @@ def simhash_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = M
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     own = own.join(links, own["fp"] == links["f"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     own = staged(own, "owners")
-    low = own.groupBy("c").agg(F.min("low").alias("component_id"))
+    low = staged(own.groupBy("c").agg(F.min("low").alias("component_id")), "components")
     ids = own.join(low, "c").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                       "component_id")
