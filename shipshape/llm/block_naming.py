@@ -71,7 +71,7 @@ def _paired(names: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(_bucket(F.col("h"))).orderBy("h", "a", "b"))
     table = pairs.select("a", "b").distinct().withColumn("h", h).select(
         "a", "b", (F.shiftleft(_bucket(F.col("h")), PLACE_BITS) + place).alias("name"))
-    return pairs.join(table, ["a", "b"]).select("doc_id", "tag", "n_bytes", "pos", "name")
+    return pairs.join(staged(table, "table"), ["a", "b"]).select("doc_id", "tag", "n_bytes", "pos", "name")
 
 
 def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
@@ -106,6 +106,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
     ident = block_identities(docs, block_bytes, block_hash)
     groups = ident.groupBy("n_bytes", "name").agg(F.max("doc_id").alias("keep_id"),
                                                   F.count(F.lit(1)).alias("group_size"))
+    groups = staged(groups, "groups")  # apart from its aggregate, AQE can split the join on a large group
     found = ident.join(groups, ["n_bytes", "name"]).select(F.col("doc_id").alias("id"), F.col("tag").alias("t"),
                                                            "keep_id", "group_size")
     text = text_of(docs)
