@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipshape.llm import block_naming, packing, simhash
+from shipshape.llm import (block_naming, html_regions, itq, licenses, packing, quality_fm, simhash, tool_calls,
+                           toxicity_zstd)
 from shipshape.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +32,48 @@ def op2_simhash(spark, sf_dir):
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_itq(spark, sf_dir):
+    return itq.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLE["op4_licenses"] = licenses.oracle()
+
+
+@query
+def op6_quality_fm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_html_regions(spark, sf_dir):
+    return html_regions.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_tool_calls(spark, sf_dir):
+    """The table's chats are plain; calls and results are derived from its rows."""
+    return tool_calls.format_chats(tool_calls.derived_calls(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op9_block_naming(spark, sf_dir):
     return block_naming.exact_dedup(table(spark, sf_dir, "documents")).drop("tag")
 
 
+@query
+def op10_toxicity_zstd(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, table(spark, sf_dir, "labels")))
+
+
 LLM_ORACLE["op9_block_naming"] = """
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
