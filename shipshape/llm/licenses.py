@@ -155,12 +155,12 @@ def oracle() -> str:
     rows = ", ".join(f"({t}, '{label}', {str(b).lower()}, '{w}', {i}, {str(m).lower()})"
                      for t, label, b, w, i, m in postings())
     return f"""
-WITH p(template, label, is_base, word, at, must) AS (VALUES {rows}),
+WITH p(template, label, is_base, word, place, must) AS (VALUES {rows}),
      size AS (SELECT template, count(*) AS n, sum(must::INT) AS n_must FROM p GROUP BY 1),
      d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
      w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
-     hit AS (SELECT doc_id, template, label, is_base, pos - at AS start, count(*) AS n_hit, sum(must::INT) AS must_hit
+     hit AS (SELECT doc_id, template, label, is_base, pos - place AS start, count(*) AS n_hit, sum(must::INT) AS must_hit
              FROM w JOIN p USING (word) GROUP BY ALL),
      place AS (SELECT doc_id, label, is_base, start, n_hit / n AS coverage
                FROM hit JOIN size USING (template) WHERE must_hit = n_must),

@@ -25,7 +25,7 @@ WORD_BUCKETS = 1 << 15
 FACTORS = 8
 #: Weight of all hashed words together against the statistics.
 WORD_SCALE = 0.5
-EPOCHS, BATCH, RATE, RIDGE, SEED = 12, 128, 0.05, 1e-4, 7
+STEPS, BATCH, RATE, RIDGE, SEED = 1500, 64, 0.05, 1e-4, 7
 THRESHOLD = 0.3
 #: Places of the statistics and metadata in front of the word buckets.
 STATISTICS = 32
@@ -79,8 +79,8 @@ def raw_score(model: dict, places, values) -> float:
     return float(model["w0"] + x @ model["w"][places] + 0.5 * (s @ s - ((x[:, None] * v) ** 2).sum()))
 
 
-def train(rows: list[tuple[list[int], list[float], int]], epochs: int = EPOCHS) -> dict:
-    """Logistic loss by mini-batches with Adagrad, from a fixed seed."""
+def train(rows: list[tuple[list[int], list[float], int]], steps: int = STEPS) -> dict:
+    """Logistic loss by ``steps`` mini-batches with Adagrad, from a fixed seed."""
     import numpy as np
     rnd, size = np.random.default_rng(SEED), STATISTICS + WORD_BUCKETS
     share = sum(r[2] for r in rows) / max(1, len(rows)) if rows else 0.5
@@ -90,31 +90,30 @@ def train(rows: list[tuple[list[int], list[float], int]], epochs: int = EPOCHS)
         return model | {"v": np.zeros((size, FACTORS))}
     gw, gv, g0 = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8), 1e-8
     rows = [(np.array(i), np.array(x), y) for i, x, y in rows]
-    for _ in range(epochs):
-        order = rnd.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            part = [rows[k] for k in order[at:at + BATCH]]
-            places, x = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
-            y = np.array([r[2] for r in part], float)
-            first = np.concatenate([[0], np.cumsum([len(r[0]) for r in part])[:-1]])
-            doc = np.repeat(np.arange(len(part)), [len(r[0]) for r in part])
-            v = model["v"][places]
-            xv = x[:, None] * v
-            s = np.add.reduceat(xv, first)
-            z = model["w0"] + np.add.reduceat(x * model["w"][places], first) + 0.5 * (
-                (s ** 2).sum(1) - np.add.reduceat((xv ** 2).sum(1), first))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(part)
-            used, where = np.unique(places, return_inverse=True)
-            dw = np.bincount(where, x * e[doc], len(used)) + RIDGE * model["w"][used]
-            each = (x * e[doc])[:, None] * (s[doc] - xv)
-            dv = np.stack([np.bincount(where, each[:, f], len(used)) for f in range(FACTORS)], 1)
-            dv += RIDGE * model["v"][used]
-            g0 += e.sum() ** 2
-            gw[used] += dw ** 2
-            gv[used] += dv ** 2
-            model["w0"] -= RATE * e.sum() / math.sqrt(g0)
-            model["w"][used] -= RATE * dw / np.sqrt(gw[used])
-            model["v"][used] -= RATE * dv / np.sqrt(gv[used])
+    order = np.concatenate([rnd.permutation(len(rows)) for _ in range(-(-steps * BATCH // len(rows)))])
+    for at in range(0, steps * BATCH, BATCH):
+        part = [rows[k] for k in order[at:at + BATCH]]
+        places, x = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
+        y = np.array([r[2] for r in part], float)
+        first = np.concatenate([[0], np.cumsum([len(r[0]) for r in part])[:-1]])
+        doc = np.repeat(np.arange(len(part)), [len(r[0]) for r in part])
+        v = model["v"][places]
+        xv = x[:, None] * v
+        s = np.add.reduceat(xv, first)
+        z = model["w0"] + np.add.reduceat(x * model["w"][places], first) + 0.5 * (
+            (s ** 2).sum(1) - np.add.reduceat((xv ** 2).sum(1), first))
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(part)
+        used, where = np.unique(places, return_inverse=True)
+        dw = np.bincount(where, x * e[doc], len(used)) + RIDGE * model["w"][used]
+        each = (x * e[doc])[:, None] * (s[doc] - xv)
+        dv = np.stack([np.bincount(where, each[:, f], len(used)) for f in range(FACTORS)], 1)
+        dv += RIDGE * model["v"][used]
+        g0 += e.sum() ** 2
+        gw[used] += dw ** 2
+        gv[used] += dv ** 2
+        model["w0"] -= RATE * e.sum() / math.sqrt(g0)
+        model["w"][used] -= RATE * dw / np.sqrt(gw[used])
+        model["v"][used] -= RATE * dv / np.sqrt(gv[used])
     return model
 
 
