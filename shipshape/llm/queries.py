@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipshape.llm import (block_naming, html_regions, itq, licenses, packing, quality_fm, simhash, tool_calls,
+from shipshape.llm import (block_naming, byte_bpe, html_regions, itq, licenses, packing, quality_fm, simhash, tool_calls,
                            toxicity_zstd)
 from shipshape.sources.tables import table
 
@@ -45,6 +45,15 @@ def op4_licenses(spark, sf_dir):
 LLM_ORACLE["op4_licenses"] = licenses.oracle()
 
 
+@query
+def op5_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op6_quality_fm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

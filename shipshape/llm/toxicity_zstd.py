@@ -5,8 +5,8 @@ ordinary text, one on the toxic text, that is on the words of toxic documents wh
 stand in at least ``CONTRAST`` times as many contexts there as ordinary text would lead one to
 expect. The toxic compressor reads its dictionary in front of the ordinary one, so both know
 ordinary language equally well and a window's two compressed lengths differ by what the toxic
-dictionary adds. A document's score is a logistic function, calibrated on the sample, of the
-largest savings among all its windows.
+dictionary adds. A document's score is a logistic function, calibrated on the sample, of what
+all its windows save.
 """
 from __future__ import annotations
 
@@ -27,10 +27,11 @@ SAMPLE = 3000
 #: Windows of ordinary text to train on, at most.
 TRAIN_WINDOWS = 120_000
 WINDOW_BYTES = 120
-ORDINARY_BYTES, TOXIC_BYTES = 49152, 8192
-LEVEL, MIN_MATCH = 12, 3
-CONTRAST, LEAST_CONTEXTS = 20, 4
-BEGINNINGS = (4, 5, 6)
+ORDINARY_BYTES, TOXIC_BYTES = 114688, 8192
+#: Matches of at least four bytes, found by a lazy search in hash chains.
+MIN_MATCH, WINDOW_LOG, TABLE_LOG, SEARCH_LOG = 4, 19, 17, 6
+CONTRAST, LEAST_CONTEXTS = 20, 6
+BEGINNINGS = range(4, 10)
 THRESHOLD = 0.5
 
 _WINDOW = re.compile(rb".{1,%d}(?:\s|$)|.{%d}" % (WINDOW_BYTES, WINDOW_BYTES), re.S)
@@ -44,22 +45,24 @@ def windows(text: str | None) -> list[bytes]:
 @functools.lru_cache(maxsize=4)
 def _compressors(ordinary: bytes, toxic: bytes):
     import zstandard as zs
+    params = zs.ZstdCompressionParameters(
+        window_log=WINDOW_LOG, hash_log=TABLE_LOG, chain_log=TABLE_LOG, search_log=SEARCH_LOG, min_match=MIN_MATCH,
+        strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
 
     def made(content: bytes):
-        params = zs.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=ORDINARY_BYTES, source_size=WINDOW_BYTES, min_match=MIN_MATCH, write_content_size=0,
-            write_checksum=0, write_dict_id=0)
         return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT),
                                  compression_params=params).compress
     return made(ordinary), made(toxic + ordinary)
 
 
 def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
-    """The three largest savings in bytes among a text's windows, and its length."""
+    """The savings in bytes of all windows of a text: the largest, the mean of the three largest,
+    the sum of those over noise by the root of the windows, the share of clear ones; its length."""
     plain, marked = _compressors(ordinary, toxic)
-    parts = windows(text)
-    saved = sorted((len(plain(w)) - len(marked(w)) for w in parts), reverse=True)[:3]
-    return [*map(float, saved), *[0.0] * (3 - len(saved)), math.log(len(parts))]
+    saved = sorted((len(plain(w)) - len(marked(w)) for w in windows(text)), reverse=True)
+    n = len(saved)
+    return [saved[0], sum(saved[:3]) / 3, sum(x for x in saved if x >= 2) / math.sqrt(n),
+            sum(x >= 3 for x in saved) / n, math.log(n)]
 
 
 def _contexts(texts: list[str]) -> tuple[dict[str, set], int]:
@@ -83,13 +86,22 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     return [w for t in toxic for w in t.lower().split() if marked and w.startswith(marked)]
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; where the samples are too few to train on, their own bytes."""
+def _ordinary(texts: list[str]) -> bytes:
+    """A dictionary trained on windows; where they are too few to train on, their own bytes."""
     import zstandard as zs
+    parts = [w for t in texts for w in windows(t)]
+    parts = parts[::-(-len(parts) // TRAIN_WINDOWS) or 1]
     try:
-        return zs.train_dictionary(size, samples).as_bytes()
+        return zs.train_dictionary(ORDINARY_BYTES, parts).as_bytes()
     except zs.ZstdError:
-        return b"".join(s for s, _ in reversed(Counter(samples).most_common()))[-size:]
+        return b"".join(parts)[-ORDINARY_BYTES:] or b" "
+
+
+def _toxic(toxic: list[str], ordinary: list[str]) -> bytes:
+    """The toxic words as a dictionary, the commonest nearest to the text (where zstandard's own
+    trainer puts the best segments too)."""
+    words = Counter(f" {w} ".encode("utf-8", "surrogatepass") for w in toxic_words(toxic, ordinary))
+    return b"".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))[-TOXIC_BYTES:]
 
 
 def _logistic(x, y, steps: int = 50, ridge: float = 1e-2):
@@ -106,31 +118,24 @@ def _logistic(x, y, steps: int = 50, ridge: float = 1e-2):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The dictionaries and the calibration, from at most ``sample`` labelled documents of each class.
 
-    The dictionaries are trained on half of them and the calibration on the other half, so that
-    it sees words as new texts bring them. Without labels of both classes every score is the
-    share of toxic labels (0 if there are none).
+    The calibration sees savings as new texts bring them: those of each half of the sample with
+    dictionaries that were trained on the other half. The dictionaries that score are then
+    trained on both. Without labels of both classes every score is the share of toxic labels.
     """
     import numpy as np
     picked = rows_of(labelled_ids(labels, "toxic", sample, per_class=True), docs)
-    rows = sorted(picked.select("sample_id", "y", text_of(docs).alias("text")).collect())
-    part = lambda y, odd: [r.text for i, r in enumerate(x for x in rows if x.y == y) if i % 2 == odd]
-    base = sum(r.y for r in rows) / max(1, len(rows))
-    if base in (0, 1) or not part(1, 1) or not part(0, 1):
-        return {"ordinary": b" ", "toxic": b" ", "weights": [math.log((base + 1e-6) / (1 - base + 1e-6)), 0, 0, 0, 0]}
-
-    def trained(odd: int | None):
-        bad, good = ([t for k in (0, 1) if odd in (None, k) for t in part(y, k)] for y in (1, 0))
-        spans = [f" {w} ".encode("utf-8", "surrogatepass") * 3 for w in toxic_words(bad, good)]
-        plain, step = [w for t in good for w in windows(t)], 1
-        step = -(-len(plain) // TRAIN_WINDOWS)
-        return _dictionary(plain[::max(1, step)], ORDINARY_BYTES), _dictionary(spans, TOXIC_BYTES) or b" "
-
-    ordinary, toxic = trained(0)
-    bad, good = part(1, 1), part(0, 1)
-    x = np.array([features(t, ordinary, toxic) for t in bad + good])
-    w = _logistic(x, np.array([1.0] * len(bad) + [0.0] * len(good)))
-    ordinary, toxic = trained(None)
-    return {"ordinary": ordinary, "toxic": toxic, "weights": w.tolist()}
+    rows = sorted(picked.select("sample_id", "y", text_of(docs).alias("text")).distinct().collect())
+    good, bad = ([r.text for r in rows if r.y == y] for y in (0, 1))
+    if min(len(good), len(bad)) < 2:
+        base = (len(bad) + 1e-6) / (len(good) + len(bad) + 2e-6)
+        return {"ordinary": b" ", "toxic": b"", "weights": [math.log(base / (1 - base)), 0, 0, 0, 0, 0]}
+    x, y = [], []
+    for odd in (0, 1):
+        plain, marked = _ordinary(good[odd::2]), _toxic(bad[odd::2], good[odd::2])
+        x += [features(t, plain, marked) for t in bad[1 - odd::2] + good[1 - odd::2]]
+        y += [1.0] * len(bad[1 - odd::2]) + [0.0] * len(good[1 - odd::2])
+    return {"ordinary": _ordinary(good), "toxic": _toxic(bad, good),
+            "weights": _logistic(np.array(x), np.array(y)).tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
