@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def op1_packing(spark, sf_dir):
 
 @query
 def op2_simhash(spark, sf_dir):
-    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents")).drop("tag")
 
 
 @query
@@ -57,7 +58,7 @@ def op5_byte_bpe(spark, sf_dir):
 @query
 def op6_quality_fm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels"))).drop("tag")
 
 
 @query
@@ -80,7 +81,7 @@ def op9_block_naming(spark, sf_dir):
 @query
 def op10_toxicity_zstd(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, table(spark, sf_dir, "labels"))).drop("tag")
 
 
 LLM_ORACLE["op9_block_naming"] = """
@@ -89,3 +90,8 @@ WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(text) AS text_sha256
 FROM d JOIN g USING (text)
 """
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

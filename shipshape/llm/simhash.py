@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipshape.llm.common import connected_components, ship, staged, text_of
+from shipshape.llm.common import connected_components, row_tag, ship, staged, text_of
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -50,17 +50,17 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, tag, fp): fp is the fingerprint as a signed long, tag tells texts of one doc_id apart."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64())],
-                                             names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64), pa.int64())],
+                                             names=["doc_id", "tag", "fp"])
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(text_of(docs)).alias("tag"),
+                       text_of(docs).alias("text")).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _keys(fp: Column, max_bits: int) -> Column:
@@ -101,7 +101,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per document row: doc_id, fingerprint (16 hex digits), component_id, tag.
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other.
     Fewer words than a shingle make one shingle of them all. Repeated rows give repeated
@@ -118,4 +118,4 @@ def simhash_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = M
     low = staged(own.groupBy("c").agg(F.min("low").alias("component_id")), "components")
     ids = own.join(low, "c").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                      "component_id")
+                                      "component_id", "tag")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipshape.llm.common import held_out, ship, text_of
+from shipshape.llm.common import held_out, row_tag, ship, text_of
 from shipshape.llm.samples import labelled_ids, rows_of
 
 #: Labelled documents to fit on, of each class at most.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, held_out, score, predicted): one row per document row, from its whole text.
+    """(doc_id, tag, held_out, score, predicted): one row per document row, from its whole text.
 
     Null texts are empty; the empty text, repeated rows and null ids are scored like any other.
     Only doc_id and text are read, and the id is no input of the score.
@@ -149,12 +149,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         w = model["weights"]
         for b in batches:
             sums = [w[0] + sum(a * f for a, f in zip(w[1:], features(t, model["ordinary"], model["toxic"])))
-                    for t in b.column(1).to_pylist()]
+                    for t in b.column(2).to_pylist()]
             out = [1 / (1 + math.exp(-max(-700.0, min(700.0, s)))) for s in sums]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())],
+                                             names=["doc_id", "tag", "score"])
 
     ship(docs.sparkSession)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(
-        run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(text_of(docs)).alias("tag"),
+                         text_of(docs).alias("text")).mapInArrow(
+        run, "doc_id long, tag long, score double")
+    return scored.select("doc_id", "tag", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

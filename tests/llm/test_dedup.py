@@ -96,7 +96,7 @@ def test_simhash(spark, corpus, case):
     fps = [brute_fingerprint(t) for _, t in rows]
     comps = brute_components([i for i, _ in rows], links_of(fps, 4))
     want = sorted(map(str, ((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, comps))))
-    assert sorted(str(tuple(r)) for r in simhash.simhash_dedup(docs_of(spark, rows)).collect()) == want
+    assert sorted(str(tuple(r)[:3]) for r in simhash.simhash_dedup(docs_of(spark, rows)).collect()) == want
 
 
 def test_fingerprint_links_on_chains_and_clusters(spark):
