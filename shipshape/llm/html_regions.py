@@ -27,7 +27,7 @@ RADIUS = 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-                    "samp small span strike strong sub sup time tt u var wbr img".split())
+                    "samp small span strike strong sub sup time tt u var wbr img script style button".split())
 _DROP = frozenset("head title script style noscript template nav footer aside form button select option textarea "
                   "input iframe object embed svg canvas math audio video menu dialog".split())
 _DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
@@ -42,10 +42,11 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "main")
+    __slots__ = ("tag", "parent", "drop", "main", "mute")
 
     def __init__(self, tag: str, parent: _Element | None, drop: bool, main: int):
         self.tag, self.parent, self.drop, self.main = tag, parent, drop, main
+        self.mute = drop and (tag in _INLINE or parent is not None and parent.mute)  # no part of the line around it
 
 
 class _Lines(HTMLParser):
@@ -122,7 +123,8 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        self.words.append(data)
+        if not self.at.mute:
+            self.words.append(data)
 
     def handle_comment(self, data):
         self.tags += 1
