@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -65,24 +65,28 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
             sum(x >= 3 for x in saved) / n, math.log(n)]
 
 
-def _contexts(texts: list[str]) -> tuple[dict[str, set], int]:
-    found, words = defaultdict(set), 0
+def _contexts(texts: list[str], only: Counter | None = None) -> tuple[Counter, int]:
+    """In how many contexts (the word and the one before it) each beginning of a word stands (of
+    those in ``only``, if given), and the number of words."""
+    seen, found, words = set(), Counter(), 0
     for t in texts:
         before = ""
         for w in t.lower().split():
             words += 1
-            for k in BEGINNINGS:
-                if len(w) >= k:
-                    found[w[:k]].add(hash((before, w)))
+            if len(w) >= BEGINNINGS[0] and (pair := hash((before, w))) not in seen:
+                seen.add(pair)
+                found.update(p for p in {w[:k] for k in BEGINNINGS} if len(p) >= BEGINNINGS[0]
+                             and (only is None or p in only))
             before = w
     return found, words
 
 
 def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     """The words of the toxic texts (with repeats) that begin as ordinary words hardly do."""
-    (there, n), (here, m) = _contexts(toxic), _contexts(ordinary)
-    marked = tuple(p for p, c in there.items() if len(c) >= LEAST_CONTEXTS
-                   and len(c) * (m + 1) >= CONTRAST * (len(here.get(p, ())) + 0.5) * (n + 1))
+    there, n = _contexts(toxic)
+    there = Counter({p: c for p, c in there.items() if c >= LEAST_CONTEXTS})
+    here, m = _contexts(ordinary, there)
+    marked = tuple(p for p, c in there.items() if c * (m + 1) >= CONTRAST * (here[p] + 0.5) * (n + 1))
     return [w for t in toxic for w in t.lower().split() if marked and w.startswith(marked)]
 
 
