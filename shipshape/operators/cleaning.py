@@ -1,8 +1,7 @@
 """Coordinate checks, median fill, IQR outlier removal and data audits.
 
-Every statistic a later step needs (median, quartile bounds) is a one-row
-aggregate fed back as a scalar subquery: it stays inside one lazy plan, runs as
-its own distributed job, and never passes through Python.
+The statistics that later steps need (median, quartile bounds) are single values, fetched by
+distributed selection (``ranks``) and put into the next plan as literals.
 """
 from __future__ import annotations
 
@@ -46,37 +45,14 @@ def fill_distance(df: DataFrame, median, distance: str = "distance_km") -> DataF
     return df.withColumn(distance, F.when(needs_fill(distance), m).otherwise(F.col(distance)))
 
 
-def median_expr(x, weight=None) -> Column:
-    """Exact median (mean of the two middle values for an even count).
+def bounds(q1: float, q3: float, k: float = 2.0) -> tuple[float, float]:
+    """Q1 - k IQR and Q3 + k IQR."""
+    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
 
-    ``percentile`` keeps one counter per distinct value, so its memory follows the
-    number of distinct values, not rows; ``weight`` lets the caller pre-aggregate
-    repeated values (e.g. one row per customer/distributor pair) first.
-    """
-    return F.percentile(x, 0.5, weight if weight is not None else 1)
-
-
-def quartiles_expr(x, weight=None, rel_error: float | None = None) -> Column:
-    """[Q1, Q3]: interpolated exact quartiles, or Greenwald-Khanna with ``rel_error``."""
-    if rel_error is None:
-        return F.percentile(x, [0.25, 0.75], weight if weight is not None else 1)
-    return F.percentile_approx(x, [0.25, 0.75], int(round(1.0 / rel_error)))
-
-
-def iqr_bounds(df: DataFrame, x: str, k: float = 2.0, weight: str | None = None,
-               rel_error: float | None = None) -> DataFrame:
-    """One row: q1, q3, iqr, lower_bound, upper_bound (bounds = Q -/+ k * IQR)."""
-    q = df.agg(quartiles_expr(x, F.col(weight) if weight else None, rel_error).alias("q"))
-    return (q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-             .withColumn("iqr", F.col("q3") - F.col("q1"))
-             .withColumn("lower_bound", F.col("q1") - k * F.col("iqr"))
-             .withColumn("upper_bound", F.col("q3") + k * F.col("iqr")))
 
-
-def iqr_filter(df: DataFrame, x: str, bounds: DataFrame) -> DataFrame:
-    """Keep rows inside [lower_bound, upper_bound], both ends included; NULL drops."""
-    b = bounds.select(F.struct("lower_bound", "upper_bound")).scalar()  # one subquery for both ends
-    return df.filter((F.col(x) >= b["lower_bound"]) & (F.col(x) <= b["upper_bound"]))
+def approx_quartiles(df: DataFrame, x: str, rel_error: float) -> tuple[float, float]:
+    """Q1 and Q3 within a relative rank error, in one pass."""
+    return tuple(df.agg(F.percentile_approx(x, [0.25, 0.75], int(round(1.0 / rel_error)))).first()[0])
 
 
 def between(df: DataFrame, x: str, lo: float, hi: float) -> DataFrame:
@@ -119,87 +95,3 @@ CATEGORY_DEFAULTS = {
 
 def fill_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     return df.fillna(defaults or CATEGORY_DEFAULTS)
-
-
-def median_by_rank(values: DataFrame, x: str, weight: str | None = None, buckets: int = 256) -> DataFrame:
-    """Exact median by rank (the reference's row-number method), distributed.
-
-    Values are reduced to (value, count), spread over ``buckets`` value ranges cut
-    at approximate quantiles, ranked inside each range by a window partitioned
-    by range, and offset by the prefix sum of the range totals (a table of
-    ``buckets`` rows). The k-th value is the one whose cumulative count first
-    reaches k; for an even count the two middle values are averaged. No step
-    sorts all values in one task, and a value repeated in a third of the rows is
-    a single row here.
-    """
-    from pyspark.sql.window import Window
-
-    w = F.col(weight) if weight else F.lit(1)
-    vals = values.filter(F.col(x).isNotNull()).groupBy(x).agg(F.sum(w).cast("long").alias("_w"))
-    # read by four jobs below (cuts, total, ranks, pick): written once to the
-    # checkpoint folder instead of being re-derived by each
-    from shipshape.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(values.sparkSession)
-    vals = vals.checkpoint()
-    cuts = vals.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
-    n = vals.agg(F.sum("_w")).scalar()
-    b = (vals.withColumn("_cuts", cuts)
-             .withColumn("_b", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(x)))).drop("_cuts"))
-    tot = b.groupBy("_b").agg(F.sum("_w").alias("_bw"))
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_bw").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bw")
-    local = b.withColumn("_cum", F.sum("_w").over(
-        Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ranked = local.join(F.broadcast(offs), "_b").withColumn("_hi", F.col("_off") + F.col("_cum"))
-    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_w"))
-    k1 = F.floor((n + 1) / 2)
-    k2 = F.when(n % 2 == 0, k1 + 1).otherwise(k1)
-    pick = lambda k: F.max(F.when((F.col("_lo") < k) & (k <= F.col("_hi")), F.col(x)))
-    return ranked.agg(F.first(n).alias("n"), ((pick(k1) + pick(k2)) / 2).alias("median_distance"))
-
-
-def quantiles_by_rank(values: DataFrame, x: str, probs: list[float], weight: str | None = None,
-                      buckets: int = 256) -> list[float | None]:
-    """Exact interpolated quantiles (the values ``percentile`` gives) without a one-task
-    buffer: ``percentile`` merges one counter per distinct value in a single final task,
-    which at scale grows with the number of distinct values. Here distinct values
-    with counts are ranked range by range (``buckets`` ranges cut at approximate
-    quantiles, prefix sums over the range totals) and the order statistics at the
-    needed ranks are picked in one aggregate. Returns driver values (one row)."""
-    from pyspark.sql.window import Window
-    from shipshape.session import ensure_checkpoint_dir
-
-    w = F.col(weight) if weight else F.lit(1)
-    ensure_checkpoint_dir(values.sparkSession)
-    vals = (values.filter(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(x)
-                  .agg(F.sum(w).cast("long").alias("_w")).checkpoint())
-    head = vals.agg(F.sum("_w").alias("n"),
-                    F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")).first()
-    n = head["n"]
-    if not n:
-        return [None for _ in probs]
-    cuts = sorted(set(head["c"] or []))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    b = vals.withColumn("_bk", F.size(F.filter(arr, lambda c: c < F.col(x))))
-    offs = (b.groupBy("_bk").agg(F.sum("_w").alias("_bw"))
-             .withColumn("_off", F.coalesce(F.sum("_bw").over(
-                 Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bw"))
-    local = b.withColumn("_cum", F.sum("_w").over(
-        Window.partitionBy("_bk").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    r = local.join(F.broadcast(offs), "_bk").withColumn("_hi", F.col("_off") + F.col("_cum"))
-    r = r.withColumn("_lo", F.col("_hi") - F.col("_w"))
-    import math
-    plan = []
-    for p in probs:
-        pos = (n - 1) * p
-        lo_i, hi_i = math.floor(pos), math.ceil(pos)
-        plan.append((pos, lo_i, hi_i))
-    ranks = sorted({i + 1 for _, lo_i, hi_i in plan for i in (lo_i, hi_i)})
-    picked = r.agg(*[F.max(F.when((F.col("_lo") < k) & (F.lit(k) <= F.col("_hi")), F.col(x))).alias(f"r{k}")
-                     for k in ranks]).first()
-    out = []
-    for pos, lo_i, hi_i in plan:
-        lo_v, hi_v = picked[f"r{lo_i + 1}"], picked[f"r{hi_i + 1}"]
-        # the same arithmetic as Spark's percentile
-        out.append(lo_v if hi_i == lo_i else (hi_i - pos) * lo_v + (pos - lo_i) * hi_v)
-    return out

@@ -1,12 +1,14 @@
 """Named queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Every query reads the driver's tables through the fixtures of FIXTURES.md and
-runs the library's operators on the whole of them. Doubles are rounded to 6
+runs the library's operators on the whole of them (only ``sample_by_key`` samples, and models are
+fitted on FIT_PCT percent of the training orders). Doubles are rounded to 6
 digits at the very end so results compare across engines.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from shipshape.functions.columns import (double_to_yes_no, order_key, order_key3, to_date_fmt, to_double,
                                          yes_no_to_double)
-from shipshape.operators import cleaning, features, joins, kpi, metrics, nearest, stats
+from shipshape.operators import cleaning, features, joins, kpi, metrics, nearest, ranks, stats
 from shipshape.plans import labelling as L
 from shipshape.sources import fixtures, literals
 
@@ -37,6 +39,10 @@ def _inp(spark, sf_dir) -> L.Inputs:
     return L.Inputs.from_fixtures(spark, sf_dir)
 
 
+def _median_row(spark, sf_dir):
+    return spark.createDataFrame([L.median_distance(_inp(spark, sf_dir))], "n long, median_distance double")
+
+
 # ---------------------------------------------------------------- stage 1
 
 @query
@@ -62,24 +68,32 @@ def filter_valid_gps(spark, sf_dir):
 
 @query
 def median_distance(spark, sf_dir):
-    return r6(L.median_distance(_inp(spark, sf_dir)))
+    return r6(_median_row(spark, sf_dir))
 
 
 @query
 def fill_distance_median(spark, sf_dir):
-    inp = _inp(spark, sf_dir)
-    m = L.median_value(inp)
-    return r6(cleaning.fill_distance(L.with_distance(inp), m).select(*KEY, "distance_km"))
+    return r6(L.filled_lines(_inp(spark, sf_dir)).select(*KEY, "distance_km"))
 
 
 @query
 def quartiles_exact(spark, sf_dir):
-    return r6(L.distance_bounds(_inp(spark, sf_dir)))
+    q1, q3 = L.quartiles(_inp(spark, sf_dir))
+    lo, hi = cleaning.bounds(q1, q3)
+    return r6(spark.createDataFrame([(q1, q3, q3 - q1, lo, hi)], "q1 double, q3 double, iqr double, "
+                                                                 "lower_bound double, upper_bound double"))
 
 
 @query
 def quartiles_approx(spark, sf_dir):
-    return r6(L.distance_bounds(_inp(spark, sf_dir), rel_error=0.01))
+    """Whether the approximate quartiles keep their rank error of 0.01 among the filled lines."""
+    inp = _inp(spark, sf_dir)
+    q1, q3 = L.quartiles(inp, rel_error=0.01)
+    n, x = F.count(F.lit(1)), F.col("distance_km")
+    share = lambda c: F.count(F.when(c, 1)) / n
+    within = lambda q, p: (share(x < q) <= p + 0.01) & (share(x <= q) >= p - 0.01)
+    return L.filled_lines(inp).where("distance_km IS NOT NULL").agg(
+        n.alias("n"), within(q1, 0.25).alias("q1_within"), within(q3, 0.75).alias("q3_within"))
 
 
 @query
@@ -90,11 +104,9 @@ def iqr_filter(spark, sf_dir):
 @query
 def iqr_retention(spark, sf_dir):
     inp = _inp(spark, sf_dir)
-    m = L.median_value(inp)
-    lo, hi = L.bounds_values(inp, m)
-    filled = cleaning.fill_distance(L.with_distance(inp), m)
+    lo, hi = cleaning.bounds(*L.quartiles(inp))
     d = F.col("distance_km")
-    return r6(cleaning.retention(filled, (d >= lo) & (d <= hi)))
+    return r6(cleaning.retention(L.filled_lines(inp), (d >= lo) & (d <= hi)))
 
 
 def _labelled(spark, sf_dir):
@@ -305,8 +317,11 @@ def top_items_pivot(spark, sf_dir):
 
 @query
 def median_by_rank(spark, sf_dir):
-    pop = L.median_population(_inp(spark, sf_dir))
-    return r6(cleaning.median_by_rank(pop, "distance_km", "n_lines"))
+    """The row-number form of the median: the value at the middle ranks of the population."""
+    pop = cleaning.valid_gps(L.pair_distances(_inp(spark, sf_dir)))
+    n, at = ranks.values_at_ranks(pop, "distance_km", lambda n: [(n + 1) // 2, n // 2 + 1], "n_lines")
+    median = (at[(n + 1) // 2] + at[n // 2 + 1]) / 2 if n else None
+    return r6(spark.createDataFrame([(n, median)], "n long, median_distance double"))
 
 
 # ---------------------------------------------------------------- feature preparation
@@ -319,7 +334,7 @@ MF_KEYS = ["k_order_no", "k_item_code", "k_distributor_code", "k_totalec_so"]
 
 
 def _model_frame(spark, sf_dir, fill=True):
-    return features.model_frame(_sample(spark, sf_dir), fill=fill)
+    return features.model_frame(_enriched(spark, sf_dir), fill=fill)
 
 
 @query
@@ -329,12 +344,12 @@ def sample_by_key(spark, sf_dir):
 
 @query
 def class_distribution_before(spark, sf_dir):
-    return r6(stats.class_distribution(_sample(spark, sf_dir), "difot"))
+    return r6(stats.class_distribution(_enriched(spark, sf_dir), "difot"))
 
 
 @query
 def rename_swap(spark, sf_dir):
-    s = features.swap_names(_sample(spark, sf_dir).select(*KEY, "channelname", "segmentation"),
+    s = features.swap_names(_enriched(spark, sf_dir).select(*KEY, "channelname", "segmentation"),
                             "channelname", "segmentation")
     return s
 
@@ -394,24 +409,25 @@ CORR_COLUMNS = ["totalnsr_so", "totalec_so", "distance_km", "delivery_day", "day
 
 @query
 def correlation_matrix(spark, sf_dir):
-    return r6(stats.correlation(_sample(spark, sf_dir), CORR_COLUMNS))
+    return r6(stats.correlation(_enriched(spark, sf_dir), CORR_COLUMNS))
 
 
 @query
 def correlation_lower(spark, sf_dir):
-    return r6(stats.lower_triangle(stats.correlation(_sample(spark, sf_dir), CORR_COLUMNS)))
+    return r6(stats.lower_triangle(stats.correlation(_enriched(spark, sf_dir), CORR_COLUMNS)))
 
 
 @query
 def normality_jarque_bera(spark, sf_dir):
-    return r6(stats.jarque_bera(_labelled(spark, sf_dir), "distance_km"))
+    """Of the filled distances before the outlier filter, whose choice the test serves."""
+    return r6(stats.jarque_bera(L.filled_lines(_inp(spark, sf_dir)), "distance_km"))
 
 
 # ---------------------------------------------------------------- metrics on a deterministic rule
 
 def _rule(df: DataFrame, spark, sf_dir) -> DataFrame:
     """prediction = 1 when the distance is below the median distance (a fixed rule)."""
-    m = L.median_value(_inp(spark, sf_dir))
+    m = L.median_distance(_inp(spark, sf_dir))[1]
     return df.withColumn("prediction", F.when(F.col("distance_km") < m, 1.0).otherwise(0.0))
 
 
@@ -537,112 +553,164 @@ def src_multi_gzip(spark, sf_dir):
                                          F.sum("distance_km").alias("sum_distance_km")))
 
 
-# ---------------------------------------------------------------- models (rows-only checks)
+# ---------------------------------------------------------------- NearMiss and k-NN
+
+from shipshape.operators import nearmiss as nm  # noqa: E402
+from shipshape.plans.stages import materialized  # noqa: E402
+
+
+def _nearmiss(spark, sf_dir):
+    """The balanced model frame with its 15 selected features (a stage)."""
+    def build():
+        frame = features.encoded_features(_model_frame(spark, sf_dir), MF_KEYS, features.FIXTURE_FEATURES)
+        return nm.nearmiss(frame, features.FIXTURE_FEATURES, "label", MF_KEYS, 3)
+    return materialized(spark, sf_dir, "nearmiss", build)
+
+
+@query
+def nearmiss_undersample(spark, sf_dir):
+    return r6(_nearmiss(spark, sf_dir).select(*MF_KEYS, "label"))
+
+
+@query
+def class_distribution_after(spark, sf_dir):
+    return r6(stats.class_distribution(_nearmiss(spark, sf_dir), "label"))
+
+
+def _knn_predictions(spark, sf_dir):
+    def build():
+        split = features.split_by_key(_nearmiss(spark, sf_dir), "k_order_no", 20, 1505)
+        return nm.knn_vote(split.filter("is_test = 0"), split.filter("is_test = 1"), features.FIXTURE_FEATURES,
+                           "label", 5)
+    return materialized(spark, sf_dir, "knn-vote", build)
+
+
+@query
+def knn_vote(spark, sf_dir):
+    """5-NN vote on the 15 features: train rows (split 0) predict test rows (split 1)."""
+    return r6(metrics.weighted(_knn_predictions(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- models
 
 from shipshape.operators import models  # noqa: E402
 
+#: Share of the training orders that models are fitted on, in percent (the reference fits on a tenth
+#: of its rows, too); every held-out row is scored.
+FIT_PCT = 10
 
-def _training(spark, sf_dir) -> DataFrame:
-    """NearMiss-balanced sample -> 15-feature matrix (NULL features as 0) -> hash
-    split and stratified folds -> assembled vector (the reference's order: K5, K6,
-    then the models).
 
-    It is read by several fits, so it is materialised once (checkpoint in the
-    shared checkpoint folder) instead of re-running the whole plan per fit."""
-    from shipshape.plans.stages import materialized
-    balanced = materialized(spark, sf_dir, "nearmiss", lambda: _nearmiss(spark, sf_dir))
-    fm = features.encoded_features(balanced, MF_KEYS, features.FIXTURE_FEATURES)
-    fm = fm.fillna(0.0, features.FIXTURE_FEATURES)
-    fm = features.split_by_key(fm, "k_order_no", 20, 1505)
-    fm = features.stratified_folds(fm, 5, "label", MF_KEYS, 1505)
-    ensure_checkpoint_dir(spark)
-    return features.assemble(fm, features.FIXTURE_FEATURES).checkpoint()
+def _training(spark, sf_dir) -> DataFrame:
+    """The balanced rows as assembled vectors (NULL features as 0) with the hash split, the folds and
+    ``fit``, which marks the training rows that models are fitted on (a stage)."""
+    def build():
+        fm = _nearmiss(spark, sf_dir).fillna(0.0, features.FIXTURE_FEATURES)
+        fm = features.split_by_key(fm, "k_order_no", 20, 1505)
+        fm = features.stratified_folds(fm, 5, "label", MF_KEYS, 1505)
+        fit = (F.col("is_test") == 0) & (features.key_hash(F.col("k_order_no"), "fit-1505-") % 100 < FIT_PCT)
+        return fm.withColumn("fit", F.when(fit, 1).otherwise(0))
+    return features.assemble(materialized(spark, sf_dir, "training", build), features.FIXTURE_FEATURES)
+
+
+def _scored(spark, sf_dir, kind, **kw) -> DataFrame:
+    """(label, prediction, is_test, fit): all balanced rows scored by the model (a stage)."""
+    def build():
+        t = _training(spark, sf_dir)
+        model = models.estimator(kind, **kw).fit(t.filter("fit = 1"))
+        return model.transform(t).select(*MF_KEYS, "label", "prediction", "is_test", "fit")
+    return materialized(spark, sf_dir, f"scored-{kind}-{sorted(kw.items())}".replace(" ", ""), build)
 
 
 def _fit_query(kind, **kw):
     def run(spark, sf_dir):
-        t = _training(spark, sf_dir)
-        return r6(models.train_and_score(t.filter("is_test = 0"), t.filter("is_test = 1"), kind, **kw))
+        held = _scored(spark, sf_dir, kind, **kw).filter("is_test = 1")
+        return r6(metrics.weighted(held).withColumn("model", F.lit(kind)))
     run.__name__ = f"model_{kind}"
     return run
 
 
 QUERIES["model_decision_tree"] = _fit_query("dt")
 QUERIES["model_random_forest"] = _fit_query("rf")
-QUERIES["model_gbt"] = _fit_query("gbt", max_iter=20)
+QUERIES["model_gbt"] = _fit_query("gbt", max_iter=200)
 QUERIES["model_logistic"] = _fit_query("lr")
 QUERIES["model_linear_svc"] = _fit_query("svc")
 
 
+@query
+def model_fit_verdict(spark, sf_dir):
+    """Over- or underfitting of the trained models: all four metrics on the fitted and the held-out rows."""
+    parts = []
+    for kind in ("dt", "rf"):
+        s = _scored(spark, sf_dir, kind)
+        both = [metrics.weighted(s.filter(c)).select(*[F.col(m).alias(f"{side}_{m}") for m in
+                ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted")])
+                for side, c in (("train", "fit = 1"), ("test", "is_test = 1"))]
+        parts.append(both[0].join(F.broadcast(both[1])).withColumn("model", F.lit(kind)))
+    v = parts[0].unionByName(parts[1])
+    return r6(v.withColumn("verdict", metrics.fit_verdict(F.col("train_accuracy"), F.col("test_accuracy"))))
+
+
 @query
 def feature_importance_top15(spark, sf_dir):
-    t = _training(spark, sf_dir)
-    m = models.estimator("rf").fit(t.filter("is_test = 0"))
-    imp = models.importances(m, features.FIXTURE_FEATURES)
+    """Importance before selection: a forest over all numeric and one-hot columns, of which the
+    best 15 are taken."""
+    def build():
+        frame = _model_frame(spark, sf_dir)
+        frame = features.split_by_key(frame, "k_order_no", 20, 1505).filter(
+            (F.col("is_test") == 0) & (features.key_hash(F.col("k_order_no"), "fit-1505-") % 100 < FIT_PCT))
+        names = features.all_features(_model_frame(spark, sf_dir))
+        fm = features.encoded_features(frame, MF_KEYS, names).fillna(0.0, names)
+        return models.importances(models.estimator("rf").fit(features.assemble(fm, names)), names)
+    imp = materialized(spark, sf_dir, "importances", build)
     return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(15))
 
 
+def _gbt_nodes(spark, sf_dir):
+    def build():
+        m = models.estimator("gbt", max_iter=100).fit(_training(spark, sf_dir).filter("fit = 1"))
+        return models.node_table(m)
+    return materialized(spark, sf_dir, "gbt-nodes", build)
+
+
 @query
 def feature_split_count_top5(spark, sf_dir):
-    t = _training(spark, sf_dir)
-    m = models.estimator("gbt", max_iter=20).fit(t.filter("is_test = 0"))
-    sc = models.split_counts(models.node_table(m), features.FIXTURE_FEATURES)
+    sc = models.split_counts(_gbt_nodes(spark, sf_dir), features.FIXTURE_FEATURES)
     return sc.orderBy(F.col("splits").desc(), "feature").limit(5)
 
 
 @query
 def tree_nodes(spark, sf_dir):
-    t = _training(spark, sf_dir)
-    m = models.estimator("gbt", max_iter=20).fit(t.filter("is_test = 0"))
-    nodes = models.node_table(m).filter(F.col("tree_id") == 9)
+    nodes = _gbt_nodes(spark, sf_dir).filter(F.col("tree_id") == 9)
     names = spark.createDataFrame(list(enumerate(features.FIXTURE_FEATURES)), "feature_index int, feature string")
     return r6(nodes.join(F.broadcast(names), "feature_index", "left"))
 
 
-@query
-def cross_validate_gbt(spark, sf_dir):
-    return r6(models.cross_validate(_training(spark, sf_dir), "gbt", 5, max_iter=20))
-
-
-@query
-def model_comparison(spark, sf_dir):
-    t = _training(spark, sf_dir)
-    parts = [models.cross_validate(t, kind, 5, num_trees=20, max_iter=20).withColumn("model", F.lit(kind))
-             for kind in ("dt", "rf", "gbt", "lr", "svc")]
-    from functools import reduce
-    folds = reduce(DataFrame.unionByName, parts)
-    return r6(stats.five_number(folds, ["model"], "accuracy")
-              .join(stats.fold_summary(folds, ["model"], "accuracy"), "model"))
-
-
-# ---------------------------------------------------------------- NearMiss
-
-from shipshape.operators import nearmiss as nm  # noqa: E402
-
-NEARMISS_FEATURES = ["totalec_so", "distance_km", "delivery_day", "days_off_count"]
-
-
-def _nearmiss(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    mf = _model_frame(spark, sf_dir)
-    return nm.nearmiss(mf, NEARMISS_FEATURES, "label", MF_KEYS, 3)
+def _fold_table(spark, sf_dir, kind, part, **kw):
+    """The fold scores of a model over the training rows that are fitted on or over the test rows (a stage)."""
+    def build():
+        t = _training(spark, sf_dir).filter("fit = 1" if part == "train" else "is_test = 1")
+        return models.cross_validate(t, kind, 5, **kw)
+    return materialized(spark, sf_dir, f"folds-{kind}-{part}", build)
 
 
 @query
-def nearmiss_undersample(spark, sf_dir):
-    return r6(_nearmiss(spark, sf_dir).select(*MF_KEYS, "label"))
+def cross_validate_train(spark, sf_dir):
+    """Accuracy by fold on the training part, for the decision tree, the forest and the boosted trees."""
+    parts = [_fold_table(spark, sf_dir, kind, "train", **kw).withColumn("model", F.lit(kind))
+             for kind, kw in (("dt", {}), ("rf", {}), ("gbt", {"max_iter": 100}))]
+    return r6(reduce(DataFrame.unionByName, parts).select("model", "fold", "accuracy"))
 
 
 @query
-def class_distribution_after(spark, sf_dir):
-    return r6(stats.class_distribution(_nearmiss(spark, sf_dir), "label"))
+def cross_validate_gbt(spark, sf_dir):
+    """The four metrics by fold on the test part."""
+    return r6(_fold_table(spark, sf_dir, "gbt", "test", max_iter=100))
 
 
 @query
-def knn_vote(spark, sf_dir):
-    """5-NN vote on the NearMiss features: train rows (split 0) predict test rows (split 1)."""
-    from shipshape.plans.stages import materialized
-    balanced = materialized(spark, sf_dir, "nearmiss", lambda: _nearmiss(spark, sf_dir))
-    split = features.split_by_key(balanced, "k_order_no", 20, 1505)
-    pred = nm.knn_vote(split.filter("is_test = 0"), split.filter("is_test = 1"), NEARMISS_FEATURES, "label", 5)
-    return r6(metrics.weighted(pred))
+def model_comparison(spark, sf_dir):
+    parts = [_fold_table(spark, sf_dir, kind, "train", **kw).withColumn("model", F.lit(kind))
+             for kind, kw in (("dt", {}), ("rf", {}), ("gbt", {"max_iter": 100}), ("lr", {}), ("svc", {}), ("knn", {}))]
+    folds = reduce(DataFrame.unionByName, parts)
+    return r6(stats.five_number(folds, ["model"], "accuracy")
+              .join(stats.fold_summary(folds, ["model"], "accuracy"), "model"))

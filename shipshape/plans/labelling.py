@@ -1,27 +1,28 @@
 """Stage 1 (distance, cleaning, delivery labels) and stage 2 (enrichment) plans.
 
-``labelled`` is one lazy plan from the order-line scan to the DIFOT label:
+``labelled`` goes from the order-line scan to the DIFOT label:
   fact -> left joins to customer / distributor GPS -> haversine distance
-  -> median fill (median over the valid population, a scalar subquery)
-  -> IQR outlier filter (quartiles, a scalar subquery) -> delivery days
-  -> days off (broadcast running-count spine) -> processing days -> labels.
+  -> median fill -> IQR outlier filter -> delivery days
+  -> days off (running-count spine) -> processing days -> labels.
 
 Distance depends only on the (customer, distributor) pair, so the median and
-the quartiles are taken over one row per pair weighted by its line count: the
-statistics jobs read two columns of the fact, combine map-side, and join the
-GPS lists to the pairs instead of to every line. The result is identical to the
-row-level statistics.
+the quartiles are taken over one row per pair weighted by its line count. The pair
+table is a stage, written once; the selections of the median and of both quartiles run
+a few grouped sums over it when they are first needed, and their values enter the line
+plan as literals. The result is identical to the row-level statistics.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipshape.functions.columns import clamp0, flag01, order_key
 from shipshape.functions.geo import haversine_km
-from shipshape.operators import cleaning, joins
+from shipshape.operators import cleaning, joins, ranks
+from shipshape.plans.stages import materialized, remembered
+from shipshape.session import scratch_dir
 from shipshape.sources import fixtures
 
 LABEL_COLUMNS = ["distance_km", "delivery_day", "order_key", "days_off_count", "day_processing",
@@ -42,18 +43,37 @@ class Inputs:
     day_off: DataFrame
     urban: DataFrame
     free_goods: DataFrame
+    source: tuple[SparkSession, str] | None = None  # where stages and values are remembered
+    own: dict = field(default_factory=dict)
+
+    def stage(self, name: str, build) -> DataFrame:
+        """A table written once for these inputs."""
+        if self.source:
+            return materialized(*self.source, name, build)
+        if name not in self.own:
+            path = scratch_dir(self.fact.sparkSession, f"stage-{name}")
+            build().write.parquet(path)
+            self.own[name] = self.fact.sparkSession.read.parquet(path)
+        return self.own[name]
+
+    def value(self, name: str, compute):
+        """A value computed once for these inputs."""
+        if self.source:
+            return remembered(*self.source, name, compute)
+        if name not in self.own:
+            self.own[name] = compute()
+        return self.own[name]
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, materialize: bool = True) -> "Inputs":
         """The six inputs built from the driver's tables; with ``materialize`` each is
         written once per session (see ``stages``) and read back as parquet."""
-        from shipshape.plans.stages import materialized
-
         def get(name, fn):
             return materialized(spark, sf_dir, name, lambda: fn(spark, sf_dir)) if materialize else fn(spark, sf_dir)
         return cls(get("fact", fixtures.order_lines), get("gps_customer", fixtures.gps_customer),
                    get("gps_distributor", fixtures.gps_distributor), get("day_off", fixtures.day_off),
-                   get("urban", fixtures.urbanization), get("free_goods", fixtures.free_goods))
+                   get("urban", fixtures.urbanization), get("free_goods", fixtures.free_goods),
+                   (spark, sf_dir) if materialize else None)
 
 
 def add_distance(df: DataFrame) -> DataFrame:
@@ -73,96 +93,43 @@ def with_distance(inp: Inputs) -> DataFrame:
 
 
 def pair_distances(inp: Inputs) -> DataFrame:
-    """One row per (customer, distributor) pair: coordinates, distance, line count."""
-    pairs = inp.fact.groupBy("customer_code", "distributor_code").agg(F.count(F.lit(1)).alias("n_lines"))
-    return add_distance(joins.with_gps(pairs, inp.gps_customer, inp.gps_distributor))
-
-
-def median_population(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> DataFrame:
-    return cleaning.valid_gps(pairs if pairs is not None else pair_distances(inp), strict)
-
-
-def median_distance(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None) -> DataFrame:
-    """One row: n (lines in the population) and the exact median distance."""
-    return median_population(inp, strict, pairs).agg(
-        F.sum("n_lines").alias("n"),
-        cleaning.median_expr("distance_km", F.col("n_lines")).alias("median_distance"))
-
-
-# ``percentile`` merges one counter per distinct value in one final task; above this many
-# distinct values (bounded by the number of customer/distributor pairs) the distributed
-# rank method is used instead. Both give the same doubles.
-PERCENTILE_MAX_DISTINCT = 2_000_000
-
-
-def _use_rank(inp: Inputs, pairs: DataFrame | None, method: str) -> bool:
-    if method != "auto":
-        return method == "rank"
-    return (pairs if pairs is not None else pair_distances(inp)).count() > PERCENTILE_MAX_DISTINCT
-
-
-def median_value(inp: Inputs, strict: bool = False, pairs: DataFrame | None = None, method: str = "auto") -> float:
-    """The exact median as a driver value (one row back): ``percentile`` for up to
-    PERCENTILE_MAX_DISTINCT pairs, the distributed rank method beyond.
-
-    Statistics are fetched once and enter later plans as literals. Left as scalar
-    subqueries they are re-planned at every use: the optimizer pushes the IQR filter
-    below the fill, which duplicates the fill expression, and each copy re-runs
-    its subquery (five medians for one cleaned table)."""
-    if not _use_rank(inp, pairs, method):
-        return median_distance(inp, strict, pairs).first()["median_distance"]
-    pop = median_population(inp, strict, pairs)
-    return cleaning.quantiles_by_rank(pop, "distance_km", [0.5], "n_lines")[0]
-
-
-def filled_pairs(inp: Inputs, median=None, pairs: DataFrame | None = None) -> DataFrame:
-    pairs = pairs if pairs is not None else pair_distances(inp)
-    if median is None:
-        median = median_value(inp, pairs=pairs)
-    return cleaning.fill_distance(pairs, median)
-
-
-def distance_bounds(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None,
-                    pairs: DataFrame | None = None) -> DataFrame:
-    """One row: q1, q3, iqr, lower_bound, upper_bound of the filled distance.
-
-    Exact quartiles run over the weighted pair table; ``percentile_approx`` takes
-    no weights, so approximate ones run over the lines themselves."""
-    if rel_error is not None:
-        if median is None:
-            median = median_value(inp, pairs=pairs)
-        lines = cleaning.fill_distance(with_distance(inp), median)
-        return cleaning.iqr_bounds(lines, "distance_km", k, None, rel_error)
-    return cleaning.iqr_bounds(filled_pairs(inp, median, pairs), "distance_km", k, "n_lines", rel_error)
-
-
-def bounds_values(inp: Inputs, median: float, k: float = IQR_K, rel_error: float | None = None,
-                  pairs: DataFrame | None = None, method: str = "auto") -> tuple[float, float]:
-    """(lower, upper) = Q1 - k IQR, Q3 + k IQR as driver values. Exact quartiles by
-    ``percentile`` or, above the size check, the distributed rank method;
-    approximate ones by ``percentile_approx``."""
-    if rel_error is not None or not _use_rank(inp, pairs, method):
-        b = distance_bounds(inp, median, k, rel_error, pairs).first()
-        return b["lower_bound"], b["upper_bound"]
-    q1, q3 = cleaning.quantiles_by_rank(filled_pairs(inp, median, pairs), "distance_km", [0.25, 0.75], "n_lines")
-    iqr = q3 - q1
-    return q1 - k * iqr, q3 + k * iqr
-
-
-def cleaned(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
-    """Lines with filled distance that lie inside the IQR bounds (two one-row jobs
-    fetch the median and the bounds; the line plan itself has no subquery)."""
-    # both statistics read the pair table: it is built once and checkpointed, and its
-    # row count (an upper bound of the distinct distances) picks the quantile method
-    from shipshape.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(inp.fact.sparkSession)
-    pairs = pair_distances(inp).checkpoint()
-    method = "rank" if pairs.count() > PERCENTILE_MAX_DISTINCT else "percentile"
-    if median is None:
-        median = median_value(inp, pairs=pairs, method=method)
-    lo, hi = bounds_values(inp, median, k, rel_error, pairs, method)
-    filled = cleaning.fill_distance(with_distance(inp), median)
-    return cleaning.between(filled, "distance_km", lo, hi)
+    """One row per (customer, distributor) pair: coordinates, distance, line count (a stage)."""
+    def build():
+        pairs = inp.fact.groupBy("customer_code", "distributor_code").agg(F.count(F.lit(1)).alias("n_lines"))
+        return add_distance(joins.with_gps(pairs, inp.gps_customer, inp.gps_distributor))
+    return inp.stage("pairs", build)
+
+
+def median_distance(inp: Inputs, strict: bool = False) -> tuple[int, float | None]:
+    """Lines in the median's population and their exact median distance."""
+    def compute():
+        n, (median,) = ranks.quantiles(cleaning.valid_gps(pair_distances(inp), strict), "distance_km", [0.5], "n_lines")
+        return n, median
+    return inp.value(f"median-{strict}", compute)
+
+
+def quartiles(inp: Inputs, median: float | None = None, rel_error: float | None = None) -> tuple[float, float]:
+    """Q1 and Q3 of the filled distances: exact over the weighted pairs, or within ``rel_error``
+    over the lines (``percentile_approx`` takes no weights). A run on given inputs keeps them."""
+    median = median_distance(inp)[1] if median is None else median
+
+    def compute():
+        if rel_error is not None:
+            return cleaning.approx_quartiles(filled_lines(inp, median), "distance_km", rel_error)
+        return tuple(ranks.quantiles(cleaning.fill_distance(pair_distances(inp), median), "distance_km",
+                                     [0.25, 0.75], "n_lines")[1])
+    return inp.value(f"quartiles-{median}-{rel_error}", compute)
+
+
+def filled_lines(inp: Inputs, median: float | None = None) -> DataFrame:
+    """All lines, with bad distances replaced by the median."""
+    return cleaning.fill_distance(with_distance(inp), median_distance(inp)[1] if median is None else median)
+
+
+def cleaned(inp: Inputs, median: float | None = None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
+    """Lines with filled distance that lie inside the IQR bounds."""
+    lo, hi = cleaning.bounds(*quartiles(inp, median, rel_error), k)
+    return cleaning.between(filled_lines(inp, median), "distance_km", lo, hi)
 
 
 def add_labels(df: DataFrame, day_off: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Session construction and the shared scratch location."""
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, partitions: int | None = None,
@@ -59,3 +62,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as parquet to the shared folder and reads it back: the lineage is cut,
+    so a lost executor costs a reread, and later plans prune columns of the files."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _zip(app_id: str) -> str:
+    """This package as a zip for the executors; the driver serves it from its own disk."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="shipshape-zip-"), "shipshape-src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "shipshape")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of every executor."""
+    spark.sparkContext.addPyFile(_zip(spark.sparkContext.applicationId))
