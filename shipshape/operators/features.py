@@ -86,39 +86,53 @@ def encoded_features(frame: DataFrame, keys: list[str], features: list[str]) ->
     return frame.select(*keys, *cols, "label")
 
 
-# fixed values: the reference's 15 selected features (its own category values)
-REFERENCE_FEATURES = ["Dayprocessing", "DeliveryDay", "totalec_so", "distance_km", "days_off_count",
-                      "% urbanization rate", "isfreegood_order_no", "month_3", "pack_size_297ML", "month_4",
-                      "month_8", "region_North West Region", "pack_size_300ML", "branding", "segmentation_Gold"]
-# the same selection expressed on the test fixtures' names and values
+# the reference's 15 selected features, expressed on the test fixtures' names and values
 FIXTURE_FEATURES = ["day_processing", "delivery_day", "totalec_so", "distance_km", "days_off_count",
                     "urban_rate", "isfreegood_order_no", "month_3", "pack_size_29ML", "month_4",
                     "month_8", "region_ASIA", "pack_size_30ML", "segmentation_MACHINERY", "segmentation_BUILDING"]
 
 
+#: Features that the label is computed from (delivery days, days off, processing days).
+LABEL_INPUTS = ["delivery_day", "days_off_count", "day_processing"]
+
+
+def exclude_label_inputs(features: list[str]) -> list[str]:
+    """The features without those that define the label, for models that are to predict it ahead."""
+    return [f for f in features if f not in LABEL_INPUTS]
+
+
+def all_features(frame: DataFrame) -> list[str]:
+    """Every numeric feature and every ``<column>_<value>`` of the one-hot encoding but each
+    column's first value, as they stand before selection."""
+    values = frame.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in CATEGORICAL_FEATURES
+                         ]).first()  # categories are small dimensions
+    return NUMERIC_FEATURES + [f"{c}_{v}" for c in CATEGORICAL_FEATURES
+                               for v in (sorted(values[c], key=int) if c == "month" else values[c])[1:]]
+
+
 def assemble(frame: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(frame)
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", order: list[str] | None = None,
-                     seed: int = 1505, sub_buckets: int = 64) -> DataFrame:
+                     seed: int = 1505, bucket_bits: int = 12) -> DataFrame:
     """Exact stratified k-fold assignment: rows of each class are ranked by a key
     hash and dealt round-robin (fold = rank mod k), so every fold holds
     floor or ceil of 1/k of each class.
 
-    The rank is computed without a one-task window over the class: rows go to
-    (class, hash sub-bucket) groups, per-group counts are prefix-summed over the
-    small (class x sub_buckets) table, and the row number inside a sub-bucket is
-    added to its offset."""
+    The rank is counted by ranges of the hash (its highest ``bucket_bits`` bits): the
+    counts of the ranges are summed up, and the row number inside a range is added.
+    Ranges follow the order of the hash, so folds don't depend on their number."""
     order = order or ROW_KEY
     h = key_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in order]), f"fold-{seed}-")
-    d = df.withColumn("_h", h).withColumn("_b", F.col("_h") % sub_buckets)
+    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - bucket_bits))
     counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offs = counts.select(F.col(label).alias("_label"), F.col("_b").alias("_ob"),
+                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(label, "_b").orderBy("_h", *order)
     ranked = d.withColumn("_r", F.row_number().over(inner) - 1)
-    out = ranked.join(F.broadcast(offs), [label, "_b"])
+    out = ranked.join(offs, ranked[label].eqNullSafe(offs["_label"]) & (ranked["_b"] == offs["_ob"]))
     return (out.withColumn("fold", ((F.col("_off") + F.col("_r")) % k).cast("int"))
-               .drop("_h", "_b", "_r", "_off"))
+               .drop("_h", "_b", "_r", "_off", "_label", "_ob"))

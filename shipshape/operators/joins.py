@@ -61,13 +61,16 @@ def with_free_good(df: DataFrame, free_goods: DataFrame, dedupe: bool = False) -
              .drop(*[f"_fg_{k}" for k in FREE_GOOD_KEYS]))
 
 
+#: Days up to which the spine is broadcast (12 bytes a day).
+SPINE_BROADCAST_DAYS = 100_000
+
+
 def off_day_spine(calendar: DataFrame, d_col: str = "d_date") -> DataFrame:
     """(day, cum): number of distinct off days <= day, for every day from the
     day before the first calendar date to the last one.
 
     Its length is the calendar's span in days (a few thousand; at most 3.65 M
-    for years 1-9999), independent of the fact table, which is what makes the
-    broadcast below safe. The running sum is one task over that bounded span.
+    for years 1-9999), independent of the fact table. The running sum is one task over that bounded span.
     """
     off = calendar.select(F.col(d_col).alias("day")).filter(F.col("day").isNotNull()).distinct()
     span = off.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
@@ -94,8 +97,9 @@ def days_off(df: DataFrame, calendar: DataFrame, start: str = "order_date", end:
         return df.withColumn(out, F.lit(0.0))
     lo, hi = F.lit(ends["lo"]), F.lit(ends["hi"])
     clamp = lambda c: F.least(F.greatest(c, lo), hi)
-    # one broadcast spine read by both lookups (the second is a reused exchange)
-    sp = F.broadcast(spine)
+    # a short spine is broadcast (the second lookup reuses the exchange); a stray date far off the others
+    # makes it long, and then the join strategy is left to Spark
+    sp = F.broadcast(spine) if (ends["hi"] - ends["lo"]).days <= SPINE_BROADCAST_DAYS else spine
     j = (df.join(sp.alias("_a"), clamp(F.date_sub(F.col(start), 1)) == F.col("_a.day"), "left")
            .join(sp.alias("_b"), clamp(F.col(end)) == F.col("_b.day"), "left"))
     ok: Column = F.col(end) >= F.col(start)
@@ -104,20 +108,3 @@ def days_off(df: DataFrame, calendar: DataFrame, start: str = "order_date", end:
     cnt = F.when(ok, F.col("_b.cum") - F.col("_a.cum")).otherwise(F.lit(0)).cast("double")
     j = j.select(*[df[c] for c in df.columns], cnt.alias(out))
     return j
-
-
-def days_off_range_join(df: DataFrame, calendar: DataFrame, start: str = "order_date",
-                        end: str = "settlement_date") -> DataFrame:
-    """The reference's literal plan (non-equi left join, group by text key, join back).
-
-    Kept only as the equivalence and speed baseline of ``days_off``: Spark plans it
-    as a nested-loop join, O(rows x calendar).
-    """
-    from shipshape.functions.columns import order_key
-    keyed = df.withColumn("order_key", order_key())
-    cal = calendar.select("d_date")
-    counted = (keyed.join(cal, (F.col("d_date") >= F.col(start)) & (F.col("d_date") <= F.col(end)), "left")
-                    .groupBy("order_key").agg(F.countDistinct("d_date").alias("_n")))
-    return (keyed.join(counted, "order_key", "left")
-                 .withColumn("days_off_count", F.coalesce(F.col("_n"), F.lit(0)).cast("double"))
-                 .drop("_n"))

@@ -40,17 +40,6 @@ def kpi_monthly(daily: DataFrame, date_col: str = "order_date") -> DataFrame:
                .withColumn("month_start", F.to_date("month_year", "yyyy-MM")))
 
 
-# fixed values: the reference's region-name -> code map (one name has a double space)
-REFERENCE_REGION_CODES = {
-    "Central  Region": "CP",
-    "Hanoi Region": "HN",
-    "Ho Chi Minh Region": "HC",
-    "Mekong Delta Region": "MK",
-    "North East Region": "NE",
-    "North West Region": "NW",
-    "South Provinces Reg": "SP",
-}
-
 # region codes of the test fixtures (region = r_name)
 FIXTURE_REGION_CODES = {
     "AFRICA": "AFR",
@@ -61,12 +50,22 @@ FIXTURE_REGION_CODES = {
 }
 
 
-def pivot_kpi(per_region_item: DataFrame, region_codes: dict[str, str],
+#: Regions that a pivot may have, as many as Spark's own limit on pivot columns.
+MAX_REGIONS = 10_000
+
+
+def pivot_kpi(per_region_item: DataFrame, region_codes: dict[str, str] | None = None,
               item: str = "item_code", region: str = "region", value: str = "difot_pct") -> DataFrame:
-    """item x region matrix of the ratio (mean per cell); regions are given, not
-    discovered, so no extra job runs to list them; columns are named by code."""
-    p = per_region_item.groupBy(item).pivot(region, list(region_codes)).agg(F.avg(value))
-    return p.select(item, *[F.col(f"`{name}`").alias(code) for name, code in region_codes.items()])
+    """item x region matrix of the ratio (mean per cell), of all regions in the data, in the order
+    of their names; a missing region has no column. ``region_codes`` only renames columns: regions
+    without a code keep their names, codes without a region give nothing."""
+    found = per_region_item.where(F.col(region).isNotNull()).select(region).distinct().orderBy(region)
+    regions = [r[0] for r in found.limit(MAX_REGIONS + 1).collect()]
+    if len(regions) > MAX_REGIONS:
+        raise ValueError(f"more than {MAX_REGIONS} regions don't make a pivot")
+    codes = region_codes or {}
+    p = per_region_item.groupBy(item).pivot(region, regions).agg(F.avg(value))
+    return p.select(item, *[F.col(f"`{name}`").alias(codes.get(name, name)) for name in regions])
 
 
 def top_items(pivoted: DataFrame, n: int = 20, item: str = "item_code") -> DataFrame:
@@ -75,7 +74,7 @@ def top_items(pivoted: DataFrame, n: int = 20, item: str = "item_code") -> DataF
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps its own
     top n, only n rows per task reach the final merge."""
     cells = [c for c in pivoted.columns if c != item]
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cells), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cells), F.lit(0.0))
     return (pivoted.withColumn("_total", total)
                    .orderBy(F.col("_total").desc(), F.col(item).asc())
                    .limit(n).drop("_total"))

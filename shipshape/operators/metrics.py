@@ -1,7 +1,7 @@
 """Classification metrics from (label, prediction) as SQL aggregates.
 
-The confusion counts are one grouped count; the metrics follow from that
-four-row table, so scoring never brings predictions to the driver."""
+The confusion counts are one grouped count, the classes' sums one conditional aggregate over that
+small table; predictions never come to the driver."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -16,13 +16,11 @@ def per_class(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 def _per_class(pred: DataFrame, label: str, prediction: str, keys: list[str]) -> DataFrame:
     conf = pred.groupBy(*keys, label, prediction).agg(F.count(F.lit(1)).alias("n"))
-    classes = conf.select(*keys, F.col(label).alias("class")).unionByName(
-        conf.select(*keys, F.col(prediction).alias("class"))).distinct()
-    tp = conf.filter(F.col(label) == F.col(prediction)).select(*keys, F.col(label).alias("class"), F.col("n").alias("tp"))
-    sup = conf.groupBy(*keys, F.col(label).alias("class")).agg(F.sum("n").alias("support"))
-    pcount = conf.groupBy(*keys, F.col(prediction).alias("class")).agg(F.sum("n").alias("predicted"))
-    j = (classes.join(tp, [*keys, "class"], "left").join(sup, [*keys, "class"], "left")
-                .join(pcount, [*keys, "class"], "left").fillna(0, ["tp", "support", "predicted"]))
+    own, said = F.col(label) == F.col("class"), F.col(prediction) == F.col("class")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    j = (conf.select("*", F.explode(F.array_distinct(F.array(label, prediction))).alias("class"))
+             .groupBy(*keys, "class").agg(count(own & said).alias("tp"), count(own).alias("support"),
+                                          count(said).alias("predicted")))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     j = j.withColumn("precision", prec).withColumn("recall", rec)

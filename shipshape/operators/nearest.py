@@ -1,29 +1,26 @@
 """Nearest reference point (city centre) for each location.
 
-The centre list is a bounded dimension (tens of rows). It is gathered once into
-an array by a scalar subquery and each location folds over it with a
-higher-order ``aggregate``: no cross join, no shuffle, no Python.
+The centre list is a dimension of at most ``MAX_CENTRES`` rows, which is checked. It is gathered
+once into an array by a scalar subquery and each location folds over it with a higher-order
+``aggregate``: no cross join, no shuffle, no Python. Longer lists are for the exact k-NN join
+(``knn``).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipshape.functions.geo import EARTH_RADIUS_KM
+from shipshape.functions.geo import haversine_km_asin
 
-
-def _asin_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    p1, p2 = F.radians(lat1), F.radians(lat2)
-    a = (F.pow(F.sin((p2 - p1) / 2), 2)
-         + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2))
-    a = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
-    return F.lit(EARTH_RADIUS_KM) * 2 * F.asin(F.sqrt(a))
+MAX_CENTRES = 10_000
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, lat: str, lon: str,
                    out: str = "nearest_city", digits: int = 6) -> DataFrame:
     """Adds ``out`` (centre name) and ``<out>_km``. Distances are rounded to
     ``digits`` before comparison; equal distances go to the lowest ``seq``."""
+    if centres.limit(MAX_CENTRES + 1).count() > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres: use the k-NN join")
     arr = centres.agg(F.sort_array(F.collect_list(
         F.struct(F.col("seq").cast("int").alias("seq"), F.col("city").alias("city"),
                  F.col("latitude").cast("double").alias("lat"),
@@ -32,7 +29,7 @@ def nearest_centre(points: DataFrame, centres: DataFrame, lat: str, lon: str,
                     F.lit(None).cast("string").alias("city"))
 
     def step(acc: Column, c: Column) -> Column:
-        d = F.round(_asin_km(F.col(lat), F.col(lon), c["lat"], c["lon"]), digits)
+        d = F.round(haversine_km_asin(F.col(lat), F.col(lon), c["lat"], c["lon"]), digits)
         better = (d < acc["d"]) | ((d == acc["d"]) & (c["seq"] < acc["seq"]))
         return F.when(better, F.struct(d.alias("d"), c["seq"].alias("seq"), c["city"].alias("city"))).otherwise(acc)
 

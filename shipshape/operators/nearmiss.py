@@ -1,25 +1,13 @@
-"""NearMiss-1 undersampling with exact k-nearest-neighbour distances.
+"""NearMiss-1 undersampling and the k-nearest-neighbour vote, over the exact k-NN join.
 
-For every majority row: the mean Euclidean distance to its k nearest minority
-rows. The majority rows with the smallest means are kept, as many as there are
-minority rows; all minority rows are kept.
-
-No all-pairs product is formed. Identical vectors are merged first (minority
-with a multiplicity, majority as distinct points). Minority points are then
-put on a grid of cell side h and copied to the 3^d cells around their own; a
-majority point meets, by an equi-join on its own cell, every minority point
-within distance h of it. When its k-th nearest candidate lies within h the
-answer is exact; the rest retry with 2h. Each round is checkpointed.
-
-The final selection of the n smallest scores does not use ``orderBy().limit(n)``
-(one task merging n rows per task): rank thresholds are found over distinct
-values with bucketed prefix sums (``kth_smallest``), and only the rows tied
-at the threshold are ordered.
+For every row of a larger class: the mean Euclidean distance to its k nearest rows of the smallest
+class. Of each larger class the rows with the smallest means are kept, as many as the smallest
+class has; that class is kept whole. Identical vectors are searched once. The selection of the n
+smallest finds its thresholds by distributed selection (``ranks``); only rows tied at a threshold
+are ordered.
 """
 from __future__ import annotations
 
-import itertools
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,102 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shipshape.operators.features import key_hash
+from shipshape.operators.knn import knn_mean
+from shipshape.operators.ranks import values_at_ranks
+from shipshape.session import staged
 
 
 def _vec(feats: list[str]) -> list[Column]:
     return [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_v{i}") for i, f in enumerate(feats)]
 
 
-def _dist(d: int) -> Column:
-    return F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"_v{i}") - F.col(f"_b{i}"), 2) for i in range(d)]))
-
-
-def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, h0: float | None = None,
-             max_rounds: int = 40, value: str | None = None) -> DataFrame:
-    """(_v0.._v{d-1}, knn_mean[, knn_value]) for each distinct point of ``a``; ``b`` has
-    _v* and multiplicity ``_m``. Exact. With ``value`` (a column of ``b``), neighbours
-    at equal distance are taken in ascending ``value`` order and ``knn_value`` is the
-    sum of their values (e.g. the number of positive labels among the k)."""
-    spark = a.sparkSession
-    from shipshape.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    stats = b.agg(*[F.min(f"_v{i}").alias(f"lo{i}") for i in range(d)],
-                  *[F.max(f"_v{i}").alias(f"hi{i}") for i in range(d)],
-                  F.sum("_m").alias("n")).collect()[0]
-    astats = a.agg(*[F.min(f"_v{i}").alias(f"lo{i}") for i in range(d)],
-                   *[F.max(f"_v{i}").alias(f"hi{i}") for i in range(d)]).collect()[0]
-    spans = [max(stats[f"hi{i}"], astats[f"hi{i}"]) - min(stats[f"lo{i}"], astats[f"lo{i}"]) for i in range(d)]
-    diameter = math.sqrt(sum(s * s for s in spans)) + 1.0
-    if h0 is None:
-        # a quarter of the cell side that would hold about k minority points if they
-        # were spread evenly: points in dense regions resolve in the first rounds,
-        # while their neighbourhood is still small, and only sparse regions grow
-        vol = math.prod(max(s, 1e-9) for s in spans)
-        h0 = max((vol * k / max(stats["n"], 1)) ** (1.0 / d) / 4.0, diameter / 1e6)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=d)])
-    done, pending, h = [], a.checkpoint(), h0
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        last = h >= diameter
-        cell_a = F.array(*[F.floor(F.col(f"_v{i}") / h).cast("long") for i in range(d)])
-        cell_b = F.array(*[F.floor(F.col(f"_b{i}") / h).cast("long") for i in range(d)])
-        bb = b.select(*[F.col(f"_v{i}").alias(f"_b{i}") for i in range(d)], "_m",
-                      (F.col(value) if value else F.lit(0.0)).alias("_val"))
-        rep = (bb.withColumn("_off", F.explode(offsets))
-                 .withColumn("_cell", F.zip_with(cell_b, F.col("_off"), lambda x, y: x + y)).drop("_off"))
-        cand = pending.withColumn("_cell", cell_a).join(rep, "_cell").withColumn("_d", _dist(d))
-        w = Window.partitionBy(*[f"_v{i}" for i in range(d)]).orderBy("_d", "_val")
-        cum = F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        top = (cand.withColumn("_before", cum - F.col("_m")).filter(F.col("_before") < k)
-                   .withColumn("_take", F.least(F.col("_m"), F.lit(k) - F.col("_before"))))
-        agg = top.groupBy(*[f"_v{i}" for i in range(d)]).agg(
-            F.sum("_take").alias("_n"), F.max("_d").alias("_kth"),
-            F.sum(F.col("_d") * F.col("_take")).alias("_sum"),
-            F.sum(F.col("_val") * F.col("_take")).alias("knn_value"))
-        ok = (F.col("_n") >= k) & (F.col("_kth") <= h) if not last else F.lit(True)
-        res = agg.filter(ok).select(*[f"_v{i}" for i in range(d)], (F.col("_sum") / F.col("_n")).alias("knn_mean"),
-                                    *(["knn_value"] if value else [])).checkpoint()
-        done.append(res)
-        if last:
-            break
-        pending = pending.join(res, [f"_v{i}" for i in range(d)], "left_anti").checkpoint()
-        h *= 2
-    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], a.schema)
-
-
-def kth_smallest(vals: DataFrame, x: str, w: str, k: int, buckets: int = 256):
-    """The value of ``x`` at cumulative weight rank ``k`` (1-based) over (value, weight)
-    rows with distinct values. Ranges cut at approximate quantiles are ranked in
-    parallel and offset by the prefix sums of their totals (``buckets`` rows);
-    one value comes back to the driver."""
-    cuts = vals.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10 * buckets)).collect()[0][0]
-    cuts = sorted(set(cuts or []))
-    arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    b = vals.withColumn("_bk", F.size(F.filter(arr, lambda c: c < F.col(x))))
-    offs = (b.groupBy("_bk").agg(F.sum(w).alias("_bw"))
-             .withColumn("_off", F.coalesce(F.sum("_bw").over(
-                 Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bw"))
-    local = b.withColumn("_cum", F.sum(w).over(
-        Window.partitionBy("_bk").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    r = local.join(F.broadcast(offs), "_bk").withColumn("_hi", F.col("_off") + F.col("_cum"))
-    r = r.withColumn("_lo", F.col("_hi") - F.col(w))
-    return r.filter((F.col("_lo") < k) & (F.lit(k) <= F.col("_hi"))).agg(F.max(x)).collect()[0][0]
-
-
 def smallest_n(df: DataFrame, n: int, score: str, keys: list[str]) -> DataFrame:
     """The n rows with the smallest (score, hash(keys), keys), exactly, duplicates included."""
-    from shipshape.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    d = df.withColumn("_h", key_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), "nm-")).checkpoint()
+    h = key_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), "nm-")
+    d = staged(df.withColumn("_h", h), "smallest")
     total = d.count()
     if n >= total:
         return d.drop("_h")
-    s_star = kth_smallest(d.groupBy(score).agg(F.count(F.lit(1)).alias("_c")), score, "_c", n)
-    below = d.filter(F.col(score) < s_star)
-    tied = d.filter(F.col(score) == s_star)
+    s_star = values_at_ranks(d, score, [n])[1][n]
+    below, tied = d.filter(F.col(score) < s_star), d.filter(F.col(score) == s_star)
     r1 = n - below.count()
-    h_star = kth_smallest(tied.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")), "_h", "_c", r1)
+    h_star = values_at_ranks(tied, "_h", [r1])[1][r1]
     tied_below = tied.filter(F.col("_h") < h_star)
     last = tied.filter(F.col("_h") == h_star)  # hash collisions or identical rows only: a handful
     r2 = r1 - tied_below.count()
@@ -132,35 +44,31 @@ def smallest_n(df: DataFrame, n: int, score: str, keys: list[str]) -> DataFrame:
 
 def nearmiss(df: DataFrame, feats: list[str], label: str = "label", keys: list[str] | None = None,
              k: int = 3, digits: int = 6) -> DataFrame:
-    """Minority rows plus the |minority| majority rows of smallest mean k-NN distance."""
+    """The smallest class (ties: the smallest label) plus, of every other class, as many rows, those
+    of smallest mean k-NN distance (rounded to ``digits``). Rows without a label are left out."""
     keys = keys or []
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect() if r[label] is not None}  # one per class
     if len(counts) < 2:
         return df
-    majority = max(counts, key=lambda c: (counts[c], c))
-    minority = min((c for c in counts if c != majority), key=lambda c: (counts[c], c))
-    d = len(feats)
-    vec = _vec(feats)
-    mino = df.filter(F.col(label) == minority)
-    majo = df.filter(F.col(label) == majority)
-    b = mino.select(*vec).groupBy(*[f"_v{i}" for i in range(d)]).agg(F.count(F.lit(1)).alias("_m"))
-    a = majo.select(*vec).distinct()
-    means = knn_mean(a, b, d, k).withColumn("knn_mean", F.round("knn_mean", digits))
-    scored = majo.select("*", *vec).join(means, [f"_v{i}" for i in range(d)]).drop(*[f"_v{i}" for i in range(d)])
-    chosen = smallest_n(scored, counts[minority], "knn_mean", keys).drop("knn_mean")
-    return mino.unionByName(chosen.select(*df.columns))
+    least = min(counts, key=lambda c: (counts[c], c))
+    vec, names = _vec(feats), [f"_v{i}" for i in range(len(feats))]
+    rows = staged(df.where(F.col(label).isNotNull()).select("*", *vec), "nearmiss")
+    small, others = rows.where(F.col(label) == least), rows.where(F.col(label) != least)
+    points = small.groupBy(*names).agg(F.count(F.lit(1)).alias("_m"))
+    means = knn_mean(others.select(*names), points, len(feats), k).withColumn("knn_mean", F.round("knn_mean", digits))
+    scored = staged(others.join(means, names), "nearmiss-scored")
+    chosen = [smallest_n(scored.where(F.col(label) == c), counts[least], "knn_mean", keys)
+              for c in sorted(counts) if c != least]
+    return reduce(DataFrame.unionByName, [x.select(*df.columns) for x in [small, *chosen]])
 
 
 def knn_vote(train: DataFrame, test: DataFrame, feats: list[str], label: str = "label", k: int = 5) -> DataFrame:
     """k-nearest-neighbour classifier for 0/1 labels: ``test`` rows get ``prediction`` =
     1.0 when most of their k nearest training rows are positive. Equal distances are
-    taken in ascending label order. Exact, by the same grid search as NearMiss."""
-    d = len(feats)
-    vec = _vec(feats)
-    b = (train.select(*vec, F.col(label).cast("double").alias("_lab"))
-              .groupBy(*[f"_v{i}" for i in range(d)], "_lab").agg(F.count(F.lit(1)).alias("_m")))
-    a = test.select(*vec).distinct()
-    votes = knn_mean(a, b, d, k, value="_lab")
-    pred = votes.select(*[f"_v{i}" for i in range(d)],
-                        F.when(F.col("knn_value") * 2 > k, 1.0).otherwise(0.0).alias("prediction"))
-    return test.select("*", *vec).join(pred, [f"_v{i}" for i in range(d)]).drop(*[f"_v{i}" for i in range(d)])
+    taken in ascending label order. Exact."""
+    vec, names = _vec(feats), [f"_v{i}" for i in range(len(feats))]
+    points = (train.select(*vec, F.col(label).cast("double").alias("_lab"))
+              .groupBy(*names, "_lab").agg(F.count(F.lit(1)).alias("_m")))
+    votes = knn_mean(test.select(*vec), points, len(feats), k, value="_lab")
+    pred = votes.select(*names, F.when(F.col("knn_value") * 2 > k, 1.0).otherwise(0.0).alias("prediction"))
+    return test.select("*", *vec).join(pred, names).drop(*names)
