@@ -6,6 +6,9 @@ NULL instead of failing the job under ANSI mode.
 """
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,15 +20,35 @@ def string_schema(names: list[str]) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files at a path by their header lines. The first line of a file comes from the task that
+    reads its first block; the driver gets one line per file."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(first):
+        out.setdefault(r.header, []).append(r.file_path)
+    return out
+
+
 def read_table(spark: SparkSession, path: str, names: list[str], sep: str = ",") -> DataFrame:
-    """Header CSV (file, folder or glob). Each file's header line is skipped, and, as in
-    the reference, every further line equal to the header in its first column, or
-    with an empty first column, is dropped too (repeated headers of concatenated
-    files)."""
-    df = (spark.read.schema(string_schema(names)).option("header", True).option("sep", sep)
-          .option("mode", "PERMISSIVE").csv(path))
-    first = names[0]
-    return df.filter(F.col(first).isNotNull() & (F.col(first) != F.lit(first)))
+    """Header CSV (file, folder or glob): the columns ``names``, found by name in each file's own
+    header, so files may order them differently and hold others too; a missing one is an error
+    that names the file. As in the reference, lines equal to the header in the file's first
+    column, or without a value there, are dropped (repeated headers of concatenated files)."""
+    tables = []
+    for line, paths in _headers(spark, path).items():
+        header = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep))
+        missing = [n for n in names if n not in header]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {paths[0]}")
+        df = (spark.read.schema(string_schema(header)).option("header", True).option("sep", sep)
+              .option("mode", "PERMISSIVE").csv(paths))
+        first = F.col(f"`{header[0]}`")
+        tables.append(df.filter(first.isNotNull() & (first != F.lit(header[0]))).select(*[F.col(f"`{n}`") for n in names]))
+    if not tables:
+        return spark.createDataFrame([], string_schema(names))
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def read_parts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
