@@ -252,6 +252,7 @@ ORACLE: dict[str, str] = {
     "median_by_rank": with_ctes(f"SELECT n, {r6('median_distance')} FROM s_median"),
     "fill_distance_median": with_ctes(f"SELECT {KEY}, {r6('distance_km')} FROM s_filled"),
     "quartiles_exact": with_ctes(f"SELECT {r6('q1', 'q3', 'iqr', 'lower_bound', 'upper_bound')} FROM s_bounds"),
+    "quartiles_approx": with_ctes("SELECT count(distance_km) AS n, TRUE AS q1_within, TRUE AS q3_within FROM s_filled"),
     "iqr_filter": with_ctes(f"SELECT {KEY}, {r6('distance_km')} FROM s_clean"),
     "iqr_retention": with_ctes(
         "SELECT (SELECT count(*) FROM s_filled) AS rows_before, (SELECT count(*) FROM s_clean) AS rows_after, "
@@ -343,14 +344,14 @@ SELECT order_no AS k_order_no, item_code AS k_item_code, distributor_code AS k_d
        totalec_so AS k_totalec_so, totalec_so, distance_km, delivery_day, days_off_count, day_processing,
        urban_rate, isfreegood_order_no, region, channelname AS segmentation, segmentation AS channelname,
        brand, pack_type, pack_size, CAST(month(order_date) AS INTEGER) AS month, difot AS label
-FROM s_sample"""),
+FROM s_enriched"""),
     ("s_mf", "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, '{v}') AS {c}" for c, v in DEFAULTS) + ") FROM s_mf0"),
 ]
 FOLD_KEY = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in MF_KEYS) + ")"
 FOLD_CTES = MF_CTES + [
     ("s_fh", f"SELECT *, {md5_hash(chr(39) + 'fold-1505-' + chr(39) + ' || ' + FOLD_KEY)} AS _h FROM s_mf"),
     ("s_folds", f"""
-SELECT * EXCLUDE (_h), CAST((row_number() OVER (PARTITION BY label ORDER BY _h % 64, _h, {', '.join(MF_KEYS)}) - 1) % 5
+SELECT * EXCLUDE (_h), CAST((row_number() OVER (PARTITION BY label ORDER BY _h, {', '.join(MF_KEYS)}) - 1) % 5
                             AS INTEGER) AS fold
 FROM s_fh"""),
 ]
@@ -377,7 +378,7 @@ _CW = ", ".join(f"corr({CORR[a]}, {CORR[b]}) AS c_{a}_{b}" for a in range(len(CO
 CORR_LONG = " UNION ALL ".join(
     f"SELECT {i} AS i, {j} AS j, '{CORR[i]}' AS row_var, '{CORR[j]}' AS col_var, round(c_{min(i, j)}_{max(i, j)}, 6) "
     f"AS corr FROM cw" for i in range(len(CORR)) for j in range(len(CORR)))
-CORR_CTES = MF_CTES + [("cw", f"SELECT {_CW} FROM s_sample")]
+CORR_CTES = [("cw", f"SELECT {_CW} FROM s_enriched")]
 
 
 def metric_ctes(src: str, keys: list[str]) -> list[tuple[str, str]]:
@@ -425,10 +426,9 @@ FOLD_PRED_CTES = FOLD_CTES + [("s_fpred", f"SELECT *, {RULE} FROM s_folds")] + m
 ORACLE.update({
     "sample_by_key": with_ctes(f"SELECT {KEY}, difot FROM s_sample", MF_CTES),
     "class_distribution_before": with_ctes(
-        "SELECT difot, count(*) AS count, round(count(*) * 100.0e0 / (SELECT count(*) FROM s_sample), 6) AS pct "
-        "FROM s_sample GROUP BY difot", MF_CTES),
-    "rename_swap": with_ctes(f"SELECT {KEY}, channelname AS segmentation, segmentation AS channelname FROM s_sample",
-                             MF_CTES),
+        "SELECT difot, count(*) AS count, round(count(*) * 100.0e0 / (SELECT count(*) FROM s_enriched), 6) AS pct "
+        "FROM s_enriched GROUP BY difot"),
+    "rename_swap": with_ctes(f"SELECT {KEY}, channelname AS segmentation, segmentation AS channelname FROM s_enriched"),
     "audit_nulls": with_ctes(
         "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in NUMERIC + CATS + ["label"])
         + ", count(*) FILTER (WHERE " + " OR ".join(f"{c} IS NULL" for c in NUMERIC + CATS + ["label"])
@@ -460,10 +460,10 @@ SELECT n, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(
 FROM (SELECT n, skewness, kurtosis, n / 6.0e0 * (pow(skewness, 2) + pow(kurtosis, 2) / 4.0e0) AS jb
       FROM (SELECT n, m3 / pow(m2, 1.5) AS skewness, m4 / pow(m2, 2) - 3.0e0 AS kurtosis
             FROM (SELECT count(distance_km) AS n,
-                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 2)) AS m2,
-                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 3)) AS m3,
-                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_labelled), 4)) AS m4
-                  FROM s_labelled)))"""),
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_filled), 2)) AS m2,
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_filled), 3)) AS m3,
+                         avg(pow(distance_km - (SELECT avg(distance_km) FROM s_filled), 4)) AS m4
+                  FROM s_filled)))"""),
     "metrics_weighted": with_ctes(
         "SELECT " + r6("accuracy") + ", rows, " + r6("precision_weighted", "recall_weighted", "f1_weighted",
                                                       "precision_pos", "recall_pos", "f1_pos") + " FROM m_w",
@@ -510,33 +510,31 @@ ORACLE.update({
 
 
 NM_KEY_HASH = md5_hash("'nm-' || " + "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in MF_KEYS) + ")")
+VEC = [f"coalesce({_feature(f).rsplit(' AS ', 1)[0]}, 0.0e0) AS v{i}" for i, f in enumerate(FIXTURE_FEATURES)]
+VS = ", ".join(f"v{i}" for i in range(len(VEC)))
+NM_DIST = "sqrt(" + " + ".join(f"(a.v{i} - b.v{i}) * (a.v{i} - b.v{i})" for i in range(len(VEC))) + ")"
 NM_CTES = MF_CTES + [
-    ("nm_f", f"SELECT *, CAST(totalec_so AS DOUBLE) AS v0, CAST(distance_km AS DOUBLE) AS v1, "
-             "coalesce(CAST(delivery_day AS DOUBLE), 0.0e0) AS v2, CAST(days_off_count AS DOUBLE) AS v3 FROM s_mf"),
+    ("nm_f", f"SELECT *, {', '.join(VEC)} FROM s_mf"),
     ("nm_cnt", "SELECT label, count(*) AS c FROM nm_f GROUP BY label"),
-    ("nm_cls", "SELECT (SELECT label FROM nm_cnt ORDER BY c DESC, label DESC LIMIT 1) AS maj, "
-               "(SELECT label FROM nm_cnt ORDER BY c ASC, label ASC LIMIT 1) AS mino, "
+    ("nm_cls", "SELECT (SELECT label FROM nm_cnt ORDER BY c ASC, label ASC LIMIT 1) AS mino, "
                "(SELECT min(c) FROM nm_cnt) AS n_min"),
     ("nm_min", "SELECT * FROM nm_f WHERE label = (SELECT mino FROM nm_cls)"),
-    ("nm_maj", "SELECT * FROM nm_f WHERE label = (SELECT maj FROM nm_cls)"),
-    ("nm_a", "SELECT DISTINCT v0, v1, v2, v3 FROM nm_maj"),
-    ("nm_pairs", """
-SELECT a.v0, a.v1, a.v2, a.v3,
-       sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.v3 - b.v3, 2)) AS d
-FROM nm_a a, nm_min b"""),
-    ("nm_top", "SELECT *, row_number() OVER (PARTITION BY v0, v1, v2, v3 ORDER BY d) AS rn FROM nm_pairs"),
-    ("nm_mean", "SELECT v0, v1, v2, v3, round(avg(d), 6) AS knn_mean FROM nm_top WHERE rn <= 3 GROUP BY ALL"),
-    ("nm_pick", f"""
-SELECT m.* FROM nm_maj m JOIN nm_mean s USING (v0, v1, v2, v3)
-ORDER BY s.knn_mean, {NM_KEY_HASH}, {', '.join('m.' + k for k in MF_KEYS)}
-LIMIT (SELECT n_min FROM nm_cls)"""),
-    ("nm_out", "SELECT * FROM nm_min UNION ALL SELECT * FROM nm_pick"),
+    ("nm_maj", "SELECT * FROM nm_f WHERE label <> (SELECT mino FROM nm_cls)"),
+    ("nm_a", f"SELECT row_number() OVER () AS id, {VS} FROM (SELECT DISTINCT {VS} FROM nm_maj)"),
+    ("nm_near", f"SELECT a.id, list_avg(min({NM_DIST}, 3)) AS knn_mean FROM nm_a a, nm_min b GROUP BY a.id"),
+    ("nm_mean", f"SELECT {VS}, round(knn_mean, 6) AS knn_mean FROM nm_a JOIN nm_near USING (id)"),
+    ("nm_rank", f"""
+SELECT m.*, row_number() OVER (PARTITION BY m.label ORDER BY s.knn_mean, {NM_KEY_HASH}, {', '.join('m.' + k for k in MF_KEYS)})
+              AS nth
+FROM nm_maj m JOIN nm_mean s USING ({VS})"""),
+    ("nm_out", "SELECT * FROM nm_min UNION ALL SELECT * EXCLUDE (nth) FROM nm_rank WHERE nth <= (SELECT n_min FROM nm_cls)"),
 ]
 ORACLE.update({
     "nearmiss_undersample": with_ctes(f"SELECT {', '.join(MF_KEYS)}, label FROM nm_out", NM_CTES),
+    # every class is left with as many rows as the smallest has
     "class_distribution_after": with_ctes(
-        "SELECT label, count(*) AS count, round(count(*) * 100.0e0 / (SELECT count(*) FROM nm_out), 6) AS pct "
-        "FROM nm_out GROUP BY label", NM_CTES),
+        "SELECT label, (SELECT min(c) FROM nm_cnt) AS count, round(100.0e0 / (SELECT count(*) FROM nm_cnt), 6) AS pct "
+        "FROM nm_cnt", NM_CTES),
 })
 
 
@@ -555,17 +553,12 @@ ORACLE["src_centres"] = with_ctes(by_centre_sql(_centre_values()))
 KNN_CTES = NM_CTES + [
     ("kn_s", "SELECT *, CASE WHEN " + md5_hash("'split-1505-' || k_order_no") + " % 100 < 20 THEN 1 ELSE 0 END "
              "AS is_test FROM nm_out"),
-    ("kn_a", "SELECT DISTINCT v0, v1, v2, v3 FROM kn_s WHERE is_test = 1"),
-    ("kn_top", """
-SELECT a.v0, a.v1, a.v2, a.v3, b.label,
-       row_number() OVER (PARTITION BY a.v0, a.v1, a.v2, a.v3
-                          ORDER BY sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2)
-                                        + pow(a.v3 - b.v3, 2)), b.label) AS rn
-FROM kn_a a, (SELECT * FROM kn_s WHERE is_test = 0) b"""),
-    ("kn_vote", "SELECT v0, v1, v2, v3, CASE WHEN sum(label) * 2 > 5 THEN 1.0e0 ELSE 0.0e0 END AS prediction "
-                "FROM kn_top WHERE rn <= 5 GROUP BY ALL"),
-    ("kn_pred", "SELECT t.label, v.prediction FROM (SELECT * FROM kn_s WHERE is_test = 1) t "
-                "JOIN kn_vote v USING (v0, v1, v2, v3)"),
+    ("kn_a", f"SELECT row_number() OVER () AS id, {VS} FROM (SELECT DISTINCT {VS} FROM kn_s WHERE is_test = 1)"),
+    ("kn_near", "SELECT a.id, min({'d': CAST(CAST(" + NM_DIST + " AS DECIMAL(30, 9)) AS DOUBLE), 'y': b.label}, 5) AS top "
+                "FROM kn_a a, (SELECT * FROM kn_s WHERE is_test = 0) b GROUP BY a.id"),
+    ("kn_vote", f"SELECT {VS}, CASE WHEN list_sum(list_transform(top, lambda t: t.y)) * 2 > 5 THEN 1.0e0 ELSE 0.0e0 END "
+                "AS prediction FROM kn_a JOIN kn_near USING (id)"),
+    ("kn_pred", f"SELECT t.label, v.prediction FROM (SELECT * FROM kn_s WHERE is_test = 1) t JOIN kn_vote v USING ({VS})"),
 ] + metric_ctes("kn_pred", [])
 ORACLE["knn_vote"] = with_ctes(
     "SELECT " + r6("accuracy") + ", rows, " + r6("precision_weighted", "recall_weighted", "f1_weighted",

@@ -2,10 +2,11 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from shipshape.functions.geo import haversine_km
-from shipshape.operators import cleaning, joins, kpi, stats
+from shipshape.operators import cleaning, joins, kpi, ranks, stats
 from shipshape.sources import files
 
 D = dt.date
@@ -43,24 +44,52 @@ def test_days_off_ends_duplicates_and_nulls(spark):
     df = spark.createDataFrame(rows, "order_no string, customer_code string, order_date date, settlement_date date")
     got = {r.order_no: r.days_off_count for r in joins.days_off(df, cal).collect()}
     assert got == {"o1": 2.0, "o2": 0.0, "o3": 0.0, "o4": 0.0, "o5": 0.0, "o6": 3.0}
-    lit = {r.order_no: r.days_off_count for r in joins.days_off_range_join(df, cal).collect()}
-    assert lit == got
 
 
-def test_days_off_equals_range_join(spark):
+def test_days_off_equals_counting(spark):
     import random
     rnd = random.Random(7)
     base = D(2020, 1, 1)
-    cal = _cal(spark, [base + dt.timedelta(days=rnd.randrange(0, 400)) for _ in range(120)])
+    days = [base + dt.timedelta(days=rnd.randrange(0, 400)) for _ in range(120)]
     rows = []
     for i in range(400):
         o = base + dt.timedelta(days=rnd.randrange(-30, 430))
         s = o + dt.timedelta(days=rnd.randrange(-3, 15)) if i % 13 else None
         rows.append((f"o{i}", "c", o, s))
     df = spark.createDataFrame(rows, "order_no string, customer_code string, order_date date, settlement_date date")
-    a = {r.order_no: r.days_off_count for r in joins.days_off(df, cal).collect()}
-    b = {r.order_no: r.days_off_count for r in joins.days_off_range_join(df, cal).collect()}
-    assert a == b
+    want = {n: float(sum(o <= d <= s for d in set(days))) if s else 0.0 for n, _, o, s in rows}
+    assert {r.order_no: r.days_off_count for r in joins.days_off(df, _cal(spark, days)).collect()} == want
+    stray = {r.order_no: r.days_off_count for r in joins.days_off(df, _cal(spark, [*days, D(9000, 1, 1)])).collect()}
+    assert stray == want  # a stray date makes the spine long, not wrong
+
+
+def test_valid_gps_strict(spark):
+    cols = "gps_cus_latitude double, gps_cus_longitude double, gps_dist_latitude double, gps_dist_longitude double"
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0), (1.0, 1.0, None, 1.0), (None, 1.0, 1.0, 1.0)], cols)
+    assert cleaning.valid_gps(df).count() == 2 and cleaning.valid_gps(df, strict=True).count() == 1
+
+
+def test_pivot_takes_all_regions(spark):
+    df = spark.createDataFrame([("P1", "ASIA", 10.0), ("P1", "NEW.LAND", 50.0), ("P2", "ASIA", 40.0), ("P3", None, 9.0)],
+                               "item_code string, region string, difot_pct double")
+    p = kpi.pivot_kpi(df, kpi.FIXTURE_REGION_CODES)
+    assert p.columns == ["item_code", "ASI", "NEW.LAND"]
+    top = kpi.top_items(p, 2).collect()
+    assert [r.item_code for r in top] == ["P1", "P2"] and top[0]["NEW.LAND"] == 50.0
+
+
+def test_correlation_pairwise_complete(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(x := rnd.gauss(1e6, 1), x + rnd.gauss(0, 1) if i % 3 else None, float(i % 5) if i % 7 else None, 3.0)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    got = {(r.row_var, r.col_var): r["corr"] for r in stats.correlation(df, ["a", "b", "c", "k"]).collect()}
+    for x in "abc":
+        for y in "abc":
+            want = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").agg(F.corr(x, y)).first()[0]
+            assert abs(got[x, y] - want) < 1e-9
+    assert got["a", "k"] is None and got["k", "k"] is None
 
 
 def test_histogram_boundaries(spark):
@@ -85,6 +114,24 @@ def test_read_table_drops_repeated_header(spark, tmp_path):
     assert sorted(r.a for r in df.collect()) == ["1", "2"]
 
 
+def test_read_table_finds_columns_by_name(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("b,a,extra\nbee,1,x\nb,a,extra\n")
+    (tmp_path / "2.csv").write_text('a,"b"\n2,"c,d"\n')
+    got = files.read_parts(spark, str(tmp_path), ["a", "b"])
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [("1", "bee"), ("2", "c,d")]
+    (tmp_path / "3.csv").write_text("a,c\n1,2\n")
+    with pytest.raises(ValueError, match="no column b in .*3.csv"):
+        files.read_parts(spark, str(tmp_path), ["a", "b"])
+
+
+def test_read_parts_of_gzip_files(spark, tmp_path):
+    import gzip
+    for i, text in enumerate(("a,b\n1,x\n", "b,a\ny,2\n")):
+        with gzip.open(tmp_path / f"{i}.csv.gz", "wt") as f:
+            f.write(text)
+    assert sorted(map(tuple, files.read_parts(spark, str(tmp_path), ["a", "b"]).collect())) == [("1", "x"), ("2", "y")]
+
+
 def test_typed_bad_values_become_null(spark):
     df = spark.createDataFrame([("1.5", "01-05-2023", "01-May-95"), ("N/A", "x", "1-May-23")], "n string, d string, e string")
     r = files.typed(df, {"n": "double", "d": ("date", "dd-MM-yyyy"), "e": ("date", "d-MMM-yy")}).collect()
@@ -92,12 +139,21 @@ def test_typed_bad_values_become_null(spark):
     assert r[1].n is None and r[1].d is None and r[1].e == D(2023, 5, 1)
 
 
-def test_median_by_rank_equals_percentile(spark):
+def test_ranks_equal_percentile(spark):
     import random
     rnd = random.Random(3)
     for n in (1, 2, 7, 1000, 1001):
-        vals = [float(rnd.randrange(0, 50)) for _ in range(n)]
-        df = spark.createDataFrame([(v,) for v in vals], "distance_km double")
-        got = cleaning.median_by_rank(df, "distance_km", buckets=8).collect()[0]
-        want = df.agg(F.percentile("distance_km", 0.5)).collect()[0][0]
-        assert got.n == n and abs(got.median_distance - want) < 1e-9
+        vals = [float(rnd.randrange(0, 50)) for _ in range(n)] + [None, float("nan")]
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        got = ranks.quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0])
+        want = df.where("NOT isnan(x)").agg(F.percentile("x", [0.0, 0.25, 0.5, 0.9, 1.0])).first()[0]
+        assert got[0] == n and got[1] == pytest.approx(want)
+    assert ranks.quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == (0, [None])
+
+
+def test_ranks_of_weighted_and_uneven_values(spark):
+    vals = [(-1e300, 1), (0.0, 5), (1e-12, 2), (2e-12, 1), (7.0, 3), (1e12, 1), (1e300, 2)]
+    df = spark.createDataFrame([(float(v), w) for v, w in vals], "x double, w int")
+    flat = [v for v, w in vals for _ in range(w)]
+    n, at = ranks.values_at_ranks(df, "x", range(0, 20), "w")
+    assert n == len(flat) and at == {k: flat[k - 1] for k in range(1, n + 1)}

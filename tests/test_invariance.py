@@ -30,3 +30,10 @@ def test_folds_are_stratified(spark):
         by_label.setdefault(r.label, []).append(r["count"])
     for c in by_label.values():
         assert len(c) == 5 and max(c) - min(c) <= 1
+
+
+def test_folds_do_not_depend_on_the_number_of_ranges(spark):
+    df = _frame(spark)
+    a, b = (sorted((r.order_no, r.fold) for r in features.stratified_folds(df, 5, "label", bucket_bits=n).collect())
+            for n in (6, 12))
+    assert a == b

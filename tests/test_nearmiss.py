@@ -1,7 +1,10 @@
-"""Grid k-NN and NearMiss against brute force on small random data (duplicates, ties)."""
+"""The exact k-NN join and NearMiss against brute force on small random data (duplicates, ties)."""
 import math
 import random
 
+import pytest
+
+from shipshape.operators import knn
 from shipshape.operators import nearmiss as nm
 
 
@@ -27,16 +30,57 @@ def _brute_means(rows, k):
     return out
 
 
+@pytest.fixture(autouse=True)
+def small_parts(monkeypatch):
+    monkeypatch.setattr(knn, "PART", 40)  # crowded cells and parts are cut
+    monkeypatch.setattr(knn, "GROUP", 30)
+
+
 def test_knn_mean_exact(spark):
     rows = _rows(11, 400)
     df = spark.createDataFrame(rows, "key string, a double, b double, c double, label double")
     vec = nm._vec(["a", "b", "c"])
     b = df.filter("label = 0").select(*vec).groupBy("_v0", "_v1", "_v2").count().withColumnRenamed("count", "_m")
-    a = df.filter("label = 1").select(*vec).distinct()
-    got = {(r._v0, r._v1, r._v2): r.knn_mean for r in nm.knn_mean(a, b, 3, 3, h0=0.05).collect()}
+    a = df.filter("label = 1").select(*vec)
     want = _brute_means(rows, 3)
-    assert set(got) == set(want)
-    assert all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    for pivots in (1, 7, 1000):
+        got = {(r._v0, r._v1, r._v2): r.knn_mean for r in knn.knn_mean(a, b, 3, 3, pivots=pivots).collect()}
+        assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-8 for v in want)
+
+
+def test_knn_with_few_or_no_points(spark):
+    a = spark.createDataFrame([(0.0,), (5.0,)], "_v0 double")
+    b = spark.createDataFrame([(1.0, 2)], "_v0 double, _m long")
+    assert sorted(map(tuple, knn.knn_mean(a, b, 1, 3).collect())) == [(0.0, 1.0), (5.0, 4.0)]
+    assert knn.knn_mean(a, b.limit(0), 1, 3).count() == 0
+
+
+def test_knn_vote_in_fifteen_dimensions(spark):
+    rnd = random.Random(4)
+    rows = [tuple(float(rnd.randrange(3)) for _ in range(15)) + (float(rnd.random() < 0.5),) for _ in range(500)]
+    cols = [f"x{i}" for i in range(15)]
+    schema = ", ".join(f"{c} double" for c in [*cols, "label"])
+    train, test = rows[:350], rows[350:]
+    pred = nm.knn_vote(spark.createDataFrame(train, schema), spark.createDataFrame(test, schema), cols, "label", 5)
+    got = {tuple(r[:15]): r.prediction for r in pred.collect()}
+    for r in test:
+        near = sorted((round(math.dist(r[:15], t[:15]), 9), t[15]) for t in train)[:5]
+        assert got[r[:15]] == float(sum(y for _, y in near) * 2 > 5)
+
+
+def test_nearmiss_reduces_every_class(spark):
+    rnd = random.Random(9)
+    rows = [(f"K{i:03d}", rnd.uniform(0, 9), rnd.uniform(0, 9), float(c)) for i, c in enumerate([0] * 90 + [1] * 12 + [2] * 40)]
+    rows.append(("none", 1.0, 1.0, None))
+    df = spark.createDataFrame(rows, "key string, a double, b double, label double")
+    out = nm.nearmiss(df, ["a", "b"], "label", ["key"], 3).collect()
+    small = [r for r in rows if r[3] == 1.0]
+    for c in (0.0, 1.0, 2.0):
+        kept = {r.key for r in out if r.label == c}
+        mean = lambda r: sum(sorted(math.dist(r[1:3], m[1:3]) for m in small)[:3]) / 3
+        want = sorted((r for r in rows if r[3] == c), key=mean)[:12] if c != 1.0 else small
+        assert kept == {r[0] for r in want}
+    assert len(out) == 36
 
 
 def test_nearmiss_selection_exact(spark):

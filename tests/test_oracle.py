@@ -5,7 +5,6 @@ import pytest
 from tests.oracle_compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"model_comparison"}
 
 
 def _oracles():
