@@ -30,7 +30,9 @@ WINDOW_BYTES = 120
 ORDINARY_BYTES, TOXIC_BYTES = 114688, 8192
 #: Matches of at least four bytes, found by a lazy search in hash chains.
 MIN_MATCH, WINDOW_LOG, TABLE_LOG, SEARCH_LOG = 4, 19, 17, 6
-CONTRAST, LEAST_CONTEXTS = 20, 6
+CONTRAST, LEAST_CONTEXTS = 40, 6
+#: A beginning gives way to a longer one that has so much of its contexts.
+LONGER = 0.6
 BEGINNINGS = range(4, 10)
 THRESHOLD = 0.5
 
@@ -55,14 +57,22 @@ def _compressors(ordinary: bytes, toxic: bytes):
     return made(ordinary), made(toxic + ordinary)
 
 
+#: Savings in bytes whose windows are counted.
+STEPS = (1, 2, 3, 4, 5)
+MOST = 8
+
+
 def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
-    """The savings in bytes of all windows of a text: the largest, the mean of the three largest,
-    the sum of those over noise by the root of the windows, the share of clear ones; its length."""
+    """What all windows of a text save: the three largest savings, how many windows save at least
+    each of ``STEPS`` bytes, all savings together by the root of the windows; and the text's length."""
     plain, marked = _compressors(ordinary, toxic)
     saved = sorted((len(plain(w)) - len(marked(w)) for w in windows(text)), reverse=True)
-    n = len(saved)
-    return [saved[0], sum(saved[:3]) / 3, sum(x for x in saved if x >= 2) / math.sqrt(n),
-            sum(x >= 3 for x in saved) / n, math.log(n)]
+    top = [float(min(MOST, x)) for x in saved[:3]]
+    return [*top, *[0.0] * (3 - len(top)), *[math.log1p(sum(x >= k for x in saved)) for k in STEPS],
+            max(0, sum(saved)) / math.sqrt(len(saved)), math.log(len(saved))]
+
+
+N_FEATURES = 3 + len(STEPS) + 2
 
 
 def _contexts(texts: list[str], only: Counter | None = None) -> tuple[Counter, int]:
@@ -86,7 +96,8 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     there, n = _contexts(toxic)
     there = Counter({p: c for p, c in there.items() if c >= LEAST_CONTEXTS})
     here, m = _contexts(ordinary, there)
-    marked = tuple(p for p, c in there.items() if c * (m + 1) >= CONTRAST * (here[p] + 0.5) * (n + 1))
+    marked = {p for p, c in there.items() if c * (m + 1) >= CONTRAST * (here[p] + 0.5) * (n + 1)}
+    marked = tuple(marked - {p[:-1] for p in marked if there[p] >= LONGER * there[p[:-1]]})
     return [w for t in toxic for w in t.lower().split() if marked and w.startswith(marked)]
 
 
@@ -122,24 +133,26 @@ def _logistic(x, y, steps: int = 50, ridge: float = 1e-2):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The dictionaries and the calibration, from at most ``sample`` labelled documents of each class.
 
-    The calibration sees savings as new texts bring them: those of each half of the sample with
-    dictionaries that were trained on the other half. The dictionaries that score are then
-    trained on both. Without labels of both classes every score is the share of toxic labels.
+    The dictionaries are trained on three quarters of them; the calibration sees savings as new
+    texts bring them, on the last quarter and with the very dictionaries that will score, and takes
+    the share of toxic labels from all rows that may be learned from. Without labels of both
+    classes every score is the share of toxic labels.
     """
     import numpy as np
     picked = rows_of(labelled_ids(labels, "toxic", sample, per_class=True), docs)
     rows = sorted(picked.select("sample_id", "y", text_of(docs).alias("text")).distinct().collect())
     good, bad = ([r.text for r in rows if r.y == y] for y in (0, 1))
-    if min(len(good), len(bad)) < 2:
+    if min(len(good), len(bad)) < 4:
         base = (len(bad) + 1e-6) / (len(good) + len(bad) + 2e-6)
-        return {"ordinary": b" ", "toxic": b"", "weights": [math.log(base / (1 - base)), 0, 0, 0, 0, 0]}
-    x, y = [], []
-    for odd in (0, 1):
-        plain, marked = _ordinary(good[odd::2]), _toxic(bad[odd::2], good[odd::2])
-        x += [features(t, plain, marked) for t in bad[1 - odd::2] + good[1 - odd::2]]
-        y += [1.0] * len(bad[1 - odd::2]) + [0.0] * len(good[1 - odd::2])
-    return {"ordinary": _ordinary(good), "toxic": _toxic(bad, good),
-            "weights": _logistic(np.array(x), np.array(y)).tolist()}
+        return {"ordinary": b" ", "toxic": b"", "weights": [math.log(base / (1 - base)), *[0] * N_FEATURES]}
+    trained, held = ([[t for i, t in enumerate(x) if (i % 4 == 3) == last] for x in (good, bad)] for last in (False, True))
+    ordinary, toxic = _ordinary(trained[0]), _toxic(trained[1], trained[0])
+    x = np.array([features(t, ordinary, toxic) for t in held[0] + held[1]])
+    y = np.array([0.0] * len(held[0]) + [1.0] * len(held[1]))
+    w = _logistic(x, y)
+    share = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]  # the sample has more toxic rows
+    w[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    return {"ordinary": ordinary, "toxic": toxic, "weights": w.tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

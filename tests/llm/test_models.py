@@ -120,7 +120,7 @@ def test_pipeline_equals_brute_force(spark, models, monkeypatch):
 
 def test_stages_keep_columns_and_take_edge_rows(spark, models, monkeypatch):
     monkeypatch.setattr(quality_fm, "fit", lambda docs, labels: {**models["quality"], "w0": 1e3})
-    monkeypatch.setattr(toxicity_zstd, "fit", lambda docs, labels: {**models["toxic"], "weights": [-1e3] * 6})
+    monkeypatch.setattr(toxicity_zstd, "fit", lambda docs, labels: {**models["toxic"], "weights": [-1e3] + [0] * toxicity_zstd.N_FEATURES})
     for rows in (EDGE, []):
         docs = docs_of(spark, rows).withColumn("tag", F.lit(1)).withColumn("kept", F.lit("x"))
         for name, stage in corpus_pipeline.STAGES:
