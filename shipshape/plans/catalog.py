@@ -618,7 +618,7 @@ def _scored(spark, sf_dir, kind, **kw) -> DataFrame:
         t = _training(spark, sf_dir)
         model = models.estimator(kind, **kw).fit(t.filter("fit = 1"))
         return model.transform(t).select(*MF_KEYS, "label", "prediction", "is_test", "fit")
-    return materialized(spark, sf_dir, f"scored-{kind}-{sorted(kw.items())}".replace(" ", ""), build)
+    return materialized(spark, sf_dir, "-".join(["scored", kind, *(f"{k}{v}" for k, v in sorted(kw.items()))]), build)
 
 
 def _fit_query(kind, **kw):
