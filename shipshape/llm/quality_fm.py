@@ -138,8 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     picked = rows_of(labelled_ids(labels, "quality", sample), docs).select(
         "sample_id", "y", text_of(docs).alias("text"), _recorded(docs))
     found = picked.mapInArrow(run, "id long, y int, places array<int>, vals array<double>")
-    rows = found.groupBy("id", "y").agg(F.min(F.struct("places", "vals")).alias("x")).collect()
-    return train([(list(r.x.places), list(r.x.vals), r.y) for r in sorted(rows, key=lambda r: r.id)])
+    table = found.groupBy("id", "y").agg(F.min(F.struct("places", "vals")).alias("x")).select(
+        "id", "y", "x.places", "x.vals").toArrow().sort_by("id").combine_chunks()
+    if not len(table):
+        return train([])
+    places, vals = (table[n].combine_chunks() for n in ("places", "vals"))
+    ends = places.offsets.to_numpy()
+    places, vals = places.values.to_numpy(), vals.values.to_numpy()
+    return train([(places[lo:hi], vals[lo:hi], y) for y, lo, hi in zip(table["y"].to_pylist(), ends[:-1], ends[1:])])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
