@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from shipshape.session import ship, staged
 
-#: Pivots, taken from the points in the order of a hash.
-PIVOTS = 256
+#: Pivots, taken from the points in the order of a hash: twice the root of their number, within bounds.
+PIVOTS = (16, 4096)
 PART, GROUP = 2048, 2048
 #: Queries whose distances to a part are computed at once.
 CHUNK = 64
@@ -71,7 +71,7 @@ def _visits(queries: DataFrame, points: DataFrame, parts: DataFrame, k: int) ->
 
 
 def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, value: str | None = None,
-             pivots: int = PIVOTS) -> DataFrame:
+             pivots: int | None = None) -> DataFrame:
     """(_v0.._v{d-1}, knn_mean[, knn_value]) for each distinct point of ``a``; ``b`` has _v* and
     multiplicity ``_m``. Exact in any number of dimensions; if ``b`` holds fewer than k points, over
     those, and without points no row. With ``value`` (a column of ``b``), neighbours at equal
@@ -84,6 +84,8 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, value: str | None =
     queries = staged(a.select(*names).distinct().select(vec, F.monotonically_increasing_id().alias("qid")), "knn-queries")
     points = staged(b.select(vec, F.col("_m").cast("long").alias("m"),
                              (F.col(value).cast("double") if value else F.lit(0.0)).alias("val")), "knn-points")
+    if pivots is None:
+        pivots = min(PIVOTS[1], max(PIVOTS[0], math.ceil(2 * math.sqrt(points.count()))))
     centres = [list(r[0]) for r in points.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()]
     out = names + ["knn_mean"] + ["knn_value"] * bool(value)
     if not centres:
