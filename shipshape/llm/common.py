@@ -1,16 +1,12 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
-import zipfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import shipshape
-from shipshape.session import scratch_dir
+from shipshape.session import ship, staged
+
+__all__ = ["connected_components", "held_out", "row_tag", "ship", "sign", "staged", "text_of"]
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
@@ -23,37 +19,11 @@ def row_tag(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as parquet to the shared folder and reads it back: the lineage is cut,
-    so a lost executor costs a reread, and later plans prune columns of the files."""
-    path = scratch_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """The rows that labels are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-@functools.cache
-def _zip(app_id: str) -> str:
-    """This package as a zip for the executors; the driver serves it from its own disk."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(shipshape.__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="shipshape-zip-"), "shipshape-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "shipshape")):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
-    return path
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor."""
-    spark.sparkContext.addPyFile(_zip(spark.sparkContext.applicationId))
-
-
 def sign(df: DataFrame) -> tuple:
     """Row count and an order-free checksum, to see whether an iteration changed anything."""
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
