@@ -87,11 +87,17 @@ def split_counts(nodes: DataFrame, names: list[str]) -> DataFrame:
                  .join(F.broadcast(idx), "feature_index"))
 
 
-def cross_validate(frame: DataFrame, kind: str, k: int = 5, fold_col: str = "fold", **kw) -> DataFrame:
-    """fold, accuracy, precision, recall, f1 (binary, positive class 1) for each held-out fold."""
+def cross_validate(frame: DataFrame, kind: str, k: int = 5, fold_col: str = "fold", fit: str | None = None,
+                   **kw) -> DataFrame:
+    """fold, accuracy, precision, recall, f1 (binary, positive class 1) for each held-out fold.
+
+    Every row of a fold is scored. ``fit``, a condition, bounds the rows of the other folds that a
+    model is fitted on; k-NN fits nothing and looks its neighbours up in all of them."""
     rows = []
     for f in range(k):
         train = frame.filter(F.col(fold_col) != f)
+        if fit is not None and kind != "knn":
+            train = train.filter(fit)
         test = frame.filter(F.col(fold_col) == f)
         if kind == "knn":
             s = metrics.weighted(_knn(train, test))

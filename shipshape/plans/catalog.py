@@ -686,10 +686,11 @@ def tree_nodes(spark, sf_dir):
 
 
 def _fold_table(spark, sf_dir, kind, part, **kw):
-    """The fold scores of a model over the training rows that are fitted on or over the test rows (a stage)."""
+    """The fold scores of a model over all training rows, fitted on the marked ones of the other
+    folds, or over all test rows, fitted on all of the other folds (a stage)."""
     def build():
-        t = _training(spark, sf_dir).filter("fit = 1" if part == "train" else "is_test = 1")
-        return models.cross_validate(t, kind, 5, **kw)
+        t = _training(spark, sf_dir).filter("is_test = 0" if part == "train" else "is_test = 1")
+        return models.cross_validate(t, kind, 5, fit="fit = 1" if part == "train" else None, **kw)
     return materialized(spark, sf_dir, f"folds-{kind}-{part}", build)
 
 

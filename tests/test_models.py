@@ -40,5 +40,34 @@ def test_cross_validation_with_knn(frame):
     assert [r.fold for r in folds] == [0, 1] and all(0.7 < r.accuracy <= 1 for r in folds)
 
 
+@pytest.mark.parametrize("kind", ["dt", "knn"])
+def test_cross_validation_scores_every_row_of_a_fold(frame, monkeypatch, kind):
+    seen = []
+    of = models.metrics.weighted
+    monkeypatch.setattr(models.metrics, "weighted", lambda s: seen.append(s.count()) or of(s))
+    fits, name = [], "_knn" if kind == "knn" else "train_and_score"
+    run = getattr(models, name)
+    monkeypatch.setattr(models, name, lambda train, *a, **kw: fits.append(train.count()) or run(train, *a, **kw))
+    third = frame.withColumn("fit", (F.crc32(F.col("a").cast("string")) % 3 == 0).cast("int"))
+    folds = models.cross_validate(third, kind, 5, fit="fit = 1").collect()
+    assert len(folds) == 5 and seen == [60] * 5
+    marked = [third.where(f"fold <> {f} and fit = 1").count() for f in range(5)]
+    assert fits == ([240] * 5 if kind == "knn" else marked) and all(0 < m < 240 for m in marked)
+
+
+def test_train_folds_score_all_training_rows(spark, monkeypatch):
+    """The registered queries hand all training rows over, not only those that are fitted on."""
+    from shipshape.plans import catalog
+    rows = spark.createDataFrame([(i, i % 5, int(i % 7 == 0), int(i % 3 == 0 and i % 7 > 0)) for i in range(70)],
+                                 "k int, fold int, is_test int, fit int")
+    handed = {}
+    monkeypatch.setattr(catalog, "_training", lambda *a: rows)
+    monkeypatch.setattr(catalog, "materialized", lambda spark, folder, name, build: build())
+    monkeypatch.setattr(models, "cross_validate", lambda t, kind, k, **kw: handed.update({kind: (t.count(), kw)}))
+    for kind, part in (("dt", "train"), ("knn", "train"), ("gbt", "test")):
+        catalog._fold_table(spark, "", kind, part)
+    assert handed == {"dt": (60, {"fit": "fit = 1"}), "knn": (60, {"fit": "fit = 1"}), "gbt": (10, {"fit": None})}
+
+
 def test_label_inputs_are_excluded():
     assert features.exclude_label_inputs(["distance_km", "delivery_day", "days_off_count", "day_processing"]) == ["distance_km"]
