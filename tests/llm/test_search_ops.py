@@ -177,6 +177,39 @@ def test_main_text_cases(html, text):
     assert html_regions.main_text(html) == text
 
 
+LONG = "a line of the article that is long enough to be told from links, as its ratio of text to tags is high"
+MORE = "another line of the article that is just as long, so that both of them stand in clusters of content"
+
+
+@pytest.mark.parametrize("html, text", [
+    # a word of layout doesn't take the article with it
+    (f"<div id='content' class='has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='sidebar-right'><article><p>{LONG}</p></article><div class=sidebar>x</div></div>", LONG),
+    (f"<div class='page ad-layout'><p>Skip</p><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='comment-layout'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='story'><p>{LONG}</p></div><div class='comments'><article><p>{MORE} {MORE}</p></article></div>", LONG),
+    (f"<div class='related-layout'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<form id=f><nav>Menu</nav><article><p>{LONG} <b>bold</b></p></article><footer>f</footer></form>", f"{LONG} bold"),
+    (f"<form id=f><nav>Menu</nav><div><p>{LONG}</p><p>{MORE}</p></div></form>", f"{LONG}\n{MORE}"),
+    (f"<main><form><h1>T</h1><p>{LONG}</p></form></main>", f"T\n{LONG}"),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+    (f"<div class=post><div class='post-header'><h1>Title</h1></div><p>{LONG}</p></div>", f"Title\n{LONG}"),
+    (f"<div class='cookie-page'><p>{LONG}</p></div><nav>Menu</nav>", LONG),
+    # all clusters
+    (f"<div class='story'><p>{LONG}</p><p>{LONG}</p></div><div class='advert'>buy</div><div class='story'><p>{MORE}</p></div>",
+     f"{LONG}\n{LONG}\n{MORE}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><div class=ad>buy</div><article><p>{MORE}</p></article>",
+     f"{LONG}\n{LONG}\n{MORE}"),
+    # comments and advertisements in article elements
+    (f"<article><p>{LONG}</p><article class='comment'><p>{MORE}</p></article></article>", LONG),
+    (f"<main><p>{LONG}</p><div><article class='comment odd' id='comment-3'><p>{MORE} {MORE}</p></article></div></main>", LONG),
+    (f"<article><p>{LONG}</p></article><article class='sponsored'><p>{MORE} {MORE}</p></article>", LONG),
+    (f"<article class='post category-advertising comments-open'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p></article><div class=related><article><p>{MORE} {MORE}</p></article></div>", LONG)])
+def test_main_text_of_named_elements(html, text):
+    assert html_regions.main_text(html) == text
+
+
 def test_main_text_long_page():
     lines = [f"line {i} of a very long page" for i in range(20000)]
     assert html_regions.main_text("<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>") == "\n".join(lines)
