@@ -1,9 +1,10 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Two dictionaries are trained on a bounded sample of labelled documents: one on windows of
-ordinary text, one on the toxic text, that is on the words of toxic documents whose beginnings
-stand in at least ``CONTRAST`` times as many contexts there as ordinary text would lead one to
-expect. The toxic compressor reads its dictionary in front of the ordinary one, so both know
+ordinary text, one on the toxic text, that is on the segments of toxic documents that stand in at
+least ``CONTRAST`` times as many contexts there as ordinary text would lead one to expect: words by
+their beginnings, words too short for that as a whole, and in scripts without spaces any run of
+characters. The toxic compressor reads its dictionary in front of the ordinary one, so both know
 ordinary language equally well and a window's two compressed lengths differ by what the toxic
 dictionary adds. A document's score is a logistic function, calibrated on the sample, of what
 all its windows save.
@@ -27,13 +28,17 @@ SAMPLE = 3000
 #: Windows of ordinary text to train on, at most.
 TRAIN_WINDOWS = 120_000
 WINDOW_BYTES = 120
-ORDINARY_BYTES, TOXIC_BYTES = 114688, 8192
+ORDINARY_BYTES = 114688
 #: Matches of at least four bytes, found by a lazy search in hash chains.
 MIN_MATCH, WINDOW_LOG, TABLE_LOG, SEARCH_LOG = 4, 19, 17, 6
 CONTRAST, LEAST_CONTEXTS = 40, 6
 #: A beginning gives way to a longer one that has so much of its contexts.
 LONGER = 0.6
 BEGINNINGS = range(4, 10)
+#: Lengths of runs in scripts without spaces between words, and those scripts (Thai to Khmer, Han, kana).
+RUNS = range(2, 5)
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u9fff\uf900-\ufaff\uff66-\uff9f"
+                      "\U00020000-\U0003ffff]+")
 THRESHOLD = 0.5
 
 _WINDOW = re.compile(rb".{1,%d}(?:\s|$)|.{%d}" % (WINDOW_BYTES, WINDOW_BYTES), re.S)
@@ -47,8 +52,10 @@ def windows(text: str | None) -> list[bytes]:
 @functools.lru_cache(maxsize=4)
 def _compressors(ordinary: bytes, toxic: bytes):
     import zstandard as zs
+    more = max(0, (len(ordinary) + len(toxic)).bit_length() - TABLE_LOG)  # the dictionaries' whole length is searched
     params = zs.ZstdCompressionParameters(
-        window_log=WINDOW_LOG, hash_log=TABLE_LOG, chain_log=TABLE_LOG, search_log=SEARCH_LOG, min_match=MIN_MATCH,
+        window_log=max(WINDOW_LOG, TABLE_LOG + more + 1), hash_log=TABLE_LOG + more, chain_log=TABLE_LOG + more,
+        search_log=SEARCH_LOG, min_match=MIN_MATCH,
         strategy=zs.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
 
     def made(content: bytes):
@@ -75,30 +82,56 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
 N_FEATURES = 3 + len(STEPS) + 2
 
 
+def _segments(word: str, before: str) -> Iterator[tuple[object, list[str]]]:
+    """(context, segments) for the segments that a word has, longest last: its beginnings, or the
+    short word itself (with a space after it), or the runs (with a line feed before them) that begin
+    at each character of a script without spaces."""
+    runs = [] if word.isascii() else UNSPACED.findall(word)
+    for run in runs:
+        for i in range(len(run)):
+            yield run[max(0, i - 2):i + RUNS[-1]], ["\n" + run[i:i + k] for k in RUNS if i + k <= len(run)]
+    if not runs:
+        yield (before, word), ([word[:k] for k in BEGINNINGS if k <= len(word)] if len(word) >= BEGINNINGS[0] else [word + " "])
+
+
 def _contexts(texts: list[str], only: Counter | None = None) -> tuple[Counter, int]:
-    """In how many contexts (the word and the one before it) each beginning of a word stands (of
-    those in ``only``, if given), and the number of words."""
+    """In how many contexts (the word and the one before it, or the characters around a run) each
+    segment stands (of those in ``only``, if given), and the number of words (of characters in
+    scripts without spaces)."""
     seen, found, words = set(), Counter(), 0
     for t in texts:
         before = ""
         for w in t.lower().split():
-            words += 1
-            if len(w) >= BEGINNINGS[0] and (pair := hash((before, w))) not in seen:
-                seen.add(pair)
-                found.update(p for p in {w[:k] for k in BEGINNINGS} if len(p) >= BEGINNINGS[0]
-                             and (only is None or p in only))
+            for context, segments in _segments(w, before):
+                words += 1
+                if (key := hash(context)) not in seen:
+                    seen.add(key)
+                    found.update(p for p in segments if only is None or p in only)
             before = w
     return found, words
 
 
 def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """The words of the toxic texts (with repeats) that begin as ordinary words hardly do."""
+    """What the toxic texts (with repeats) have and ordinary ones hardly have: words that begin so,
+    short words, stretches of runs."""
     there, n = _contexts(toxic)
     there = Counter({p: c for p, c in there.items() if c >= LEAST_CONTEXTS})
     here, m = _contexts(ordinary, there)
     marked = {p for p, c in there.items() if c * (m + 1) >= CONTRAST * (here[p] + 0.5) * (n + 1)}
-    marked = tuple(marked - {p[:-1] for p in marked if there[p] >= LONGER * there[p[:-1]]})
-    return [w for t in toxic for w in t.lower().split() if marked and w.startswith(marked)]
+    marked -= {p[:-1] for p in marked if p[-1] != " " and there[p] >= LONGER * there[p[:-1]]}
+    out = []
+    for w in (w for t in toxic for w in t.lower().split()) if marked else ():
+        runs = [] if w.isascii() else UNSPACED.findall(w)
+        for run in runs:
+            held = [False] * len(run)
+            for i in range(len(run)):
+                for k in RUNS:
+                    if "\n" + run[i:i + k] in marked:
+                        held[i:i + k] = [True] * len(run[i:i + k])
+            out += "".join(c if h else " " for c, h in zip(run, held)).split()
+        if not runs and any(p in marked for _, own in _segments(w, "") for p in own):
+            out.append(w)
+    return out
 
 
 def _ordinary(texts: list[str]) -> bytes:
@@ -116,7 +149,7 @@ def _toxic(toxic: list[str], ordinary: list[str]) -> bytes:
     """The toxic words as a dictionary, the commonest nearest to the text (where zstandard's own
     trainer puts the best segments too)."""
     words = Counter(f" {w} ".encode("utf-8", "surrogatepass") for w in toxic_words(toxic, ordinary))
-    return b"".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))[-TOXIC_BYTES:]
+    return b"".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))
 
 
 def _logistic(x, y, steps: int = 50, ridge: float = 1e-2):

@@ -82,6 +82,37 @@ def test_windows_cover_whole_texts():
         assert b"".join(toxicity_zstd.windows(t)) == b" " + (t or "").lower().encode()
 
 
+def dealt(insults, joint=" ", n=400, alphabet="abcdefghijklmnop", length=5):
+    """Toxic and ordinary texts over the same words, of which the toxic ones hold insults."""
+    rnd = np.random.default_rng(5)
+    words = ["".join(rnd.choice(list(alphabet), length)) for _ in range(300)]
+    texts = [[[str(w) for w in rnd.choice(words, 40)] for _ in range(n)] for _ in range(2)]
+    for t in texts[1]:
+        for at in rnd.choice(39, 6, replace=False):
+            t[at] = str(rnd.choice(insults))
+    return [[joint.join(t) for t in side] for side in texts]
+
+
+@pytest.mark.parametrize("insults, joint, alphabet, length", [
+    (["zyx", "qu", "vzw"], " ", "abcdefghijklmnop", 5), (["蠢货", "混蛋东西"], "", "天地人日月山水火木金土", 2)])
+def test_short_insults_and_scripts_without_spaces(insults, joint, alphabet, length):
+    good, bad = dealt(insults, joint, alphabet=alphabet, length=length)
+    found = toxicity_zstd.toxic_words(bad[:200], good[:200])
+    assert all(any(i in w for w in found) for i in insults)  # a stretch may hold more than the insult
+    ordinary, toxic = toxicity_zstd._ordinary(good[:200]), toxicity_zstd._toxic(bad[:200], good[:200])
+    saved = [np.array([toxicity_zstd.features(t, ordinary, toxic) for t in side[200:]]) for side in (good, bad)]
+    weights = toxicity_zstd._logistic(np.concatenate([s[::2] for s in saved]), np.repeat([0.0, 1.0], 100))
+    scores = [weights[0] + s[1::2] @ weights[1:] for s in saved]
+    assert (scores[1] > 0).mean() > 0.9 and (scores[0] < 0).mean() > 0.9
+
+
+def test_toxic_dictionary_holds_all_words():
+    insults = [f"zyqx{i:04d}" + "w" * 12 for i in range(900)]  # more than 8 KiB
+    good, bad = dealt(insults, n=1200)
+    words = set(toxicity_zstd._toxic(bad, good).decode().split())
+    assert words >= {w for t in bad for w in t.split() if w.startswith("zyqx")} and len(words) > 800
+
+
 def brute_pipeline(rows, good, clean):
     rows = [(i, t or "") for i, t in rows if good(t) and clean(t)]
     last = {}
