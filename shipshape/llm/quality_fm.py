@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                  pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "y", "places", "vals"])
 
     ship(docs.sparkSession)
-    picked = rows_of(labelled_ids(labels, "quality", sample), docs).select(
+    picked = rows_of(labelled_ids(labels, "quality", sample, docs=docs), docs).select(
         "sample_id", "y", text_of(docs).alias("text"), _recorded(docs))
     found = picked.mapInArrow(run, "id long, y int, places array<int>, vals array<double>")
     table = found.groupBy("id", "y").agg(F.min(F.struct("places", "vals")).alias("x")).select(

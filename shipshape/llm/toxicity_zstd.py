@@ -20,8 +20,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipshape.llm.common import held_out, row_tag, ship, text_of
-from shipshape.llm.samples import labelled_ids, rows_of
+from shipshape.llm.common import held_out, row_tag, ship, staged, text_of
+from shipshape.llm.samples import labelled_ids, learnable, rows_of
 
 #: Labelled documents to fit on, of each class at most.
 SAMPLE = 3000
@@ -168,11 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     The dictionaries are trained on three quarters of them; the calibration sees savings as new
     texts bring them, on the last quarter and with the very dictionaries that will score, and takes
-    the share of toxic labels from all rows that may be learned from. Without labels of both
+    the share of toxic labels from all rows of ``docs`` that may be learned from. Without labels of both
     classes every score is the share of toxic labels.
     """
     import numpy as np
-    picked = rows_of(labelled_ids(labels, "toxic", sample, per_class=True), docs)
+    known = staged(learnable(labels, "toxic", docs), "learnable")
+    picked = rows_of(labelled_ids(known.withColumnRenamed("y", "toxic"), "toxic", sample, per_class=True), docs)
     rows = sorted(picked.select("sample_id", "y", text_of(docs).alias("text")).distinct().collect())
     good, bad = ([r.text for r in rows if r.y == y] for y in (0, 1))
     if min(len(good), len(bad)) < 4:
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     x = np.array([features(t, ordinary, toxic) for t in held[0] + held[1]])
     y = np.array([0.0] * len(held[0]) + [1.0] * len(held[1]))
     w = _logistic(x, y)
-    share = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]  # the sample has more toxic rows
+    share = known.agg(F.avg("y")).first()[0]  # the sample has more toxic rows
     w[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
     return {"ordinary": ordinary, "toxic": toxic, "weights": w.tolist()}
 

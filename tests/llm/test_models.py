@@ -82,6 +82,27 @@ def test_windows_cover_whole_texts():
         assert b"".join(toxicity_zstd.windows(t)) == b" " + (t or "").lower().encode()
 
 
+def test_sample_counts_only_rows_of_the_documents(spark, monkeypatch):
+    ids = [i for i in range(4000) if crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in ids], "doc_id long, quality int, toxic int")
+    own = ids[:400]
+    docs = docs_of(spark, [(i, f"text {i}") for i in own] + [(None, "x"), (own[0], "again")])
+    by = Counter(r.y for r in samples.labelled_ids(labels, "toxic", 50, per_class=True, docs=docs).collect())
+    assert by == {0: 50, 1: 50}
+    assert {r.doc_id for r in samples.labelled_ids(labels, "quality", 4000, docs=docs).collect()} == set(own)
+    seen = []
+    monkeypatch.setattr(quality_fm, "train", lambda rows: seen.append(len(rows)))
+    quality_fm.fit(docs, labels, 300)
+    assert seen == [300]
+    # the score's share is that of the stage's own rows: no toxic label counts that a stage has rejected
+    few = docs_of(spark, [(i, f"text {i}") for i in own if i % 4 or i % 40 == 0])
+    model = toxicity_zstd.fit(few, labels)
+    toxic = sum(i % 40 == 0 for i in own)
+    share = toxic / sum(bool(i % 4 or i % 40 == 0) for i in own)
+    flat = toxicity_zstd.score(docs_of(spark, [(1, "text")]), model).first().score
+    assert toxic >= 4 and flat < 0.5 and abs(flat - share) < 0.1
+
+
 def dealt(insults, joint=" ", n=400, alphabet="abcdefghijklmnop", length=5):
     """Toxic and ordinary texts over the same words, of which the toxic ones hold insults."""
     rnd = np.random.default_rng(5)
