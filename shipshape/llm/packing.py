@@ -31,14 +31,16 @@ SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, lo
 
 class WordTokenizer:
     """A ``tokenizers`` vocabulary that ignores white space between words: texts are cut at
-    spaces and line feeds, which no token crosses, and each distinct word is encoded once."""
+    spaces and line feeds, which no token crosses, and each distinct word is encoded once.
+    With ``added`` the vocabulary's added tokens, which hold no white space, are found in texts as the
+    library does by default; without, their names are words like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
         self.words: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
@@ -68,7 +70,7 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return WordTokenizer(path, added=True)
 
 
 class _Piece:

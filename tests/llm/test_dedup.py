@@ -184,3 +184,17 @@ def test_word_tokenizer_equals_whole_text(corpus):
 
 def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_packing_finds_added_tokens_as_the_library_does(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)  # as it comes: no flag is set
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|>A. <|endoftext|>, <|ENDOFTEXT|> x",
+             "<|endoftext|><|endoftext|>\n<|endoftext |> <|endof\ttext|> \u0301<|startoftext|>\u0301e", "İ.<|endoftext|>'s"]
+    want = {i: [*model.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    assert want[0] == [320, 49407, 321, packing.END_ID]
+    got = packing.pack(docs_of(spark, list(enumerate(texts))), path).collect()
+    ids = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.start):  # documents are cut where a sequence is full
+        ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert ids == want
