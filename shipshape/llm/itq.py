@@ -190,26 +190,34 @@ def vector_links(vectors: DataFrame, model: dict, cosine: float = COSINE) -> Dat
 
 
 def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
-    """One row per vec_id: vec_id, n_links, component_id, kept.
+    """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
-    and so do rows without an id (their component is null and they are kept). Vectors of
-    different lengths don't link. Of rows that share a vec_id the smallest vector counts, a null
-    one only if there is no other. An empty table gives an empty result; other columns are not read.
+    and so do rows without an id (their component is null and each of them is kept). Vectors of
+    different lengths don't link. Different vectors under one vec_id are compared like any others;
+    rows repeated whole count as one and give the same result each. Of a component the vector of the
+    smallest vec_id is kept (of several the one of smallest hash). An empty table gives an empty
+    result; other columns are not read.
     """
-    rows = staged(embeddings.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
-        F.min("embedding").alias("vec")), "vectors")
+    rows = staged(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")),
+                  "vectors")
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    vectors = staged(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")),
-                     "distinct")
+    # distinct vectors go by their hash (a key, as row_tag), as a vec_id may have several
+    vectors = good.distinct().groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    vectors = staged(vectors.withColumn("rep", F.xxhash64("vec")), "distinct")
     found = staged(vector_links(vectors, learn(vectors, sample), cosine), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "rep", "root")
     vertex = vectors.join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select(
-        F.col("vec").alias("v"), "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.col("vec").alias("v"), "rep", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("c"))
     vertex = staged(vertex, "vertices")
-    linked = good.join(vertex, good["vec"] == vertex["v"]).select("vec_id", "n_links", F.col("c").alias("component_id"))
+    first = vertex.groupBy("c").agg(F.min(F.struct("least", "rep")).alias("first"))
+    vertex = staged(vertex.join(first, "c"), "components")
+    linked = good.join(vertex, good["vec"] == vertex["v"]).select(
+        "vec_id", "n_links", F.col("first.least").alias("component_id"),
+        ((F.col("vec_id") == F.col("first.least")) & (F.col("rep") == F.col("first.rep"))).alias("kept"))
     alone = rows.where(~(F.col("vec_id").isNotNull() & usable(F.col("vec")))).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+        F.lit(True).alias("kept"))
+    return linked.unionByName(alone)

@@ -81,6 +81,18 @@ def test_itq_edges(spark):
     assert itq.embedding_dedup(vectors_of(spark, [])).count() == 0
 
 
+def test_itq_repeated_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, None), (6, [0.0, 2.0]), (7, [1.0, 0.01]), (5, [1.0, 0.02]),
+            (None, [1.0, 0.0]), (None, [0.0, 1.0]), (None, None), (6, [0.0, 2.0])]
+    got = sorted((tuple(r) for r in itq.embedding_dedup(vectors_of(spark, rows)).collect()), key=str)
+    assert len(got) == len(rows) and got[-3:] == [(None, 0, None, True)] * 3
+    five, six, seven = ([r[1:] for r in got if r[0] == i] for i in (5, 6, 7))
+    # [1, 0], [1, 0.01] and [1, 0.02] are linked, and [0, 1] with [0, 2]; one vector of each component stays
+    assert sorted(r[:2] for r in five) == [(0, 5), (1, 5), (2, 5), (2, 5)] and seven == [(2, 5, False)]
+    assert six == [(1, 5, False)] * 2 and sorted(r[2] for r in five if r[0] == 2) == [False, True]
+    assert all(r[2] for r in five if r[0] < 2)
+
+
 # ---------------------------------------------------------------- op4
 
 def brute_licences(text):
