@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipshape.llm import (block_naming, byte_bpe, html_regions, itq, licenses, packing, quality_fm, simhash, tool_calls,
-                           toxicity_zstd)
+from shipshape.llm import (block_naming, byte_bpe, conversation_repair, html_regions, itq, licenses, packing, quality_fm,
+                           simhash, tool_calls, toxicity_zstd)
 from shipshape.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op10_toxicity_zstd(spark, sf_dir):
     return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, table(spark, sf_dir, "labels"))).drop("tag")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """The table's conversations, damaged by checksums, and repaired."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 LLM_ORACLE["op9_block_naming"] = """
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
