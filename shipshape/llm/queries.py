@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipshape.llm import (block_naming, byte_bpe, conversation_repair, html_regions, itq, licenses, packing, quality_fm,
-                           simhash, tool_calls, toxicity_zstd)
+                           rtree_negatives, simhash, tool_calls, toxicity_zstd)
 from shipshape.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,14 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+@query
+def op13_rtree_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+LLM_ORACLE["op13_rtree_negatives"] = rtree_negatives.ORACLE
 LLM_ORACLE["op9_block_naming"] = """
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
