@@ -1,12 +1,40 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipshape.session import ship, staged
+from shipshape.session import scratch_dir, ship, staged
 
-__all__ = ["connected_components", "held_out", "row_tag", "ship", "sign", "staged", "text_of"]
+__all__ = ["Scratch", "connected_components", "held_out", "row_tag", "ship", "sign", "staged", "text_of"]
+
+
+class Scratch:
+    """Tables of one operator under one new folder of the shared one, deleted when the operator ends;
+    ``result`` writes what outlives it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.root, self.tables = spark, name, scratch_dir(spark, name), []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return staged(df, f"{self.name}-{name}")
+
+    def __exit__(self, *failed) -> None:
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

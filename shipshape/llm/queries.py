@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipshape.llm import (block_naming, byte_bpe, conversation_repair, html_regions, itq, licenses, packing, quality_fm,
-                           rtree_negatives, simhash, tool_calls, toxicity_zstd)
+                           rtree_negatives, simhash, suffix_dedup, tool_calls, toxicity_zstd)
 from shipshape.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+@query
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_rtree_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
