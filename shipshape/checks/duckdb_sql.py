@@ -594,3 +594,75 @@ def _spark_rounding(sql: str) -> str:
 
 
 ORACLE = {k: _spark_rounding(v) for k, v in ORACLE.items()}
+
+# ---------------------------------------------------------------- ranks over the whole table
+
+# fixed values: coefficients of Acklam's rational approximation to the normal quantile function
+_A = ("-3.969683028665376e+01", "2.209460984245205e+02", "-2.759285104469687e+02", "1.383577518672690e+02",
+      "-3.066479806614716e+01", "2.506628277459239e+00")
+_B = ("-5.447609879822406e+01", "1.615858368580409e+02", "-1.556989798598866e+02", "6.680131188771972e+01",
+      "-1.328068155288572e+01", "1.0e0")
+_C = ("-7.784894002430293e-03", "-3.223964580411365e-01", "-2.400758277161838e+00", "-2.549732539343734e+00",
+      "4.374664141464968e+00", "2.938163982698783e+00")
+_D = ("7.784695709041462e-03", "3.224671290700398e-01", "2.445134137142996e+00", "3.754408661907416e+00", "1.0e0")
+
+
+def _poly(coefficients, z):
+    out = coefficients[0]
+    for c in coefficients[1:]:
+        out = f"({out}) * {z} + {c}"
+    return f"({out})"
+
+
+def _score(p: str) -> str:
+    low, high, q = f"sqrt(-2.0e0 * ln({p}))", f"sqrt(-2.0e0 * ln(1.0e0 - {p}))", f"({p} - 0.5e0)"
+    return (f"CASE WHEN {p} < 0.02425e0 THEN {_poly(_C, low)} / {_poly(_D, low)} "
+            f"WHEN {p} > 1 - 0.02425e0 THEN -{_poly(_C, high)} / {_poly(_D, high)} "
+            f"ELSE {_poly(_A, f'({q} * {q})')} * {q} / {_poly(_B, f'({q} * {q})')} END")
+
+
+ORACLE |= {
+    "row_number_by_distance": with_ctes(
+        f"SELECT {KEY}, distance_km, row_number() OVER (ORDER BY distance_km, {KEY}) AS row_number "
+        f"FROM (SELECT {KEY}, {r6('distance_km')} FROM s_valid)"),
+    "normality_shapiro_francia": with_ctes(f"""
+SELECT n, {rnd('w')} AS w, {rnd('z')} AS z
+FROM (SELECT n, w, (ln(1.0e0 - w) - (-1.2725e0 + 1.0521e0 * (ln(ln(n)) - ln(n)))) / (1.0308e0 - 0.26758e0 * (ln(ln(n)) + 2.0e0 / ln(n))) AS z
+      FROM (SELECT count(*) AS n, pow(sum(d * m), 2) / (sum(d * d) * sum(m * m)) AS w
+            FROM (SELECT x - avg(x) OVER () AS d, {_score('p')} AS m
+                  FROM (SELECT distance_km AS x, (row_number() OVER (ORDER BY distance_km) - 0.375e0)
+                                                 / (count(*) OVER () + 0.25e0) AS p
+                        FROM s_filled WHERE distance_km IS NOT NULL))))"""),
+    "box_distance_by_pack_type": with_ctes(
+        "SELECT pack_type, count(distance_km) AS n, " + ", ".join(
+            f"{rnd(f'quantile_cont(distance_km, {p})')} AS {n}" for p, n in
+            ((0.0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "max")))
+        + " FROM s_enriched GROUP BY pack_type HAVING count(distance_km) > 0"),
+}
+
+# ---------------------------------------------------------------- second-order boosting, first tree's root
+
+BOOST_CTES = MF_CTES + [
+    ("b_long", " UNION ALL ".join(f"SELECT '{f}' AS feature, x, label FROM (SELECT {_feature(f).rsplit(' AS ', 1)[0]} AS x, "
+                                  "label FROM s_mf)" for f in FIXTURE_FEATURES)),
+    ("b_ranked", "SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, "
+                 "count(*) OVER (PARTITION BY feature) AS n FROM b_long WHERE x IS NOT NULL"),
+    ("b_edges", "SELECT DISTINCT feature, x AS threshold FROM b_ranked b "
+                "WHERE EXISTS (SELECT 1 FROM range(1, 32) k WHERE (k.range * b.n + 31) // 32 = b.r) "
+                "AND x < (SELECT max(x) FROM b_ranked m WHERE m.feature = b.feature)"),
+    ("b_all", "SELECT feature, sum(0.5e0 - label) AS g, 0.25e0 * count(*) AS h, "
+              "coalesce(sum(0.5e0 - label) FILTER (WHERE x IS NULL), 0.0e0) AS gm, "
+              "0.25e0 * count(*) FILTER (WHERE x IS NULL) AS hm FROM b_long GROUP BY feature"),
+    ("b_left", "SELECT e.feature, e.threshold, sum(0.5e0 - l.label) AS gl, 0.25e0 * count(*) AS hl "
+               "FROM b_edges e JOIN b_long l ON l.feature = e.feature AND l.x <= e.threshold GROUP BY ALL"),
+    ("b_split", "SELECT feature, threshold, side AS missing_left, g, h, gl + CASE WHEN side THEN gm ELSE 0 END AS left_g, "
+                "hl + CASE WHEN side THEN hm ELSE 0 END AS left_h FROM b_left JOIN b_all USING (feature) "
+                "JOIN (VALUES (TRUE), (FALSE)) v(side) ON side OR hm > 0"),
+]
+
+ORACLE |= {
+    "boosting_split_gains": with_ctes(f"""
+SELECT feature, {rnd('threshold')} AS threshold, missing_left, {rnd('gain')} AS gain, left_g, left_h
+FROM (SELECT *, (left_g * left_g / (left_h + 1) + (g - left_g) * (g - left_g) / (h - left_h + 1) - g * g / (h + 1)) / 2 AS gain
+      FROM b_split WHERE least(left_h, h - left_h) >= 1)""", BOOST_CTES),
+}

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from shipshape.functions.columns import (double_to_yes_no, order_key, order_key3, to_date_fmt, to_double,
                                          yes_no_to_double)
-from shipshape.operators import cleaning, features, joins, kpi, metrics, nearest, ranks, stats
+from shipshape.operators import cleaning, features, joins, kpi, metrics, nearest, ranking, ranks, stats
 from shipshape.plans import labelling as L
 from shipshape.sources import fixtures, literals
 
@@ -324,6 +324,26 @@ def median_by_rank(spark, sf_dir):
     return r6(spark.createDataFrame([(n, median)], "n long, median_distance double"))
 
 
+@query
+def row_number_by_distance(spark, sf_dir):
+    """Every line of the median's population with its place in the order of the distance; ties by the line's key."""
+    pop = cleaning.valid_gps(L.with_distance(_inp(spark, sf_dir))).select(*KEY, F.round("distance_km", 6).alias("distance_km"))
+    return r6(ranking.global_row_number(pop, ["distance_km", *KEY]))
+
+
+@query
+def normality_shapiro_francia(spark, sf_dir):
+    """Of the filled distances of all lines, by normal scores of their ranks."""
+    return r6(ranking.shapiro_francia(L.filled_lines(_inp(spark, sf_dir)), "distance_km"))
+
+
+@query
+def box_distance_by_pack_type(spark, sf_dir):
+    """The box-plot numbers of the delivery distance for every pack type, exact, all groups at once."""
+    return r6(ranking.grouped_quantiles(_enriched(spark, sf_dir), ["pack_type"], "distance_km", [0.0, 0.25, 0.5, 0.75, 1.0],
+                                        ["min", "q1", "median", "q3", "max"]))
+
+
 # ---------------------------------------------------------------- feature preparation
 
 def _sample(spark, sf_dir):
@@ -556,7 +576,7 @@ def src_multi_gzip(spark, sf_dir):
 # ---------------------------------------------------------------- NearMiss and k-NN
 
 from shipshape.operators import nearmiss as nm  # noqa: E402
-from shipshape.plans.stages import materialized  # noqa: E402
+from shipshape.plans.stages import materialized, remembered  # noqa: E402
 
 
 def _nearmiss(spark, sf_dir):
@@ -593,7 +613,7 @@ def knn_vote(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-from shipshape.operators import models  # noqa: E402
+from shipshape.operators import boosting, extra_trees, models  # noqa: E402
 
 #: Share of the training orders that models are fitted on, in percent (the reference fits on a tenth
 #: of its rows, too); every held-out row is scored.
@@ -665,6 +685,56 @@ def feature_importance_top15(spark, sf_dir):
     return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(15))
 
 
+def _all_columns(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """The training lines with every numeric and one-hot column, before selection and balancing (a stage)."""
+    names = remembered(spark, sf_dir, "all-features", lambda: features.all_features(_model_frame(spark, sf_dir)))
+
+    def build():
+        frame = features.split_by_key(_model_frame(spark, sf_dir), "k_order_no", 20, 1505).filter("is_test = 0")
+        return features.encoded_features(frame, [], names)
+    return materialized(spark, sf_dir, "all-columns", build), names
+
+
+@query
+def importance_extra_trees(spark, sf_dir):
+    """The 15 greatest importances of 50 extremely randomised trees over all training lines and all columns."""
+    def build():
+        rows, names = _all_columns(spark, sf_dir)
+        forest = extra_trees.grow(rows, names, "label", trees=50, depth=8)
+        return spark.createDataFrame(list(zip(names, forest.importances())), "feature string, importance double")
+    imp = materialized(spark, sf_dir, "importances-extra", build)
+    return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(15))
+
+
+@query
+def boosting_split_gains(spark, sf_dir):
+    """Every split of the first tree's root that second-order boosting weighs, with its gain, over all lines."""
+    s = boosting.Settings()
+    frame = materialized(spark, sf_dir, "selected-columns", lambda: features.encoded_features(
+        _model_frame(spark, sf_dir), [], features.FIXTURE_FEATURES))
+    edges = boosting.quantile_edges(frame, features.FIXTURE_FEATURES, s.bins)
+    rows = boosting.binned(frame, features.FIXTURE_FEATURES, edges, ["label"]).withColumn("margin", F.lit(0.0))
+    gains = boosting.split_gains(boosting.level_sums(rows, [], {}, [1]), edges, s)
+    return r6(spark.createDataFrame(
+        [(features.FIXTURE_FEATURES[f], edges[f][b], left, gain, gl, hl) for _, f, b, left, gain, _, _, gl, hl in gains],
+        "feature string, threshold double, missing_left boolean, gain double, left_g double, left_h double"))
+
+
+def _boosted(spark, sf_dir, rounds: int = 30) -> DataFrame:
+    """(label, prediction, is_test) of all balanced lines by trees fitted on all training lines (a stage)."""
+    def build():
+        t = _training(spark, sf_dir)
+        model = boosting.fit(t.filter("is_test = 0"), features.FIXTURE_FEATURES, "label", boosting.Settings(rounds=rounds))
+        return boosting.predict(model, t, ["label", "is_test"])
+    return materialized(spark, sf_dir, f"boosted-{rounds}", build)
+
+
+@query
+def model_boosted_trees(spark, sf_dir):
+    """30 second-order boosted trees of depth 6, fitted on all training lines, on the held-out ones."""
+    return r6(metrics.weighted(_boosted(spark, sf_dir).filter("is_test = 1")).withColumn("model", F.lit("boosted")))
+
+
 def _gbt_nodes(spark, sf_dir):
     def build():
         m = models.estimator("gbt", max_iter=100).fit(_training(spark, sf_dir).filter("fit = 1"))
