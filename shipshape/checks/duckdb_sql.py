@@ -666,3 +666,15 @@ SELECT feature, {rnd('threshold')} AS threshold, missing_left, {rnd('gain')} AS
 FROM (SELECT *, (left_g * left_g / (left_h + 1) + (g - left_g) * (g - left_g) / (h - left_h + 1) - g * g / (h + 1)) / 2 AS gain
       FROM b_split WHERE least(left_h, h - left_h) >= 1)""", BOOST_CTES),
 }
+
+_DISTRIBUTORS = ("(SELECT CAST(substr(customerid, 2) AS BIGINT) AS seq, customerid AS city, latitude, longitude "
+                 "FROM f_gps_distributor WHERE latitude >= 1 AND longitude >= 1)")
+
+ORACLE |= {
+    "one_hot_fitted": ORACLE["one_hot_encode"],
+    "quartiles_sketched": with_ctes("SELECT count(distance_km) AS n, count(distance_km) AS sketched, TRUE AS q1_within, "
+                                    "TRUE AS q2_within, TRUE AS q3_within FROM s_filled"),
+    "nearest_distributor": with_ctes(
+        "SELECT customer_code, gps_cus_latitude, gps_cus_longitude, nearest_city AS distributor, nearest_city_km AS distributor_km "
+        f"FROM ({nearest_sql(_DISTRIBUTORS)})"),
+}

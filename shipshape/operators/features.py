@@ -136,3 +136,43 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", order: lis
     out = ranked.join(offs, ranked[label].eqNullSafe(offs["_label"]) & (ranked["_b"] == offs["_ob"]))
     return (out.withColumn("fold", ((F.col("_off") + F.col("_r")) % k).cast("int"))
                .drop("_h", "_b", "_r", "_off", "_label", "_ob"))
+
+
+def fit_encoder(frame: DataFrame, path: str, cats: list[str] = CATEGORICAL_FEATURES) -> None:
+    """Learns the categories' values from ``frame`` and saves the encoder, a pipeline of an indexer and a
+    one-hot encoder with sparse vectors, at ``path``.
+
+    Values are ordered as text, whole numbers by size; the first one has no feature of its own. Null and,
+    later, unseen values are kept apart, as a place that no feature stands for."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    spots = [f"__{c}" for c in cats]
+    index = StringIndexer(inputCols=spots, outputCols=[f"{s}_i" for s in spots], stringOrderType="alphabetAsc",
+                          handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"{s}_i" for s in spots], outputCols=[f"{s}_v" for s in spots], dropLast=False)
+    Pipeline(stages=[index, hot]).fit(_spelled(frame, cats)).write().overwrite().save(path)
+
+
+def _spelled(frame: DataFrame, cats: list[str]) -> DataFrame:
+    """The categories as text that sorts as they do: whole numbers are filled up with zeros."""
+    kinds = dict(frame.dtypes)
+    return frame.withColumns({f"__{c}": F.lpad(F.col(c).cast("string"), 19, "0") if kinds[c] in ("int", "bigint", "smallint",
+                             "tinyint") else F.col(c).cast("string") for c in cats})
+
+
+def encode_long(frame: DataFrame, path: str, keys: list[str], cats: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """(keys..., feature, value) by the saved encoder: a row for each category whose value it knows and that is
+    not the column's first. Null and unseen values have no row."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    model = PipelineModel.load(path)
+    kinds, labels = dict(frame.dtypes), model.stages[0].labelsArray
+    plain = lambda c, v: str(int(v)) if kinds[c] in ("int", "bigint", "smallint", "tinyint") else v
+    coded = model.transform(_spelled(frame, cats))
+    entries = []
+    for c, values in zip(cats, labels):
+        names = F.array(*[F.lit(f"{c}_{plain(c, v)}") for v in values]) if values else F.array().cast("array<string>")
+        place = F.array_position(vector_to_array(f"__{c}_v"), 1.0)  # from 1; the last one stands for unseen values
+        entries.append(F.when((place > 1) & (place <= len(values)), F.try_element_at(names, place.cast("int"))))
+    out = coded.select(*keys, F.explode(F.array(*entries)).alias("feature"))
+    return out.where("feature IS NOT NULL").select(*keys, "feature", F.lit(1.0).alias("value"))

@@ -6,6 +6,9 @@ a saved model -- is turned back into small DataFrames.
 """
 from __future__ import annotations
 
+import math
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -13,10 +16,11 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from shipshape.operators import metrics
 from shipshape.operators.nearmiss import knn_vote
-from shipshape.session import scratch_dir
+from shipshape.session import scratch_dir, staged
 
 SEED = 1505
 
@@ -79,6 +83,29 @@ def node_table(model) -> DataFrame:
                        n["rightChild"].alias("right_child"))
 
 
+def tree_paths(nodes: DataFrame, names: list[str], tree: int) -> DataFrame:
+    """One row per leaf of a tree: tree_id, node_id, depth, prediction, and ``conditions``, what a row has to
+    meet on the way from the root, as text (empty for a tree that is a leaf).
+
+    A recursive query walks the node table down from the root, a level at a time, by joins of parents with children."""
+    spark = nodes.sparkSession
+    view, named = f"nodes_{uuid.uuid4().hex}", f"names_{uuid.uuid4().hex}"
+    staged(nodes.where(F.col("tree_id") == tree), "tree").createOrReplaceTempView(view)
+    spark.createDataFrame(list(enumerate(names)), "feature_index int, feature string").createOrReplaceTempView(named)
+    out = spark.sql(f"""
+WITH RECURSIVE walk(tree_id, node_id, feature_index, threshold, left_child, right_child, prediction, depth, conditions) MAX RECURSION LEVEL 100 AS (
+  SELECT tree_id, node_id, feature_index, threshold, left_child, right_child, prediction, 0, '' FROM {view} WHERE node_id = 0
+  UNION ALL
+  SELECT n.tree_id, n.node_id, n.feature_index, n.threshold, n.left_child, n.right_child, n.prediction, w.depth + 1,
+         concat(w.conditions, CASE WHEN w.depth = 0 THEN '' ELSE ' AND ' END, f.feature,
+                CASE WHEN n.node_id = w.left_child THEN ' <= ' ELSE ' > ' END, CAST(w.threshold AS STRING))
+  FROM walk w JOIN {view} n ON n.node_id = w.left_child OR n.node_id = w.right_child
+  JOIN {named} f ON f.feature_index = w.feature_index
+  WHERE w.left_child >= 0)
+SELECT tree_id, node_id, depth, prediction, conditions FROM walk WHERE left_child < 0""")
+    return staged(out, "paths")
+
+
 def split_counts(nodes: DataFrame, names: list[str]) -> DataFrame:
     """Number of splits per feature over all trees (xgboost's 'weight' importance)."""
     spark = nodes.sparkSession
@@ -87,22 +114,40 @@ def split_counts(nodes: DataFrame, names: list[str]) -> DataFrame:
                  .join(F.broadcast(idx), "feature_index"))
 
 
+#: Rows that a task of a fit should have at least.
+FIT_ROWS = 16_384
+
+
+def compact(frame: DataFrame) -> DataFrame:
+    """The rows in no more partitions than their number asks for: an iterative fit runs hundreds of jobs, whose
+    tasks cost more than their rows where a small frame has many partitions."""
+    return frame.coalesce(max(1, math.ceil(frame.count() / FIT_ROWS)))
+
+
 def cross_validate(frame: DataFrame, kind: str, k: int = 5, fold_col: str = "fold", fit: str | None = None,
-                   **kw) -> DataFrame:
+                   parallel: int = 1, **kw) -> DataFrame:
     """fold, accuracy, precision, recall, f1 (binary, positive class 1) for each held-out fold.
 
     Every row of a fold is scored. ``fit``, a condition, bounds the rows of the other folds that a
-    model is fitted on; k-NN fits nothing and looks its neighbours up in all of them."""
-    rows = []
-    for f in range(k):
+    model is fitted on; k-NN fits nothing and looks its neighbours up in all of them. ``parallel`` folds
+    are fitted at once, as jobs of the one session."""
+    def one(f: int) -> DataFrame:
         train = frame.filter(F.col(fold_col) != f)
         if fit is not None and kind != "knn":
             train = train.filter(fit)
+        if parallel > 1 and kind != "knn":
+            train = compact(train)
         test = frame.filter(F.col(fold_col) == f)
         if kind == "knn":
             s = metrics.weighted(_knn(train, test))
         else:
             s = train_and_score(train, test, kind, **kw)
-        rows.append(s.select(F.lit(f).alias("fold"), "accuracy", F.col("precision_pos").alias("precision"),
-                             F.col("recall_pos").alias("recall"), F.col("f1_pos").alias("f1")))
+        return s.select(F.lit(f).alias("fold"), "accuracy", F.col("precision_pos").alias("precision"),
+                        F.col("recall_pos").alias("recall"), F.col("f1_pos").alias("f1"))
+
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(inheritable_thread_target(one), range(k)))
+    else:
+        rows = [one(f) for f in range(k)]
     return reduce(DataFrame.unionByName, rows)

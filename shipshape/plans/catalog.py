@@ -96,6 +96,20 @@ def quartiles_approx(spark, sf_dir):
         n.alias("n"), within(q1, 0.25).alias("q1_within"), within(q3, 0.75).alias("q3_within"))
 
 
+@query
+def quartiles_sketched(spark, sf_dir):
+    """Whether quartiles from merged sketches, one stored for each order date, keep a rank error of 0.01."""
+    from shipshape.plans.stages import materialized
+    lines = L.filled_lines(_inp(spark, sf_dir)).where("distance_km IS NOT NULL")
+    stored = materialized(spark, sf_dir, "sketches", lambda: ranks.sketch_by(lines, ["order_date"], "distance_km"))
+    q = ranks.sketch_quantiles(stored, [0.25, 0.5, 0.75]).first()
+    n, x = F.count(F.lit(1)), F.col("distance_km")
+    share = lambda c: F.count(F.when(c, 1)) / n
+    return lines.agg(n.alias("n"), F.lit(q.n).cast("long").alias("sketched"), *[
+        ((share(x < q[f"q{i}"]) <= p + 0.01) & (share(x <= q[f"q{i}"]) >= p - 0.01)).alias(f"q{i + 1}_within")
+        for i, p in enumerate((0.25, 0.5, 0.75))])
+
+
 @query
 def iqr_filter(spark, sf_dir):
     return r6(L.cleaned(_inp(spark, sf_dir)).select(*KEY, "distance_km"))
@@ -276,6 +290,16 @@ def _by_centre(points: DataFrame) -> DataFrame:
         F.min_by("gps_cus_longitude", "customer_code").alias("gps_cus_longitude"))
 
 
+@query
+def nearest_distributor(spark, sf_dir):
+    """Each customer's nearest distributor by great circle: a list that grows with the data, joined."""
+    gps = _inp(spark, sf_dir).gps_distributor.where("latitude >= 1 AND longitude >= 1")
+    listed = gps.select(F.expr("CAST(substring(customerid, 2) AS BIGINT)").alias("seq"), F.col("customerid").alias("city"),
+                        "latitude", "longitude")
+    pts = _customer_points(spark, sf_dir).select("customer_code", "gps_cus_latitude", "gps_cus_longitude")
+    return r6(nearest.nearest_centre_join(pts, listed, "gps_cus_latitude", "gps_cus_longitude", "distributor"))
+
+
 @query
 def kpi_by_centre(spark, sf_dir):
     pts = _customer_points(spark, sf_dir)
@@ -403,6 +427,19 @@ def one_hot_encode(spark, sf_dir):
     return r6(features.one_hot_long(_model_frame(spark, sf_dir), MF_KEYS))
 
 
+@query
+def one_hot_fitted(spark, sf_dir):
+    """The same columns by a fitted encoder that was saved and loaded again."""
+    path = remembered(spark, sf_dir, "encoder", lambda: _saved_encoder(spark, sf_dir))
+    return r6(features.encode_long(_model_frame(spark, sf_dir), path, MF_KEYS))
+
+
+def _saved_encoder(spark, sf_dir) -> str:
+    path = scratch_dir(spark, "encoder")
+    features.fit_encoder(_model_frame(spark, sf_dir), path)
+    return path
+
+
 @query
 def feature_matrix(spark, sf_dir):
     return r6(features.encoded_features(_model_frame(spark, sf_dir), MF_KEYS, features.FIXTURE_FEATURES))
@@ -613,7 +650,7 @@ def knn_vote(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-from shipshape.operators import boosting, extra_trees, models  # noqa: E402
+from shipshape.operators import boosting, extra_trees, kernel, models  # noqa: E402
 
 #: Share of the training orders that models are fitted on, in percent (the reference fits on a tenth
 #: of its rows, too); every held-out row is scored.
@@ -656,6 +693,33 @@ QUERIES["model_logistic"] = _fit_query("lr")
 QUERIES["model_linear_svc"] = _fit_query("svc")
 
 
+def _kernel_frame(spark, sf_dir) -> DataFrame:
+    """The balanced rows with Fourier features in place of the selected columns, scaled by the training rows (a stage)."""
+    def build():
+        t = _training(spark, sf_dir).drop("features")
+        scale = kernel.scaling(t.filter("is_test = 0"), features.FIXTURE_FEATURES)
+        return kernel.with_fourier(t, features.FIXTURE_FEATURES, scale).select("label", "is_test", "fold", "features")
+    return materialized(spark, sf_dir, "fourier", build)
+
+
+@query
+def model_kernel_svm(spark, sf_dir):
+    """A support vector machine with a Gaussian kernel, approximated, fitted on all training rows."""
+    t = _kernel_frame(spark, sf_dir)
+    s = models.train_and_score(models.compact(t.filter("is_test = 0")), t.filter("is_test = 1"), "svc")
+    return r6(s.withColumn("model", F.lit("kernel_svm")))
+
+
+@query
+def kernel_svm_folds(spark, sf_dir):
+    """Accuracy by fold on the training part, with the kernel and without."""
+    def folds(name, frame):
+        return materialized(spark, sf_dir, f"folds-{name}", lambda: models.cross_validate(
+            frame.filter("is_test = 0"), "svc", 5, parallel=5)).withColumn("model", F.lit(name))
+    both = folds("kernel_svm", _kernel_frame(spark, sf_dir)).unionByName(folds("linear_svm", _training(spark, sf_dir)))
+    return r6(both.select("model", "fold", "accuracy"))
+
+
 @query
 def model_fit_verdict(spark, sf_dir):
     """Over- or underfitting of the trained models: all four metrics on the fitted and the held-out rows."""
@@ -748,6 +812,12 @@ def feature_split_count_top5(spark, sf_dir):
     return sc.orderBy(F.col("splits").desc(), "feature").limit(5)
 
 
+@query
+def tree_paths(spark, sf_dir):
+    """Every leaf of tree 9 with the conditions that lead to it."""
+    return r6(models.tree_paths(_gbt_nodes(spark, sf_dir), features.FIXTURE_FEATURES, 9))
+
+
 @query
 def tree_nodes(spark, sf_dir):
     nodes = _gbt_nodes(spark, sf_dir).filter(F.col("tree_id") == 9)
@@ -760,7 +830,7 @@ def _fold_table(spark, sf_dir, kind, part, **kw):
     folds, or over all test rows, fitted on all of the other folds (a stage)."""
     def build():
         t = _training(spark, sf_dir).filter("is_test = 0" if part == "train" else "is_test = 1")
-        return models.cross_validate(t, kind, 5, fit="fit = 1" if part == "train" else None, **kw)
+        return models.cross_validate(t, kind, 5, fit="fit = 1" if part == "train" else None, parallel=5, **kw)
     return materialized(spark, sf_dir, f"folds-{kind}-{part}", build)
 
 
