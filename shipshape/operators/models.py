@@ -147,7 +147,7 @@ def cross_validate(frame: DataFrame, kind: str, k: int = 5, fold_col: str = "fol
 
     if parallel > 1:
         with ThreadPoolExecutor(parallel) as pool:
-            rows = list(pool.map(inheritable_thread_target(one), range(k)))
+            rows = list(pool.map(inheritable_thread_target(frame.sparkSession)(one), range(k)))
     else:
         rows = [one(f) for f in range(k)]
     return reduce(DataFrame.unionByName, rows)
