@@ -80,6 +80,6 @@ def sketch_by(df: DataFrame, keys: list[str], x: str, size: int = 400) -> DataFr
 def sketch_quantiles(sketches: DataFrame, probs: list[float], keys: list[str] | None = None) -> DataFrame:
     """keys, n, q0, q1, ...: approximate quantiles of all values behind the sketches of a group (of
     all, without keys), merged map-side; the values are not read again."""
-    merged = sketches.groupBy(*(keys or [])).agg(F.kll_merge_agg_double("sketch").alias("m"))
-    return merged.select(*(keys or []), F.kll_sketch_get_n_double("m").alias("n"), *[
-        F.kll_sketch_get_quantile_double("m", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
+    merged = sketches.groupBy(*(keys or [])).agg(F.kll_merge_agg_double("sketch").alias("__merged"))
+    return merged.select(*(keys or []), F.kll_sketch_get_n_double("__merged").alias("n"), *[
+        F.kll_sketch_get_quantile_double("__merged", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
