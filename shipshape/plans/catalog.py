@@ -537,7 +537,7 @@ def box_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- CSV sources and sinks
 
-from shipshape.session import ensure_checkpoint_dir, scratch_dir  # noqa: E402
+from shipshape.session import scratch_dir, staged  # noqa: E402
 from shipshape.sources import files  # noqa: E402
 
 FACT_TYPES = {**{c: "double" for c in ("totalec_sr", "totalnsr_sr", "totalnsr_so", "totalec_so", "diff_ec",
@@ -612,7 +612,8 @@ def src_multi_gzip(spark, sf_dir):
 
 # ---------------------------------------------------------------- NearMiss and k-NN
 
-from shipshape.operators import nearmiss as nm  # noqa: E402
+from shipshape.operators import knn_lsh, nearmiss as nm  # noqa: E402
+from shipshape.operators.knn import knn_mean  # noqa: E402
 from shipshape.plans.stages import materialized, remembered  # noqa: E402
 
 
@@ -629,6 +630,27 @@ def nearmiss_undersample(spark, sf_dir):
     return r6(_nearmiss(spark, sf_dir).select(*MF_KEYS, "label"))
 
 
+@query
+def knn_hashed_recall(spark, sf_dir):
+    """Neighbours of the larger class in the smaller one by hashing, against the exact join: whether at least nine tenths of the
+    lines keep their mean distance."""
+    def build():
+        frame = features.encoded_features(_model_frame(spark, sf_dir), [], features.FIXTURE_FEATURES)
+        small, large = (r.label for r in frame.groupBy("label").count().orderBy("count", "label").collect())
+        names = features.FIXTURE_FEATURES
+        lines = frame.fillna(0.0, names)
+        asked, held = lines.where(F.col("label") == large).select(*names), lines.where(F.col("label") == small).select(*names)
+        hashed = staged(knn_lsh.approx_knn_mean(asked, held, names, 3), "hashed")
+        vs = [F.col(c).alias(f"_v{i}") for i, c in enumerate(names)]
+        exact = knn_mean(asked.distinct().select(*vs), held.select(*vs).groupBy(*[f"_v{i}" for i in range(len(names))]).agg(
+            F.count(F.lit(1)).alias("_m")), len(names), 3)
+        exact = exact.select(*[F.col(f"_v{i}").alias(c) for i, c in enumerate(names)], F.col("knn_mean").alias("true_mean"))
+        right = F.abs(F.col("knn_mean") - F.col("true_mean")) <= 1e-6
+        return hashed.join(exact, names).agg(F.count(F.lit(1)).alias("points"), (F.avg(right.cast("int")) >= 0.9).alias("recalled"),
+                                             (F.min(F.col("knn_mean") - F.col("true_mean")) > -1e-6).alias("none_below"))
+    return materialized(spark, sf_dir, "knn-hashed", build)
+
+
 @query
 def class_distribution_after(spark, sf_dir):
     return r6(stats.class_distribution(_nearmiss(spark, sf_dir), "label"))
@@ -848,6 +870,19 @@ def cross_validate_gbt(spark, sf_dir):
     return r6(_fold_table(spark, sf_dir, "gbt", "test", max_iter=100))
 
 
+@query
+def model_comparison_recorded(spark, sf_dir):
+    """Each model's mean fold accuracy here beside the recorded one, with both ranks."""
+    names = {"DT": "dt", "RF": "rf", "XGB": "gbt", "SVM": "svc", "LR": "lr", "KNN": "knn"}
+    recorded = literals.recorded_folds(spark).where("metric = 'Accuracy' AND model <> 'XGB-final'").replace(names, subset="model")
+    mean = stats.fold_summary(recorded, ["model"]).select("model", F.col("mean").alias("recorded"))
+    here = model_comparison(spark, sf_dir).select("model", "folds", "mean")
+    both = here.join(F.broadcast(mean), "model")
+    rank = lambda c: (F.lit(1) + F.size(F.filter(F.col("all"), lambda o: o[c] > F.col(c)))).alias(f"{c}_rank")
+    every = both.agg(F.collect_list(F.struct("mean", "recorded"))).scalar()  # one entry per model
+    return r6(both.withColumn("all", every).select("model", "folds", "mean", "recorded", rank("mean"), rank("recorded")))
+
+
 @query
 def model_comparison(spark, sf_dir):
     parts = [_fold_table(spark, sf_dir, kind, "train", **kw).withColumn("model", F.lit(kind))

@@ -100,23 +100,64 @@ def pair_distances(inp: Inputs) -> DataFrame:
     return inp.stage("pairs", build)
 
 
+def distance_rows(inp: Inputs) -> DataFrame:
+    """What the statistics of the distance are counted over: the pairs, weighted by their lines, where they are
+    less than half as many; else the lines themselves, without the shuffle that would pair them (a stage)."""
+    def fewer() -> bool:
+        r = inp.fact.agg(F.count(F.lit(1)).alias("n"),
+                         F.approx_count_distinct(F.struct("customer_code", "distributor_code")).alias("pairs")).first()
+        return 2 * r.pairs < r.n
+    if inp.value("fewer-pairs", fewer):
+        return pair_distances(inp)
+    return inp.stage("line-distances", lambda: with_distance(inp).select(
+        *GPS_COLUMNS, "distance_km", F.lit(1).cast("long").alias("n_lines")))
+
+
+def _statistics(inp: Inputs, strict: bool = False) -> tuple[int, float | None, float | None, float | None]:
+    """Lines in the median's population, their median, and the quartiles of the distances after its fill, exact.
+
+    Both populations are selected in one set of rounds. The fill puts w lines at the median m, so the k-th filled
+    distance is m or one of the good distances of ranks k and k - w."""
+    def compute():
+        bad, w = cleaning.needs_fill(), F.col("n_lines")
+        valid = F.when(cleaning.valid_gps_condition(strict), w).otherwise(0)
+        probs = [0.25, 0.75]
+
+        def ranks_of(totals):
+            n, good, filled = totals
+            needed = ranks.places(good + filled, probs)
+            return [ranks.places(n, [0.5]), needed + [k - filled for k in needed] + ranks.places(good, probs)]
+        (n, good, filled), (mid, at) = ranks.ranked_values(
+            distance_rows(inp), "distance_km", [valid, F.when(~bad, w).otherwise(0)], ranks_of, [F.when(bad, w).otherwise(0)])
+        (median,) = ranks.interpolated(n, [0.5], mid)
+        if median is None:  # nothing to fill with: the good distances alone
+            return n, None, *ranks.interpolated(good, probs, at)
+
+        def filled_at(k: int) -> float:
+            if k in at and at[k] < median:
+                return at[k]
+            return at[k - filled] if k - filled in at and at[k - filled] > median else median
+        total = good + filled
+        return n, median, *ranks.interpolated(total, probs, {k: filled_at(k) for k in ranks.places(total, probs)})
+    return inp.value(f"distance-statistics-{strict}", compute)
+
+
 def median_distance(inp: Inputs, strict: bool = False) -> tuple[int, float | None]:
     """Lines in the median's population and their exact median distance."""
-    def compute():
-        n, (median,) = ranks.quantiles(cleaning.valid_gps(pair_distances(inp), strict), "distance_km", [0.5], "n_lines")
-        return n, median
-    return inp.value(f"median-{strict}", compute)
+    return _statistics(inp, strict)[:2]
 
 
 def quartiles(inp: Inputs, median: float | None = None, rel_error: float | None = None) -> tuple[float, float]:
-    """Q1 and Q3 of the filled distances: exact over the weighted pairs, or within ``rel_error``
-    over the lines (``percentile_approx`` takes no weights). A run on given inputs keeps them."""
+    """Q1 and Q3 of the filled distances: exact, or within ``rel_error`` over the lines
+    (``percentile_approx`` takes no weights). A run on given inputs keeps them."""
+    if median is None and rel_error is None:
+        return _statistics(inp)[2:]
     median = median_distance(inp)[1] if median is None else median
 
     def compute():
         if rel_error is not None:
             return cleaning.approx_quartiles(filled_lines(inp, median), "distance_km", rel_error)
-        return tuple(ranks.quantiles(cleaning.fill_distance(pair_distances(inp), median), "distance_km",
+        return tuple(ranks.quantiles(cleaning.fill_distance(distance_rows(inp), median), "distance_km",
                                      [0.25, 0.75], "n_lines")[1])
     return inp.value(f"quartiles-{median}-{rel_error}", compute)
 

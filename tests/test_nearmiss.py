@@ -98,3 +98,28 @@ def test_nearmiss_selection_exact(spark):
     assert {k for s, k in ranked if s < cutoff} <= set(chosen)
     assert all(round(means[r[1:4]], 6) <= cutoff for r in rows if r[0] in set(chosen))
     assert out.filter("label = 0").count() == n_min
+
+
+def test_hashed_neighbours(spark):
+    """Recall against all pairs, exact answers for the far ones, and never a distance below the true one."""
+    import numpy as np
+
+    from shipshape.operators.knn_lsh import approx_knn_mean
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.3, (150, 3)) for c in rng.uniform(-5, 5, (8, 3))])
+    q = np.vstack([x[::9] + rng.normal(0, 0.05, (len(x[::9]), 3)), [[60.0, 60, 60]], x[:1]])
+    b = spark.createDataFrame([tuple(map(float, r)) for r in x] + [tuple(map(float, x[5]))] * 3, "a double, b double, c double")
+    a = spark.createDataFrame([tuple(map(float, r)) for r in q], "a double, b double, c double")
+    everything = np.vstack([x, x[5:6], x[5:6], x[5:6]])
+    want = {tuple(r): np.sort(np.sqrt(((everything - r) ** 2).sum(1)))[:3].mean() for r in q}
+    got = approx_knn_mean(a, b, ["a", "b", "c"], 3).collect()
+    assert len(got) == len(want)
+    right = 0
+    for r in got:
+        true = want[tuple(r)[:3]]
+        assert r.knn_mean > true - 1e-9 and (not r.exact or abs(r.knn_mean - true) < 1e-6)
+        right += abs(r.knn_mean - true) < 1e-6
+    assert right / len(got) >= 0.9 and 0 < sum(r.exact for r in got) < len(got)
+    assert approx_knn_mean(a, b.limit(0), ["a", "b", "c"]).count() == 0
+    one = approx_knn_mean(a.limit(2), b.limit(1), ["a", "b", "c"]).collect()
+    assert len(one) == 2 and all(r.exact for r in one)
