@@ -131,3 +131,20 @@ def test_folds_in_parallel_are_the_same(spark):
                                                  "a double, b double, label double, fold int"), ["a", "b"]).cache()
     one, five = (sorted(map(tuple, models.cross_validate(df, "dt", 5, parallel=n).collect())) for n in (1, 5))
     assert [r[0] for r in five] == list(range(5)) and one == five
+
+
+def test_correlation_is_pairwise_complete(spark):
+    from shipshape.operators import stats
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 3, (500, 4))
+    x[:, 1] += 2 * (x[:, 0] - 1e6)
+    gone = rng.random((500, 4)) < [0, 0.2, 0.1, 0]
+    rows = [tuple(None if g else float(v) for v, g in zip(r, m)) + (5.0, None) for r, m in zip(x, gone)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(7)
+    got = {(r.i, r.j): r["corr"] for r in stats.correlation(df, list("abcdef")).collect()}
+    for i in range(4):
+        for j in range(4):
+            both = ~gone[:, i] & ~gone[:, j]
+            assert got[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert len(got) == 36 and all(got[i, j] is None for i in range(6) for j in (4, 5))
+    assert all(r["corr"] is None for r in stats.correlation(df.limit(0), ["a", "b"]).collect())
