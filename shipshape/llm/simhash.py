@@ -9,6 +9,7 @@ other components. Pairs inside one component are never formed, yet no connection
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -16,12 +17,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shipshape.llm import caches
 from shipshape.llm.common import connected_components, row_tag, ship, staged, text_of
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Blocks that a key joins; more make rarer keys and more of them.
 AGREE = 3
+#: Keys that a task makes at most: few fingerprints in few bytes make many keys.
+TASK_KEYS = 1_000_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -54,6 +58,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        caches.only("simhash")
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64), pa.int64())],
@@ -78,13 +83,18 @@ def _far(a: str, b: str) -> Column:
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, component) for each fingerprint that another one links with; ``fps`` holds distinct ones."""
-    rows = fps.select("fp", F.posexplode(_keys(F.col("fp"), max_bits)).alias("c", "m"))
-    hubs = rows.groupBy("c", "m").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub != top")
-    hubs = staged(hubs.select("c", "m", "hub"), "hubs")  # aggregates are staged so that AQE can split their joins
-    rows = staged(rows.join(hubs, ["c", "m"]), "blocks")  # rows that share a key
-    stars = rows.where((F.col("fp") != F.col("hub")) & (_far("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
-    stars = staged(stars, "stars")
-    comps = connected_components(stars, "fp", "hub")
+    fps = staged(fps, "distinct")
+    tasks = max(1, math.ceil(fps.count() * math.comb(max_bits + AGREE, AGREE) / TASK_KEYS))
+    rows = fps.repartition(tasks).select("fp", F.posexplode(_keys(F.col("fp"), max_bits)).alias("c", "m"))
+    hubs = rows.groupBy("c", "m").agg(F.min("fp").alias("hub"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n"))
+    hubs = staged(hubs.where("hub != top"), "hubs")  # aggregates are staged so that AQE can split their joins
+    # two members are the pair itself, as most keys that are shared by chance; rows are joined back for larger ones
+    pairs = hubs.where((F.col("n") == 2) & (_far("hub", "top") <= max_bits)).select(F.col("top").alias("fp"), "hub")
+    large = hubs.where("n > 2").select("c", "m", "hub").hint("merge")  # grows with the data, so never broadcast
+    rows = staged(rows.join(large, ["c", "m"]), "blocks")  # rows that share a key with two others or more
+    stars = rows.where((F.col("fp") != F.col("hub")) & (_far("fp", "hub") <= max_bits)).select("fp", "hub")
+    stars = staged(stars.unionByName(pairs).distinct(), "stars")
+    comps = staged(connected_components(stars, "fp", "hub"), "components")
 
     known = rows.select("c", "m", "fp").join(comps, rows["fp"] == comps["node"], "left").select(
         "c", "m", "fp", F.coalesce("component", "fp").alias("comp"))
@@ -95,9 +105,13 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     known = staged(known.join(split, ["c", "m"]), "parts")
     few = known.where("comp != main").select("c", "m", F.col("fp").alias("x"), F.col("comp").alias("xc"))
     across = few.join(known.select("c", "m", F.col("fp").alias("y"), F.col("comp").alias("yc")), ["c", "m"]).where(
-        (F.col("xc") != F.col("yc")) & (_far("x", "y") <= max_bits)).select("x", "y").distinct()
-    edges = stars.toDF("x", "y").unionByName(across)
-    return connected_components(edges, "x", "y").withColumnRenamed("node", "fp")
+        (F.col("xc") != F.col("yc")) & (_far("x", "y") <= max_bits)).select("xc", "yc").distinct()
+    over = staged(connected_components(across, "xc", "yc").select(F.col("node").alias("part"), F.col("component").alias("whole")),
+                  "joined")  # components of the first ones, which are few
+    named = comps.join(over, comps["component"] == over["part"], "left").select(
+        F.col("node").alias("fp"), F.coalesce("whole", "component").alias("component"))
+    alone = over.join(comps, over["part"] == comps["node"], "left_anti")  # fingerprints that only such a link joins
+    return named.unionByName(alone.select(F.col("part").alias("fp"), F.col("whole").alias("component")))
 
 
 def simhash_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
