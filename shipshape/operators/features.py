@@ -101,9 +101,16 @@ def exclude_label_inputs(features: list[str]) -> list[str]:
     return [f for f in features if f not in LABEL_INPUTS]
 
 
+#: Columns that a dense frame of all features may have; beyond that ``encoded_vectors`` gives sparse ones.
+MAX_DENSE = 4096
+
+
 def all_features(frame: DataFrame) -> list[str]:
     """Every numeric feature and every ``<column>_<value>`` of the one-hot encoding but each
-    column's first value, as they stand before selection."""
+    column's first value, as they stand before selection. Their number is checked first."""
+    sizes = frame.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
+    if sum(sizes) > MAX_DENSE:
+        raise ValueError(f"about {sum(sizes)} features: use encoded_vectors")
     values = frame.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in CATEGORICAL_FEATURES
                          ]).first()  # categories are small dimensions
     return NUMERIC_FEATURES + [f"{c}_{v}" for c in CATEGORICAL_FEATURES
@@ -176,3 +183,23 @@ def encode_long(frame: DataFrame, path: str, keys: list[str], cats: list[str] =
         entries.append(F.when((place > 1) & (place <= len(values)), F.try_element_at(names, place.cast("int"))))
     out = coded.select(*keys, F.explode(F.array(*entries)).alias("feature"))
     return out.where("feature IS NOT NULL").select(*keys, "feature", F.lit(1.0).alias("value"))
+
+
+def encoded_vectors(frame: DataFrame, path: str, keys: list[str], numeric: list[str] = NUMERIC_FEATURES,
+                    cats: list[str] = CATEGORICAL_FEATURES, out: str = "features") -> tuple[DataFrame, list[str]]:
+    """keys and ``out``, a sparse vector of the numeric columns (null as 0) and of the saved encoder's features, and
+    their names. A row costs its own values, however many a column has; the names are the encoder's own list."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler, VectorSlicer
+    model = PipelineModel.load(path)
+    kinds = dict(frame.dtypes)
+    names, chosen, at = list(numeric), list(range(len(numeric))), len(numeric)
+    for c, values in zip(cats, model.stages[0].labelsArray):
+        whole = kinds[c] in ("int", "bigint", "smallint", "tinyint")
+        names += [f"{c}_{int(v) if whole else v}" for v in values[1:]]
+        chosen += range(at + 1, at + len(values))  # neither the first value nor the place for unseen ones
+        at += len(values) + 1
+    coded = model.transform(_spelled(frame, cats)).select(
+        *keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__n_{c}") for c in numeric], *[f"__{c}_v" for c in cats])
+    whole = VectorAssembler(inputCols=[f"__n_{c}" for c in numeric] + [f"__{c}_v" for c in cats], outputCol="__all").transform(coded)
+    return VectorSlicer(inputCol="__all", outputCol=out, indices=chosen).transform(whole).select(*keys, out), names

@@ -761,12 +761,11 @@ def feature_importance_top15(spark, sf_dir):
     """Importance before selection: a forest over all numeric and one-hot columns, of which the
     best 15 are taken."""
     def build():
-        frame = _model_frame(spark, sf_dir)
-        frame = features.split_by_key(frame, "k_order_no", 20, 1505).filter(
+        frame = features.split_by_key(_model_frame(spark, sf_dir), "k_order_no", 20, 1505).filter(
             (F.col("is_test") == 0) & (features.key_hash(F.col("k_order_no"), "fit-1505-") % 100 < FIT_PCT))
-        names = features.all_features(_model_frame(spark, sf_dir))
-        fm = features.encoded_features(frame, MF_KEYS, names).fillna(0.0, names)
-        return models.importances(models.estimator("rf").fit(features.assemble(fm, names)), names)
+        path = remembered(spark, sf_dir, "encoder", lambda: _saved_encoder(spark, sf_dir))
+        fm, names = features.encoded_vectors(frame, path, ["label"])
+        return models.importances(models.estimator("rf").fit(fm), names)
     imp = materialized(spark, sf_dir, "importances", build)
     return r6(imp.orderBy(F.col("importance").desc(), "feature").limit(15))
 

@@ -148,3 +148,15 @@ def test_correlation_is_pairwise_complete(spark):
             assert got[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
     assert len(got) == 36 and all(got[i, j] is None for i in range(6) for j in (4, 5))
     assert all(r["corr"] is None for r in stats.correlation(df.limit(0), ["a", "b"]).collect())
+
+
+def test_sparse_vectors_hold_the_one_hot_columns(spark):
+    df = spark.createDataFrame([(1, 2.5, "b", 2), (2, None, "a", 10), (3, 1.0, "c", 9), (4, 4.0, None, None)],
+                               "id int, x double, k string, month int")
+    path = scratch_dir(spark, "encoder-vectors")
+    features.fit_encoder(df, path, ["k", "month"])
+    new = df.unionByName(spark.createDataFrame([(5, 3.0, "z", 11)], df.schema))
+    got, names = features.encoded_vectors(new, path, ["id"], ["x"], ["k", "month"])
+    assert names == ["x", "k_b", "k_c", "month_9", "month_10"]
+    rows = {r.id: r.features.toArray().tolist() for r in got.collect()}
+    assert rows == {1: [2.5, 1, 0, 0, 0], 2: [0, 0, 0, 0, 1], 3: [1, 0, 1, 1, 0], 4: [4, 0, 0, 0, 0], 5: [3, 0, 0, 0, 0]}
