@@ -9,11 +9,13 @@ with a pool of bounded size: no shuffle, no group, nothing on the driver.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipshape.llm import caches
 from shipshape.llm.common import ship, text_of
 
 MAX_TOKENS = 2048
@@ -29,6 +31,18 @@ SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, lo
           "sequence_id long, offset long, padded_length long")
 
 
+def _visible() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible()
+#: Words by which a tokenizer shows whether its merges alone give a plain word's ids.
+_PROBES = ("a", "the", "tokenizer", "straße", "ñandú", "œuvre", "éééê", "x" * 40, "łódź", "unbelievableness")
+
+
 class WordTokenizer:
     """A ``tokenizers`` vocabulary that ignores white space between words: texts are cut at
     spaces and line feeds, which no token crosses, and each distinct word is encoded once.
@@ -42,6 +56,15 @@ class WordTokenizer:
         self.model.no_padding()
         self.model.encode_special_tokens = not added
         self.words: dict[str, bytes] = {}
+        self.direct = all(self._merged(w) == self._whole(w) for w in _PROBES)
+
+    def _whole(self, w: str) -> bytes:
+        return array("I", self.model.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, w: str) -> bytes:
+        """The ids of a lower-case word of Latin letters by the vocabulary's merges alone: normalising and
+        splitting leave such a word as it is, and take longer than the merges."""
+        return array("I", [t.id for t in self.model.model.tokenize(w.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
 
     def word(self, w: str) -> bytes:
         """The ids of one word as little-endian unsigned 32-bit numbers."""
@@ -52,9 +75,10 @@ class WordTokenizer:
                 got = self.word(w[:-1]) + self.word(w[-1])
             elif plain(w) and w.lower() != w:
                 got = self.word(w.lower())
+            elif self.direct and plain(w):
+                got = self._merged(w)
             else:
-                ids = self.model.encode(w, add_special_tokens=False).ids
-                got = b"".join(i.to_bytes(4, "little") for i in ids)
+                got = self._whole(w)
             if len(self.words) >= WORDS:
                 self.words.clear()
             self.words[w] = got
@@ -73,10 +97,13 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path, added=True)
 
 
+caches.register("packing", tokenizer.cache_clear)
+
+
 class _Piece:
     __slots__ = ("doc", "start", "ids", "total", "quiet")
 
-    def __init__(self, doc, start: int, ids: bytes, total: int, quiet: int):
+    def __init__(self, doc, start: int, ids: bytes | memoryview, total: int, quiet: int):
         self.doc, self.start, self.ids, self.total, self.quiet = doc, start, ids, total, quiet
 
     @property
@@ -91,7 +118,7 @@ class _Piece:
         return self.tokens - self.free()
 
     def cut(self, n: int) -> _Piece:
-        """Takes the first n tokens off."""
+        """Takes the first n tokens off; where the ids are a view, nothing is copied."""
         head = _Piece(self.doc, self.start, self.ids[:4 * n], self.total, self.quiet)
         self.ids, self.start = self.ids[4 * n:], self.start + n
         return head
@@ -110,7 +137,7 @@ class Packer:
 
     def add(self, doc, ids: bytes, quiet: int = 0) -> Iterator[list[_Piece]]:
         tokens, _, loss = map(int, self.limits)
-        rest = _Piece(doc, 0, ids, len(ids) >> 2, quiet)
+        rest = _Piece(doc, 0, memoryview(ids), len(ids) >> 2, quiet)
         while rest.tokens > tokens or rest.loss() > loss:
             n = min(tokens, rest.free() + loss)
             if n == tokens:
@@ -123,10 +150,11 @@ class Packer:
             yield from self._wait(rest)
 
     def _wait(self, piece: _Piece) -> Iterator[list[_Piece]]:
+        piece.ids = bytes(piece.ids)  # a waiting piece doesn't hold its whole document
         self.need[len(self.pool)] = piece.tokens, 1, piece.loss()
         self.pool.append(piece)
         while len(self.pool) > self.most:
-            yield self._fill()
+            yield from self._closed(self._fill())
 
     def _take(self, i: int) -> _Piece:
         piece, last = self.pool[i], self.pool.pop()
@@ -156,25 +184,29 @@ class Packer:
         return out
 
     def finish(self) -> Iterator[list[_Piece]]:
-        """What still waits; the last, unfilled sequence is cut at powers of two, which need no padding."""
+        """What still waits."""
         while self.pool:
-            pieces = self._fill()
-            size = sum(p.tokens for p in pieces)
-            if self.pool or size == int(self.limits[0]):
-                yield pieces
-                continue
-            while size:
-                room, out = 1 << (size.bit_length() - 1), []
-                size -= room
-                while room:
-                    piece = pieces[0]
-                    if piece.tokens > room:
-                        piece = piece.cut(room)
-                    else:
-                        pieces.pop(0)
-                    out.append(piece)
-                    room -= piece.tokens
-                yield out
+            yield from self._closed(self._fill())
+
+    def _closed(self, pieces: list[_Piece]) -> Iterator[list[_Piece]]:
+        """A full sequence as it is; one that another limit closed, or the last one, cut at powers of two, which
+        need no padding."""
+        size = sum(p.tokens for p in pieces)
+        if size == int(self.limits[0]):
+            yield pieces
+            return
+        while size:
+            room, out = 1 << (size.bit_length() - 1), []
+            size -= room
+            while room:
+                piece = pieces[0]
+                if piece.tokens > room:
+                    piece = piece.cut(room)
+                else:
+                    pieces.pop(0)
+                out.append(piece)
+                room -= piece.tokens
+            yield out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
@@ -196,6 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
         import pyarrow as pa
         from pyspark import TaskContext
 
+        caches.only("packing")
         words, packer = tokenizer(tokenizer_path), Packer(max_tokens, max_segments, most)
         number, rows = TaskContext.get().partitionId() << 33, []
         end = END_ID.to_bytes(4, "little")
@@ -206,7 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
                 at, size = 0, sum(p.tokens for p in pieces)
                 full = size if size & (size - 1) == 0 else max_tokens
                 for p in pieces:
-                    rows.append((p.doc, p.start, p.tokens, p.ids, p.total, p.loss(), number, at, full))
+                    rows.append((p.doc, p.start, p.tokens, bytes(p.ids), p.total, p.loss(), number, at, full))
                     at += p.tokens
                 number += 1
 

@@ -198,3 +198,31 @@ def test_packing_finds_added_tokens_as_the_library_does(spark):
     for r in sorted(got, key=lambda r: r.start):  # documents are cut where a sequence is full
         ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
     assert ids == want
+
+
+def test_many_tiny_documents_are_hardly_padded(spark):
+    """Sequences that run out of segments end at powers of two."""
+    df = spark.createDataFrame([(i, "a b c d") for i in range(20_000)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
+    tokens, places = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("padded_length").alias("p"),
+                                                    F.count("*").alias("s")).agg(F.sum("n"), F.sum("p")).first()
+    assert tokens == 100_000 and places <= tokens * 1.05
+
+
+def test_packing_a_very_long_document_is_linear():
+    import time
+    took = []
+    for n in (1_000_000, 8_000_000):
+        ids, at = bytes(4 * n), time.process_time()
+        packer = packing.Packer(2048, 256, 2048)
+        total = sum(p.tokens for s in [*packer.add(1, ids), *packer.finish()] for p in s)
+        took.append(time.process_time() - at)
+        assert total == n
+    assert took[1] < 16 * took[0] + 0.5
+
+
+def test_merges_of_plain_words_are_the_library_s():
+    words = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), added=True)
+    assert words.direct
+    for w in ("naïve", "ŉaŉ", "ªº", "ßẞ", "ĳsĳ", "ĸĸ", "àéîõü", "ſtſ", "ﬁne", "x" * 300, "don", "ÿ", "µm", "ǆǉ"):
+        assert words.word(w) == words._whole(w), w
