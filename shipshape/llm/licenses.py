@@ -3,10 +3,12 @@
 Licence notices are templates: words at positions. Of every text the words that any template
 holds are kept with their positions. Document frequencies over all documents give each of these
 words its IDF; of the mandatory words of a template that are in a file, the two of highest IDF are
-looked up in the template's postings. A place where both agree on the template's relative position
-is a candidate; it is verified by all words of the template's mandatory key phrases at their
-relative positions. Positions in a template are bits of a mask, so every step is a grouped
-``bit_or`` that is combined map-side, whatever a file's length.
+looked up in the template's postings. (A file that holds a template has all of its mandatory words, so
+these two are the template's own two of highest IDF; a file without them has no candidate.) A place where
+both agree on the template's relative position is a candidate. Only there the template's other words are
+looked for, by a join on their positions, and all words of its mandatory key phrases have to stand
+there. Positions in a template are bits of a mask, so alignments are grouped ``bit_or``s that are combined
+map-side, whatever a file's length.
 """
 from __future__ import annotations
 
@@ -110,15 +112,16 @@ def places(words: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     def holds(mask: str) -> Column:
         return F.col("mask").bitwiseAND(F.col(mask)) == F.col(mask)
 
-    candidates = aligned(index.where("rare")).join(F.broadcast(whole), "template").where(holds("rare_mask"))
-    candidates = candidates.select(F.col("doc_id").alias("id"), F.col("tag").alias("t"), F.col("template").alias("tpl"),
-                                   F.col("start").alias("s"))
-    full = aligned(index)
-    same = full["doc_id"].eqNullSafe(F.col("id")) & (F.col("tag") == F.col("t")) & (F.col("template") == F.col("tpl")) \
-        & (F.col("start") == F.col("s"))
-    return full.join(candidates, same, "left_semi").join(F.broadcast(whole), "template").where(
-        holds("must_mask")).select("doc_id", "tag", "template", "label", "is_base", "start",
-                                   (F.bit_count("mask") / F.col("n")).alias("coverage"))
+    candidates = aligned(index.where("rare")).join(F.broadcast(whole), "template").where(holds("rare_mask")).select(*key)
+    # the template's words at the candidate's places, and which of them the file has there
+    asked = candidates.join(F.broadcast(index.select("template", F.col("word").alias("want"), "at")), "template").select(
+        F.col("doc_id").alias("id"), F.col("tag").alias("t"), "template", "start", (F.col("start") + F.col("at")).alias("spot"),
+        "want", _bit(F.col("at")).alias("bit"))
+    there = words["doc_id"].eqNullSafe(F.col("id")) & (words["tag"] == F.col("t")) & (words["pos"] == F.col("spot")) \
+        & (words["word"] == F.col("want"))
+    full = asked.join(words, there).groupBy(*key).agg(F.bit_or("bit").alias("mask"))
+    return full.join(F.broadcast(whole), "template").where(holds("must_mask")).select(
+        "doc_id", "tag", "template", "label", "is_base", "start", (F.bit_count("mask") / F.col("n")).alias("coverage"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
