@@ -16,6 +16,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipshape.llm import caches
 from shipshape.llm.common import held_out, row_tag, ship, text_of
 from shipshape.llm.samples import labelled_ids, rows_of
 
@@ -36,6 +37,9 @@ def _bucket(word: str) -> int:
     return STATISTICS + crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
 
 
+caches.register("quality", _bucket.cache_clear)
+
+
 def statistics(text: str, words: list[str], counts: Counter, n_chars: int | None) -> list[float]:
     """Structure of the text and the recorded length, each about 0 to 1."""
     n, m = max(1, len(text)), max(1, len(words))
@@ -126,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     every score is the share of good labels (0.5 if there are none)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        caches.only("quality")
         for b in batches:
             ids, ys, texts, sizes = (c.to_pylist() for c in b.columns)
             found = [features(t, n) for t, n in zip(texts, sizes)]
@@ -157,6 +162,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        caches.only("quality")
         for b in batches:
             sums = [raw_score(model, *features(t, n)) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             out = [1 / (1 + math.exp(-max(-700.0, min(700.0, s)))) for s in sums]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipshape.llm import caches
 from shipshape.llm.common import held_out, row_tag, ship, staged, text_of
 from shipshape.llm.samples import labelled_ids, learnable, rows_of
 
@@ -64,6 +65,7 @@ def _compressors(ordinary: bytes, toxic: bytes):
     return made(ordinary), made(toxic + ordinary)
 
 
+caches.register("toxicity", _compressors.cache_clear)
 #: Savings in bytes whose windows are counted.
 STEPS = (1, 2, 3, 4, 5)
 MOST = 8
@@ -197,6 +199,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        caches.only("toxicity")
         w = model["weights"]
         for b in batches:
             sums = [w[0] + sum(a * f for a, f in zip(w[1:], features(t, model["ordinary"], model["toxic"])))
