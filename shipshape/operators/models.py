@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -114,6 +116,19 @@ def split_counts(nodes: DataFrame, names: list[str]) -> DataFrame:
                  .join(F.broadcast(idx), "feature_index"))
 
 
+_AT_ONCE: ContextVar[int] = ContextVar("folds at once", default=1)
+
+
+@contextmanager
+def folds_at_once(n: int):
+    """Within it, cross-validations fit ``n`` folds at once."""
+    token = _AT_ONCE.set(n)
+    try:
+        yield
+    finally:
+        _AT_ONCE.reset(token)
+
+
 #: Rows that a task of a fit should have at least.
 FIT_ROWS = 16_384
 
@@ -125,12 +140,14 @@ def compact(frame: DataFrame) -> DataFrame:
 
 
 def cross_validate(frame: DataFrame, kind: str, k: int = 5, fold_col: str = "fold", fit: str | None = None,
-                   parallel: int = 1, **kw) -> DataFrame:
+                   parallel: int | None = None, **kw) -> DataFrame:
     """fold, accuracy, precision, recall, f1 (binary, positive class 1) for each held-out fold.
 
     Every row of a fold is scored. ``fit``, a condition, bounds the rows of the other folds that a
     model is fitted on; k-NN fits nothing and looks its neighbours up in all of them. ``parallel`` folds
-    are fitted at once, as jobs of the one session."""
+    are fitted at once, as jobs of the one session (unless given, as many as ``folds_at_once`` says, else one)."""
+    parallel = parallel or _AT_ONCE.get()
+
     def one(f: int) -> DataFrame:
         train = frame.filter(F.col(fold_col) != f)
         if fit is not None and kind != "knn":

@@ -851,7 +851,8 @@ def _fold_table(spark, sf_dir, kind, part, **kw):
     folds, or over all test rows, fitted on all of the other folds (a stage)."""
     def build():
         t = _training(spark, sf_dir).filter("is_test = 0" if part == "train" else "is_test = 1")
-        return models.cross_validate(t, kind, 5, fit="fit = 1" if part == "train" else None, parallel=5, **kw)
+        with models.folds_at_once(5):
+            return models.cross_validate(t, kind, 5, fit="fit = 1" if part == "train" else None, **kw)
     return materialized(spark, sf_dir, f"folds-{kind}-{part}", build)
 
 
