@@ -86,9 +86,10 @@ def as_text(df: DataFrame, date_formats: dict[str, str] | None = None, missing:
     return df.select(*cols)
 
 
-def write_csv_gz(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header + gzip CSV parts, one per task; no coalesce to one file."""
-    df.write.csv(path, header=True, mode=mode, compression="gzip")
+def write_csv_gz(df: DataFrame, path: str, mode: str = "overwrite", max_rows: int = 0) -> str:
+    """Header + gzip CSV parts, one per task or, with ``max_rows``, as many as hold no more rows each; no coalesce
+    to one file."""
+    df.write.option("maxRecordsPerFile", max_rows).csv(path, header=True, mode=mode, compression="gzip")
     return path
 
 
