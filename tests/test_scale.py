@@ -45,3 +45,26 @@ def test_gzip_parts_are_bounded(spark, tmp_path):
     path = files.write_csv_gz(spark.range(1000).repartition(1).withColumn("x", F.lit("a")), str(tmp_path / "parts"), max_rows=300)
     assert len(glob.glob(f"{path}/*.gz")) == 4
     assert files.read_parts(spark, path, ["id", "x"]).count() == 1000
+
+
+def test_neighbours_are_found_by_blocks():
+    """Few distances are computed, and ties at the bound go to the lesser value."""
+    import numpy as np
+
+    from shipshape.operators import knn
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(0, 40, (4000, 3)).astype(float), rng.integers(0, 40, (700, 3)).astype(float)
+    val = rng.integers(0, 2, 4000).astype(float)
+    counted, plain = [], knn._distances
+    knn._distances = lambda a, b: counted.append(len(a) * len(b)) or plain(a, b)
+    try:
+        found = list(knn._search(q, np.full(700, np.inf), x, val, 3))
+    finally:
+        knn._distances = plain
+    assert sum(counted) < 700 * 4000 / 3
+    got = {}
+    for rows, points, dist in found:
+        for r, p, d in zip(rows.tolist(), points.tolist(), dist.tolist()):
+            got.setdefault(r, []).append((d, val[p]))
+    d = np.round(plain(q, x), knn.DIGITS)
+    assert all(got[i] == sorted(zip(d[i].tolist(), val.tolist()))[:3] for i in range(700))
