@@ -71,3 +71,11 @@ def test_train_folds_score_all_training_rows(spark, monkeypatch):
 
 def test_label_inputs_are_excluded():
     assert features.exclude_label_inputs(["distance_km", "delivery_day", "days_off_count", "day_processing"]) == ["distance_km"]
+
+
+@pytest.mark.parametrize("kind", ["dt", "rf"])
+def test_deep_trees_keep_each_rows_node_between_levels(frame, kind):
+    kw = {"num_trees": 5} if kind == "rf" else {}
+    kept = models.estimator(kind, **kw)
+    assert kept.getCacheNodeIds()
+    assert kept.fit(frame).toDebugString.split("\n")[1:] == kept.copy({kept.cacheNodeIds: False}).fit(frame).toDebugString.split("\n")[1:]
