@@ -21,15 +21,24 @@ def with_gps(fact: DataFrame, gps_customer: DataFrame, gps_distributor: DataFram
     out the order lines. The customers come last, so that a later join on the customer code finds
     the lines distributed by it.
     """
+    located = with_customer_gps(with_distributor_gps(fact, gps_distributor), gps_customer)
+    return located.select(*fact.columns, "gps_cus_latitude", "gps_cus_longitude", "gps_dist_latitude", "gps_dist_longitude")
+
+
+def with_customer_gps(df: DataFrame, gps_customer: DataFrame) -> DataFrame:
+    """The customers' half of ``with_gps``, for lines or for orders that have yet to meet their lines."""
     cus = gps_customer.select(F.col("customerid").alias("_cus_id"),
                               F.col("latitude").alias("gps_cus_latitude"),
                               F.col("longitude").alias("gps_cus_longitude"))
+    return df.join(cus, F.col("customer_code") == cus._cus_id, "left").drop("_cus_id")
+
+
+def with_distributor_gps(df: DataFrame, gps_distributor: DataFrame) -> DataFrame:
+    """The distributors' half of ``with_gps``."""
     dist = gps_distributor.select(F.col("customerid").alias("_dist_id"),
                                   F.col("latitude").alias("gps_dist_latitude"),
                                   F.col("longitude").alias("gps_dist_longitude"))
-    return (fact.join(dist, fact.distributor_code == dist._dist_id, "left")
-                .join(cus, F.col("customer_code") == cus._cus_id, "left")
-                .select(*fact.columns, *cus.columns[1:], *dist.columns[1:]))
+    return df.join(dist, F.col("distributor_code") == dist._dist_id, "left").drop("_dist_id")
 
 
 def with_urban(df: DataFrame, urban: DataFrame, keep_unmatched: bool = False) -> DataFrame:

@@ -189,8 +189,12 @@ def composite_keys(spark, sf_dir):
 # ---------------------------------------------------------------- stage 2
 
 def _enriched(spark, sf_dir, dedupe=False):
-    inp = _inp(spark, sf_dir)
-    return L.enriched(inp, dedupe, labelled_df=L.labelled(inp))
+    return L.enriched(_inp(spark, sf_dir), dedupe)
+
+
+def _for_kpi(spark, sf_dir):
+    """The enriched lines for distinct counts of orders, which need neither the free-good flag nor its repeats."""
+    return L.enriched(_inp(spark, sf_dir), flag_last=True)
 
 
 def _enriched_columns(spark, sf_dir, *columns: str) -> DataFrame:
@@ -201,22 +205,19 @@ def _enriched_columns(spark, sf_dir, *columns: str) -> DataFrame:
 
 @query
 def join_urban(spark, sf_dir):
-    inp = _inp(spark, sf_dir)
-    u = joins.with_urban(_labelled(spark, sf_dir), inp.urban)
+    u = L.with_rates(_inp(spark, sf_dir))
     return r6(u.select(*KEY, "city", "province_standard", "urban_rate"))
 
 
 @query
 def count_by_urban_rate(spark, sf_dir):
-    inp = _inp(spark, sf_dir)
-    u = joins.with_urban(_labelled(spark, sf_dir), inp.urban)
+    u = L.with_rates(_inp(spark, sf_dir))
     return r6(u.groupBy("urban_rate").agg(F.count(F.lit(1)).alias("count")))
 
 
 @query
 def sql_view_distinct(spark, sf_dir):
-    inp = _inp(spark, sf_dir)
-    joins.with_urban(_labelled(spark, sf_dir), inp.urban).createOrReplaceTempView("urban_table")
+    L.with_rates(_inp(spark, sf_dir)).createOrReplaceTempView("urban_table")
     return r6(spark.sql("SELECT DISTINCT urban_rate FROM urban_table"))
 
 
@@ -246,38 +247,38 @@ def describe_flag(spark, sf_dir):
 
 @query
 def kpi_by_customer(spark, sf_dir):
-    return r6(kpi.kpi(_enriched(spark, sf_dir), "customer_code", "gps_cus_longitude", "gps_cus_latitude"))
+    return r6(kpi.kpi(_for_kpi(spark, sf_dir), "customer_code", "gps_cus_longitude", "gps_cus_latitude"))
 
 
 @query
 def kpi_by_pack_type(spark, sf_dir):
-    k = kpi.kpi(_enriched(spark, sf_dir), "pack_type").dropna(subset=["pack_type"])
+    k = kpi.kpi(_for_kpi(spark, sf_dir), "pack_type").dropna(subset=["pack_type"])
     return r6(k.orderBy(F.col("difot_pct").desc(), "pack_type"))
 
 
 @query
 def kpi_by_urban_rate(spark, sf_dir):
-    return r6(kpi.kpi(_enriched(spark, sf_dir), "urban_rate"))
+    return r6(kpi.kpi(_for_kpi(spark, sf_dir), "urban_rate"))
 
 
 @query
 def kpi_by_region_item(spark, sf_dir):
-    return r6(kpi.kpi(_enriched(spark, sf_dir), "region", "item_code"))
+    return r6(kpi.kpi(_for_kpi(spark, sf_dir), "region", "item_code"))
 
 
 @query
 def kpi_by_order_date(spark, sf_dir):
-    return r6(kpi.kpi(_enriched(spark, sf_dir), "order_date"))
+    return r6(kpi.kpi(_for_kpi(spark, sf_dir), "order_date"))
 
 
 @query
 def kpi_monthly_trend(spark, sf_dir):
-    daily = kpi.kpi(_enriched(spark, sf_dir), "order_date")
+    daily = kpi.kpi(_for_kpi(spark, sf_dir), "order_date")
     return r6(kpi.kpi_monthly(daily).orderBy("month_year"))
 
 
 def _customer_points(spark, sf_dir):
-    k = kpi.kpi(_enriched(spark, sf_dir), "customer_code", "gps_cus_longitude", "gps_cus_latitude")
+    k = kpi.kpi(_for_kpi(spark, sf_dir), "customer_code", "gps_cus_longitude", "gps_cus_latitude")
     return cleaning.clean_points(k, "gps_cus_latitude", "gps_cus_longitude")
 
 
@@ -343,7 +344,7 @@ def histogram_table(spark, sf_dir):
 def _region_items(spark, sf_dir):
     """The KPI of every region and item (a stage: a pivot lists the regions first)."""
     from shipshape.plans.stages import materialized
-    return materialized(spark, sf_dir, "region-items", lambda: kpi.kpi(_enriched(spark, sf_dir), "region", "item_code"))
+    return materialized(spark, sf_dir, "region-items", lambda: kpi.kpi(_for_kpi(spark, sf_dir), "region", "item_code"))
 
 
 @query

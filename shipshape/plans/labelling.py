@@ -13,6 +13,7 @@ plan as literals. The result is identical to the row-level statistics.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ class Inputs:
     free_goods: DataFrame
     source: tuple[SparkSession, str] | None = None  # where stages and values are remembered
     own: dict = field(default_factory=dict)
+    heads: DataFrame | None = None  # the orders that the fact is made of, and what gives their lines
+    lines: Callable[[DataFrame], DataFrame] | None = None
 
     def stage(self, name: str, build) -> DataFrame:
         """A table written once for these inputs."""
@@ -74,7 +77,8 @@ class Inputs:
                    fixtures.gps_distributor(spark, sf_dir),
                    materialized(spark, sf_dir, "day_off", calendar) if materialize else calendar(),
                    fixtures.urbanization(spark, sf_dir), fixtures.free_goods(spark, sf_dir),
-                   (spark, sf_dir) if materialize else None)
+                   (spark, sf_dir) if materialize else None, heads=fixtures.order_heads(spark, sf_dir),
+                   lines=lambda heads: fixtures.lines_of(spark, sf_dir, heads))
 
 
 def add_distance(df: DataFrame) -> DataFrame:
@@ -88,9 +92,20 @@ def add_distance(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(F.array(haversine_km(*GPS_COLUMNS))).alias("distance_km"))
 
 
-def with_distance(inp: Inputs) -> DataFrame:
-    """Fact + four coordinates + raw haversine distance (NULL when a point is missing)."""
-    return add_distance(joins.with_gps(inp.fact, inp.gps_customer, inp.gps_distributor))
+Step = Callable[[DataFrame], DataFrame]  # joins by an order's columns alone: its date, number and customer
+
+
+def lines_after(inp: Inputs, step: Step) -> DataFrame:
+    """The fact after a step. Such joins give the same rows before an order meets its lines as after, so where the
+    orders are known they take the step: rows a few times fewer are shuffled, and the lines once, by their order."""
+    return inp.lines(step(inp.heads)) if inp.lines else step(inp.fact)
+
+
+def with_distance(inp: Inputs, step: Step | None = None) -> DataFrame:
+    """Fact + four coordinates + raw haversine distance (NULL when a point is missing), after a further step if given."""
+    located = lambda d: joins.with_customer_gps(d, inp.gps_customer)
+    lines = lines_after(inp, (lambda d: step(located(d))) if step else located)
+    return add_distance(joins.with_distributor_gps(lines, inp.gps_distributor))
 
 
 def line_codes(inp: Inputs) -> DataFrame:
@@ -168,15 +183,16 @@ def quartiles(inp: Inputs, median: float | None = None, rel_error: float | None
     return inp.value(f"quartiles-{median}-{rel_error}", compute)
 
 
-def filled_lines(inp: Inputs, median: float | None = None) -> DataFrame:
+def filled_lines(inp: Inputs, median: float | None = None, step: Step | None = None) -> DataFrame:
     """All lines, with bad distances replaced by the median."""
-    return cleaning.fill_distance(with_distance(inp), median_distance(inp)[1] if median is None else median)
+    return cleaning.fill_distance(with_distance(inp, step), median_distance(inp)[1] if median is None else median)
 
 
-def cleaned(inp: Inputs, median: float | None = None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
+def cleaned(inp: Inputs, median: float | None = None, k: float = IQR_K, rel_error: float | None = None,
+            step: Step | None = None) -> DataFrame:
     """Lines with filled distance that lie inside the IQR bounds."""
     lo, hi = cleaning.bounds(*quartiles(inp, median, rel_error), k)
-    return cleaning.between(filled_lines(inp, median), "distance_km", lo, hi)
+    return cleaning.between(filled_lines(inp, median, step), "distance_km", lo, hi)
 
 
 def add_labels(df: DataFrame, day_off: DataFrame) -> DataFrame:
@@ -192,17 +208,27 @@ def add_labels(df: DataFrame, day_off: DataFrame) -> DataFrame:
              .withColumn("difot", flag01((F.col("ontime") == 1.0) & (F.col("infull") == 1.0))))
 
 
-def labelled(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None) -> DataFrame:
-    """Stage-1 output: fact + coordinates + LABEL_COLUMNS."""
-    out = add_labels(cleaned(inp, median, k, rel_error), inp.day_off)
-    return out.select(*fixtures.FACT_COLUMNS, *GPS_COLUMNS, *LABEL_COLUMNS)
+def labelled(inp: Inputs, median=None, k: float = IQR_K, rel_error: float | None = None,
+             step: Step | None = None) -> DataFrame:
+    """Stage-1 output: fact + coordinates + LABEL_COLUMNS, and those of ENRICHED_EXTRA that a step brings."""
+    out = add_labels(cleaned(inp, median, k, rel_error, step), inp.day_off)
+    return out.select(*fixtures.FACT_COLUMNS, *GPS_COLUMNS, *LABEL_COLUMNS, *[c for c in ENRICHED_EXTRA if c in out.columns])
 
 
 ENRICHED_EXTRA = ["city", "province_standard", "urban_rate", "isfreegood_order_no"]
 
 
-def enriched(inp: Inputs, dedupe_free_goods: bool = False, labelled_df: DataFrame | None = None) -> DataFrame:
-    """Stage-2 output: labelled lines with an urbanisation rate, plus the free-good flag."""
-    lab = labelled_df if labelled_df is not None else labelled(inp)
-    u = joins.with_urban(lab, inp.urban)
-    return joins.with_free_good(u, inp.free_goods, dedupe=dedupe_free_goods)
+def with_rates(inp: Inputs) -> DataFrame:
+    """Labelled lines with an urbanisation rate."""
+    return labelled(inp, step=lambda d: joins.with_urban(d, inp.urban))
+
+
+def enriched(inp: Inputs, dedupe_free_goods: bool = False, labelled_df: DataFrame | None = None,
+             flag_last: bool = False) -> DataFrame:
+    """Stage-2 output: labelled lines with an urbanisation rate, plus the free-good flag. With ``flag_last`` the flag
+    is joined to the lines at the end, where Spark drops that join if neither the flag nor repeated lines count."""
+    rate = lambda d: joins.with_urban(d, inp.urban)
+    flag = lambda d: joins.with_free_good(d, inp.free_goods, dedupe=dedupe_free_goods)
+    if labelled_df is not None:
+        return flag(rate(labelled_df))
+    return flag(with_rates(inp)) if flag_last else labelled(inp, step=lambda d: flag(rate(d)))

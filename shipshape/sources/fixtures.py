@@ -19,24 +19,36 @@ def _code(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f_order_line: one row per order line, the reference's fact table."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order of a known customer: what f_order_line has from the order, with the order's number key."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    # customer -> nation -> region is a dimension chain; resolve it before the fact join
+    # customer -> nation -> region is a dimension chain; resolve it before the orders join
     geo = (c.join(n, c.c_nationkey == n.n_nationkey)
             .join(r, n.n_regionkey == r.r_regionkey)
             .select("c_custkey", "c_mktsegment", "r_name"))
-    # orders get their customer before they meet the lines, which are then shuffled twice instead of three times
-    og = o.join(geo, o.o_custkey == geo.c_custkey).drop("c_custkey")
-    j = li.join(p, li.l_partkey == p.p_partkey).join(og, li.l_orderkey == og.o_orderkey)
-    od = F.to_date("o_orderdate")
+    return o.join(geo, o.o_custkey == geo.c_custkey).select(
+        F.col("o_orderkey").alias(HEAD_KEY),
+        F.to_date("o_orderdate").alias("order_date"),
+        F.col("r_name").alias("region"),
+        _code("C", "o_custkey").alias("customer_code"),
+        F.when(F.col("o_orderkey") % 67 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("o_orderpriority")).alias("segmentation"),
+        F.col("c_mktsegment").alias("channelname"),
+        _code("SO", "o_orderkey").alias("order_no"))
+
+
+def lines_of(spark: SparkSession, sf_dir: str, heads: DataFrame) -> DataFrame:
+    """The lines of ``heads``, the rows of ``order_heads``: f_order_line and what columns the heads have beyond it."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    extra = [c for c in heads.columns if c not in FACT_COLUMNS and c != HEAD_KEY]
+    # the number is made of the line's key again, so that no text of it is shuffled
+    j = li.join(p, li.l_partkey == p.p_partkey).join(heads.drop("order_no"), F.col("l_orderkey") == F.col(HEAD_KEY))
     m = (F.col("l_orderkey") * 7 + F.col("l_partkey")) % 20
     shift = (F.when(m < 17, m % 3).when(m == 17, -1).when(m == 18, 5).otherwise(9)).cast("int")
     pk, ok = F.col("l_partkey"), F.col("l_orderkey")
@@ -46,15 +58,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when((ok + pk) % 10 == 7, F.lit(-0.5))
                 .otherwise(F.lit(0.0)))
     base = j.select(
-        od.alias("order_date"),
+        "order_date",
         F.when(ok % 101 == 0, F.lit(None).cast("date"))
-         .otherwise(F.date_add(od, shift)).alias("settlement_date"),
-        F.col("r_name").alias("region"),
+         .otherwise(F.date_add("order_date", shift)).alias("settlement_date"),
+        "region",
         _code("D", "l_suppkey").alias("distributor_code"),
-        _code("C", "o_custkey").alias("customer_code"),
-        F.when(ok % 67 == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("o_orderpriority")).alias("segmentation"),
-        F.col("c_mktsegment").alias("channelname"),
+        "customer_code",
+        "segmentation",
+        "channelname",
         _code("SO", "l_orderkey").alias("order_no"),
         _code("P", "l_partkey").alias("item_code"),
         F.col("p_brand").alias("brand"),
@@ -63,6 +74,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("totalec_so"),
         F.col("l_extendedprice").alias("totalnsr_so"),
         diff_ec.alias("diff_ec"),
+        *extra,
     )
     sr = F.col("totalec_so") - F.coalesce(F.col("diff_ec"), F.lit(0.0))
     nsr_sr = F.try_divide(F.col("totalnsr_so") * F.col("totalec_sr"), F.col("totalec_so"))
@@ -71,9 +83,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("totalec_sr", sr)
             .withColumn("totalnsr_sr", nsr_sr)
             .withColumn("diff_nsr", F.col("totalnsr_so") - F.col("totalnsr_sr"))
-            .select(*FACT_COLUMNS))
+            .select(*FACT_COLUMNS, *extra))
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f_order_line: one row per order line, the reference's fact table."""
+    return lines_of(spark, sf_dir, order_heads(spark, sf_dir))
 
 
+HEAD_KEY = "_order_key"
 FACT_COLUMNS = [
     "order_date", "settlement_date", "region", "distributor_code", "customer_code",
     "segmentation", "channelname", "order_no", "item_code", "brand", "pack_type",

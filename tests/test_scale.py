@@ -1,4 +1,5 @@
 """What a query computes, shuffles and writes follows the columns that it names."""
+import datetime
 import glob
 
 from pyspark.sql import functions as F
@@ -68,3 +69,56 @@ def test_neighbours_are_found_by_blocks():
             got.setdefault(r, []).append((d, val[p]))
     d = np.round(plain(q, x), knn.DIGITS)
     assert all(got[i] == sorted(zip(d[i].tolist(), val.tolist()))[:3] for i in range(700))
+
+
+def _order_tables(spark, folder):
+    """Small driver tables with null, unknown and repeated keys."""
+    ts = datetime.datetime
+    rows = {
+        "region": ("r_regionkey int, r_name string", [(0, "ASIA"), (1, "EUROPE")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N0", 0), (1, "N1", 1)]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string",
+                     [(i, i % 2, "M") for i in range(1, 13)] + [(5, 1, "M"), (61, 0, "M"), (None, 0, "M")]),
+        "supplier": ("s_suppkey long", [(1,), (2,), (2,), (None,)]),
+        "part": ("p_partkey long, p_brand string, p_type string, p_size int", [(1, "B", "T", 3), (2, "B", None, 4), (2, "C", "T", 5)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string",
+                   [(i, i % 14, ts(2024, 1, 1 + i % 28), "1-URGENT") for i in range(1, 60)]
+                   + [(25, 5, ts(2024, 2, 1), "2-HIGH"), (None, 5, ts(2024, 2, 1), None), (30, None, ts(2024, 2, 1), None), (35, 61, None, None)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double",
+                     [(i % 62, 1 + i % 3, i % 4, float(i % 7), 10.0 * i) for i in range(200)] + [(None, 1, 1, 1.0, 1.0), (25, 2, None, None, None)]),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_orders_are_enriched_before_they_meet_their_lines(spark, tmp_path):
+    from shipshape.plans import labelling as L
+    folder = _order_tables(spark, tmp_path)
+    inp = L.Inputs.from_fixtures(spark, folder)
+    plain = L.Inputs(inp.fact, inp.gps_customer, inp.gps_distributor, inp.day_off, inp.urban, inp.free_goods)
+    columns = [*L.fixtures.FACT_COLUMNS, *L.GPS_COLUMNS, *L.LABEL_COLUMNS, *L.ENRICHED_EXTRA]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    for dedupe in (False, True):
+        got = rows(L.enriched(inp, dedupe))
+        assert got and got == rows(L.enriched(plain, dedupe)) == rows(L.enriched(inp, dedupe, flag_last=True))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = _plan(catalog._enriched(spark, folder), "executedPlan").split("\n")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "FileScan" in line and "l_orderkey" in line)
+    above, shuffles = depth(plan[at]), 0
+    for line in reversed(plan[:at]):
+        if depth(line) < above:
+            above, shuffles = depth(line), shuffles + ("Exchange hashpartitioning" in line)
+    assert shuffles == 3  # by part, order and distributor; before: by customer and free good, too
+
+
+def test_counts_of_orders_do_without_the_free_goods(spark):
+    plan = _plan(catalog.kpi_by_customer(spark, SF))
+    assert "_fg_" not in plan and "gps_cus_latitude" in plan
