@@ -69,6 +69,20 @@ def test_train_folds_score_all_training_rows(spark, monkeypatch):
     assert handed == {"dt": (60, {"fit": "fit = 1"}), "knn": (60, {"fit": "fit = 1"}), "gbt": (10, {"fit": None})}
 
 
+def test_models_are_fitted_on_all_training_rows(spark, monkeypatch):
+    """Before, on those of a tenth of the orders."""
+    from shipshape.plans import catalog
+    names = features.FIXTURE_FEATURES
+    rows = spark.createDataFrame([(f"SO{i}", "P1", "D1", 1.0, *[float((i * 7 + j) % 5) for j in range(len(names))], float(i % 2)) for i in range(100)],
+                                 ", ".join([*(f"{k} {'double' if k.endswith('so') else 'string'}" for k in catalog.MF_KEYS),
+                                            *(f"{n} double" for n in names), "label double"]))
+    monkeypatch.setattr(catalog, "_nearmiss", lambda *a: rows)
+    monkeypatch.setattr(catalog, "materialized", lambda spark, folder, name, build: build())
+    t = catalog._training(spark, "")
+    train = t.where("is_test = 0").count()
+    assert t.where("fit = 1").count() == train == t.where("is_test = 0 AND fit = 1").count() and 60 < train < 100
+
+
 def test_label_inputs_are_excluded():
     assert features.exclude_label_inputs(["distance_km", "delivery_day", "days_off_count", "day_processing"]) == ["distance_km"]
 
