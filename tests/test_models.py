@@ -83,6 +83,28 @@ def test_models_are_fitted_on_all_training_rows(spark, monkeypatch):
     assert t.where("fit = 1").count() == train == t.where("is_test = 0 AND fit = 1").count() and 60 < train < 100
 
 
+def test_importances_are_of_all_training_lines(spark, monkeypatch):
+    """Before, of a tenth of the orders."""
+    from shipshape.plans import catalog
+    lines = spark.createDataFrame([(f"SO{i}", float(i % 2)) for i in range(100)], "k_order_no string, label double")
+    handed = []
+    monkeypatch.setattr(catalog, "_model_columns", lambda *a: lines)
+    monkeypatch.setattr(catalog, "remembered", lambda *a: "")
+    monkeypatch.setattr(catalog, "materialized", lambda spark, folder, name, build: build())
+    monkeypatch.setattr(features, "encoded_vectors", lambda frame, path, keys: (frame, ["a"]))
+    monkeypatch.setattr(models, "importances", lambda model, names: spark.createDataFrame([("a", 1.0)], "feature string, importance double"))
+    monkeypatch.setattr(models, "estimator", lambda kind: _Counts(handed))
+    catalog.feature_importance_top15(spark, "")
+    assert handed == [features.split_by_key(lines, "k_order_no", 20, 1505).where("is_test = 0").count()] and handed[0] > 60
+
+
+class _Counts:
+    """An estimator that notes how many rows it is fitted on."""
+
+    def __init__(self, seen):
+        self.fit = lambda frame: seen.append(frame.count())
+
+
 def test_label_inputs_are_excluded():
     assert features.exclude_label_inputs(["distance_km", "delivery_day", "days_off_count", "day_processing"]) == ["distance_km"]
 
