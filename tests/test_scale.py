@@ -2,6 +2,7 @@
 import datetime
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from shipshape.operators import joins
@@ -71,6 +72,33 @@ def test_neighbours_are_found_by_blocks():
     assert all(got[i] == sorted(zip(d[i].tolist(), val.tolist()))[:3] for i in range(700))
 
 
+@pytest.mark.parametrize("odd", [None, float("inf")])
+def test_pairs_are_sifted_before_their_distance_is_computed(monkeypatch, odd):
+    """Far fewer distances than pairs of the blocks that meet, far from the origin, too; with an infinite number all of them."""
+    import numpy as np
+
+    from shipshape.operators import knn
+    rng = np.random.default_rng(7)
+    x, q = (rng.random((n, 4)) * [1, 1e-3, 5, 40] + 1e4 for n in (3000, 500))
+    if odd:
+        x[5, 2] = odd
+    val, pairs, whole = np.zeros(3000), [], []
+    each, every = knn._paired, knn._distances
+    monkeypatch.setattr(knn, "_paired", lambda a, b: pairs.append(len(a)) or each(a, b))
+    monkeypatch.setattr(knn, "_distances", lambda a, b: whole.append(len(a) * len(b)) or every(a, b))
+    found = list(knn._search(q, np.full(500, np.inf), x, val, 3))
+    if odd:
+        assert not pairs and whole
+    else:
+        assert not whole and 1500 <= sum(pairs) < 500 * 3000 / 20
+    got = {}
+    for rows, _, dist in found:
+        for r, d in zip(rows.tolist(), dist.tolist()):
+            got.setdefault(r, []).append(d)
+    d = np.sort(np.round(every(q, x), knn.DIGITS), axis=1)[:, :3]
+    assert all(got[i] == d[i].tolist() for i in range(500))
+
+
 def _order_tables(spark, folder):
     """Small driver tables with null, unknown and repeated keys."""
     ts = datetime.datetime
