@@ -3,7 +3,7 @@
 The points to search belong to the cell of their nearest pivot; a cell keeps the least and the
 greatest distance to its pivot, its box and its number of points. A query first visits the nearest cells
 that hold k points, which bounds its k-th distance; it then needs only the cells whose points can lie within
-that bound, by the triangle inequality and by the box. Both visits are equi-joins on the cell. Cells are
+that bound, by the triangle inequality, by the box and by the plane between the cell's pivot and its own. Both visits are equi-joins on the cell. Cells are
 cut into parts of about ``PART`` points, and the queries of a part into groups of about ``GROUP``,
 so no task grows with a crowded cell. Within a part, points and queries are halved along their widest columns into
 blocks, and a block of queries meets the blocks of points by their distance, until none can be nearer than what it has
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shipshape.operators.ranks import ranked_values
 from shipshape.session import ship, staged
 
 #: Pivots, taken from the points in the order of a hash: one for ``CELL`` points, within bounds.
@@ -167,18 +168,40 @@ def _visits(queries: DataFrame, points: DataFrame, parts: DataFrame, k: int) ->
         nearest, "qid long, dist double, val double, m long")
 
 
+def _mean() -> Column:
+    """Of a query's rows of ``_merged``."""
+    return F.sum(F.col("dist") * F.col("take")) / F.sum("take")
+
+
+def _cap(met: DataFrame, wanted: dict[str, int], room: float) -> float:
+    """A mean that, with ``room`` to spare, as many rows don't exceed as are wanted of each column; ``mean`` of ``met`` is not below
+    the true one. Infinity if there are fewer."""
+    at = ranked_values(met, "mean", [F.col(c) for c in wanted], lambda totals: [[n] for n in wanted.values()])[1]
+    if not all(at):
+        return math.inf
+    return max(v for found in at for v in found.values()) * (1 + SLACK) + SLACK + room
+
+
 def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, value: str | None = None,
-             pivots: int | None = None) -> DataFrame:
+             pivots: int | None = None, wanted: dict[str, int] | None = None, room: float = 0.0) -> DataFrame:
     """(_v0.._v{d-1}, knn_mean[, knn_value]) for each distinct point of ``a``; ``b`` has _v* and
     multiplicity ``_m``. Exact in any number of dimensions; if ``b`` holds fewer than k points, over
     those, and without points no row. With ``value`` (a column of ``b``), neighbours at equal
     distance are taken in ascending ``value`` order and ``knn_value`` is the sum of their values
-    (e.g. the number of positive labels among the k)."""
+    (e.g. the number of positive labels among the k).
+
+    ``wanted`` asks for the rows of least means only: it maps columns of ``a`` that count rows to how many of them are wanted
+    at least. Points whose mean is greater, by more than ``room``, than that of all those rows may then be left out, which spares
+    them the search; every mean that is given is right. The k nearest of the first visit have no lesser mean than
+    the true one, so a mean that enough rows reach there is a ``cap``. A query's mean is not above it only if a point is
+    as near as the cap: the second visit looks no farther, and a third one goes on for those that have found one,
+    as far as the cap allows with what they have."""
     spark = a.sparkSession
     ship(spark)
     names = [f"_v{i}" for i in range(d)]
     vec = F.array(*[F.col(c).cast("double") for c in names]).alias("vec")
-    queries = staged(a.select(*names).distinct().select(vec, F.monotonically_increasing_id().alias("qid")), "knn-queries")
+    queries = a.select(*names).distinct() if not wanted else a.groupBy(*names).agg(*[F.sum(c).alias(c) for c in wanted])
+    queries = staged(queries.select(vec, F.monotonically_increasing_id().alias("qid"), *(wanted or {})), "knn-queries")
     points = staged(b.select(vec, F.col("_m").cast("long").alias("m"),
                              (F.col(value).cast("double") if value else F.lit(0.0)).alias("val")), "knn-points")
     if pivots is None:
@@ -238,6 +261,11 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, value: str | None =
             gap = np.maximum(0, np.maximum(low[cell] - v[row], v[row] - high[cell]))
             near = start[row] | (np.sqrt((gap ** 2).sum(1)) <= reach[row])
             row, cell = row[near], cell[near]
+            # a cell's points are no nearer to the query's own pivot than to theirs: they lie beyond the plane between the two
+            mine = one[row]
+            ahead = dist[row, cell] ** 2 - dist[row, mine] ** 2 - LOOSE ** 2 * (1 + longest + np.sqrt((v ** 2).sum(1)[row])) ** 2
+            near = start[row] | ~(ahead > 2 * np.sqrt(((p[cell] - p[mine]) ** 2).sum(1)) * reach[row])
+            row, cell = row[near], cell[near]
             return np.split(ids[cell], np.searchsorted(row, np.arange(1, len(v))))
 
         for q in batches:
@@ -251,9 +279,21 @@ def knn_mean(a: DataFrame, b: DataFrame, d: int, k: int = 3, value: str | None =
         return staged(_visits(to, points, parts, k), "knn-found")
 
     one = visits(queries.withColumn("bound", F.lit(float("nan"))))
-    bound = _merged(one, k).groupBy("qid").agg(F.max("dist").alias("bound"))
+    met = _merged(one, k).groupBy("qid").agg(F.max("dist").alias("bound"), _mean().alias("mean"))
+    cap = math.inf
+    if wanted:
+        met = staged(queries.select("qid", *wanted).join(met.hint("merge"), "qid"), "knn-bounds")
+        cap = _cap(met, wanted, room)
+    bound = met.select("qid", F.least("bound", F.lit(cap)).alias("bound"))
     two = visits(queries.join(bound.hint("merge"), "qid"))
-    best = _merged(one.unionByName(two), k).groupBy("qid").agg(
-        (F.sum(F.col("dist") * F.col("take")) / F.sum("take")).alias("knn_mean"),
-        F.sum(F.col("val") * F.col("take")).alias("knn_value"))
+    if cap < math.inf:
+        near = F.when(F.col("dist") <= cap, F.col("take"))
+        some = _merged(one.unionByName(two), k).groupBy("qid").agg(F.max("dist").alias("far"), F.sum(near).alias("n"), F.sum(F.col("dist") * near).alias("s"))
+        some = some.where((F.col("far") > cap) & (F.col("n") > 0))  # n within the cap, the others beyond it
+        some = staged(some.select("qid", F.least("far", (F.col("n") + 1) * cap - F.col("s")).alias("bound")), "knn-open")
+        three = visits(queries.join(some.hint("merge"), "qid"))  # has what the second visit found, too
+        two = two.join(some.select("qid").hint("merge"), "qid", "left_anti").unionByName(three)
+    best = _merged(one.unionByName(two), k).groupBy("qid").agg(_mean().alias("knn_mean"), F.sum(F.col("val") * F.col("take")).alias("knn_value"))
+    if cap < math.inf:
+        best = best.where(F.col("knn_mean") <= cap)
     return queries.join(best.hint("merge"), "qid").select(*[F.col("vec")[i].alias(c) for i, c in enumerate(names)], *out[d:])

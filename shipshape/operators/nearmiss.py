@@ -55,10 +55,13 @@ def nearmiss(df: DataFrame, feats: list[str], label: str = "label", keys: list[s
     rows = staged(df.where(F.col(label).isNotNull()).select("*", *vec), "nearmiss")
     small, others = rows.where(F.col(label) == least), rows.where(F.col(label) != least)
     points = small.groupBy(*names).agg(F.count(F.lit(1)).alias("_m"))
-    means = knn_mean(others.select(*names), points, len(feats), k).withColumn("knn_mean", F.round("knn_mean", digits))
+    larger = [c for c in sorted(counts) if c != least]
+    wanted = {f"_n{i}": counts[least] for i in range(len(larger))}  # rows of each larger class
+    asked = others.select(*names, *[F.when(F.col(label) == c, 1).otherwise(0).alias(n) for n, c in zip(wanted, larger)])
+    means = knn_mean(asked, points, len(feats), k, wanted=wanted, room=10.0 ** -digits)
+    means = means.withColumn("knn_mean", F.round("knn_mean", digits))
     scored = staged(others.join(means.hint("merge"), names), "nearmiss-scored")
-    chosen = [smallest_n(scored.where(F.col(label) == c), counts[least], "knn_mean", keys)
-              for c in sorted(counts) if c != least]
+    chosen = [smallest_n(scored.where(F.col(label) == c), counts[least], "knn_mean", keys) for c in larger]
     return reduce(DataFrame.unionByName, [x.select(*df.columns) for x in [small, *chosen]])
 
 

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shipshape.operators import knn
 from shipshape.operators import nearmiss as nm
@@ -48,6 +49,41 @@ def test_knn_mean_exact(spark):
         assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-8 for v in want)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_only_the_least_means_are_searched_to_the_end(spark, seed, monkeypatch):
+    """Every mean given is right, all of the wanted rows are there, and far points are left out. Small whole numbers tie a lot."""
+    rnd = random.Random(seed)
+    size = 4 if seed < 3 else 1000
+    point = lambda: tuple(float(rnd.randrange(size)) for _ in range(3))
+    asked = [(*point(), rnd.randrange(2), rnd.randrange(3)) for _ in range(400)] + [(float(9 * size),) * 3 + (1, 0)]
+    held = [(*point(), rnd.randrange(1, 3)) for _ in range(120)]
+    a = spark.createDataFrame(asked, "_v0 double, _v1 double, _v2 double, x long, y long")
+    b = spark.createDataFrame(held, "_v0 double, _v1 double, _v2 double, _m long").groupBy("_v0", "_v1", "_v2").agg(F.sum("_m").alias("_m"))
+    every = [h[:3] for h in held for _ in range(h[3])]
+    true = {r[:3]: sum(sorted(math.dist(r[:3], h) for h in every)[:3]) / 3 for r in asked}
+    got = {(r._v0, r._v1, r._v2): r.knn_mean for r in knn.knn_mean(a, b, 3, 3, pivots=12, wanted={"x": 40, "y": 90}, room=1e-6).collect()}
+    assert all(abs(got[v] - true[v]) < 1e-8 for v in got) and (9.0 * size,) * 3 not in got and len(got) < len(true)
+    for at, n in ((3, 40), (4, 90)):
+        rows = sorted(true[r[:3]] for r in asked for _ in range(r[at]))
+        assert {r[:3] for r in asked if r[at] and true[r[:3]] <= rows[n - 1] + 1e-6} <= set(got)
+    every = knn.knn_mean(a, b, 3, 3, pivots=12, wanted={"x": 40, "y": 9000}).count()
+    assert every == len(true)
+
+
+def test_cells_beyond_the_plane_between_pivots_are_not_visited(spark, monkeypatch):
+    """Boxes of cells overlap; points lie far from the origin."""
+    rnd = random.Random(8)
+    point = lambda: tuple(1e3 + rnd.randrange(6) + 1e-3 * rnd.randrange(3) for _ in range(3))
+    asked, held = [point() for _ in range(150)], [point() for _ in range(300)]
+    rows, of = [], knn._visits
+    monkeypatch.setattr(knn, "_visits", lambda queries, *a: rows.append(queries.count()) or of(queries, *a))
+    names = "_v0 double, _v1 double, _v2 double"
+    got = knn.knn_mean(spark.createDataFrame(asked, names), spark.createDataFrame(held, names).groupBy("_v0", "_v1", "_v2").agg(
+        F.count("*").alias("_m")), 3, 3, pivots=16).collect()
+    assert all(abs(r.knn_mean - sum(sorted(math.dist(tuple(r)[:3], h) for h in held)[:3]) / 3) < 1e-8 for r in got)
+    assert len(got) == len(set(asked)) and rows[1] < 260, rows  # 290 by boxes and rings alone
+
+
 def test_knn_with_few_or_no_points(spark):
     a = spark.createDataFrame([(0.0,), (5.0,)], "_v0 double")
     b = spark.createDataFrame([(1.0, 2)], "_v0 double, _m long")
