@@ -105,6 +105,14 @@ class _Counts:
         self.fit = lambda frame: seen.append(frame.count())
 
 
+def test_a_fit_spreads_over_the_cores(spark):
+    rows = spark.range(3 * models.SPREAD_ROWS - 5).coalesce(1)
+    out = models.spread(rows)
+    assert out.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism) and out.distinct().count() == rows.count()
+    assert models.spread(rows.limit(7)).rdd.getNumPartitions() == 1 and models.spread(out.repartition(9)).rdd.getNumPartitions() == 9
+    assert models.spread(rows.limit(0)).count() == 0
+
+
 def test_label_inputs_are_excluded():
     assert features.exclude_label_inputs(["distance_km", "delivery_day", "days_off_count", "day_processing"]) == ["distance_km"]
 
